@@ -1,4 +1,4 @@
-"""Chat formatting over reply trees.
+r"""Chat formatting over reply trees.
 
 Messages are nodes with a parent. Paths from each leaf to its root come from repeated self-joins
 that double their reach: ``hops`` maps a node to its ancestor 2^k steps up, and every (leaf,

@@ -10,7 +10,7 @@
    texts that share a shingle, all are first compared with one pivot, the text in which the
    shingle comes earliest; pairs that are in one component by then need no comparison. Further
    rounds take other pivots while lists stay long. What is left over after that is joined in full,
-   so no link between two components is lost.
+   each pair at its first common shingle, so no link between two components is lost.
 5. Each distinct candidate pair is verified once, on whole sets: first the suffix filter (counts
    of hash ranges bound the overlap), then the overlap itself.
 6. Links become components by large and small stars.
@@ -281,8 +281,13 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     n = size_of("at")
     partner = F.greatest(F.col("least"), F.ceil(n * F.lit(percent) / 100 - 1e-9))
     able = written(own.join(bounds, F.col("token") == F.col("t")).where(n - place_of("at") >= needed(n, partner, percent)).select("token", "node", "at", "comp"), "able")
-    other = able.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"))
-    pairs = able.join(other, (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent)).select(F.col("node").alias("a"), "b").distinct()
+    # Each shingle of a text comes with those before it, so a pair is made once, at its first common one.
+    whole = able.groupBy("node", "comp").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("l"))
+    each = whole.select("node", "comp", F.posexplode("l").alias("i", "x"), F.transform("l", lambda x: x["token"]).alias("all"))
+    each = each.select("node", "comp", F.col("x.token").alias("token"), F.col("x.at").alias("at"), F.slice("all", F.lit(1), F.col("i")).alias("before"))
+    other = each.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"), F.col("before").alias("bb"))
+    both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent) & ~F.arrays_overlap("before", "bb")
+    pairs = each.join(other, both).select(F.col("node").alias("a"), "b").distinct()
     comp = merge(comp, written(verify(pairs, texts, size, percent), "links"))
 
     least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d"))
