@@ -1 +1 @@
-
+"""Column functions: everything here takes and returns columns."""
