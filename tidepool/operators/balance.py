@@ -133,4 +133,4 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 
 def coverage(df: DataFrame, rank: str = "species", taxid: str = "taxid") -> DataFrame:
     known = F.coalesce(F.col(rank), F.lit("Unknown")) != "Unknown"
-    return df.agg(F.count("*").alias("rows"), F.count_if(known).alias("known"), F.round(F.coalesce(100.0 * F.count_if(known) / F.count("*"), F.lit(0.0)), 2).alias("known_percent"), F.countDistinct(F.when(known, F.col(rank))).alias("distinct_known"), F.countDistinct(taxid).alias("distinct_taxids"))
+    return df.agg(F.count("*").alias("rows"), F.count_if(known).alias("known"), F.round(F.coalesce(F.try_divide(100.0 * F.count_if(known), F.count("*")), F.lit(0.0)), 2).alias("known_percent"), F.countDistinct(F.when(known, F.col(rank))).alias("distinct_known"), F.countDistinct(taxid).alias("distinct_taxids"))

@@ -28,7 +28,7 @@ def overall_report(df: DataFrame, actual: str = "true_label", predicted: str = "
     """One row: accuracy, macro and weighted F1, number of classes."""
     r = class_report(df, actual, predicted)
     a = df.agg(F.round(F.avg((F.col(actual) == F.col(predicted)).cast("double")), 6).alias("accuracy"))
-    b = r.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"), F.count("*").alias("classes"))
+    b = r.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), 6).alias("weighted_f1"), F.count("*").alias("classes"))
     return a.join(F.broadcast(b))
 
 

@@ -18,7 +18,7 @@ def dashboard_snapshot(runs: DataFrame) -> DataFrame:
     s = F.col("status")
     d = F.col("processing_time")
     return runs.agg(
-        F.count("*").alias("total_runs"), F.round(F.coalesce(100.0 * F.count_if(s == "completed") / F.count("*"), F.lit(0.0)), 2).alias("success_rate"),
+        F.count("*").alias("total_runs"), F.round(F.coalesce(F.try_divide(100.0 * F.count_if(s == "completed"), F.count("*")), F.lit(0.0)), 2).alias("success_rate"),
         F.floor(F.coalesce(F.avg(F.when(d > 0, d)), F.lit(0.0))).cast("long").alias("avg_processing_time"),
         F.count_if(s == "running").alias("running"), F.count_if(s.isin("queued", "pending")).alias("queued"), F.max(F.when(s == "completed", F.col("end_time"))).alias("last_completed"))
 
