@@ -89,13 +89,13 @@ def buckets(x: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, size: int) -> DataFrame:
-    """One row (0, doc_id, node, n) for each document and rows (1, bucket, null, count) of shingles."""
+    """One row (0, doc_id, key, node, n) for each document and rows (1, bucket, null, null, count) of shingles."""
 
     def run(batches):
         import pyarrow as pa
 
         count = np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["kind", "a", "node", "n"]
+        names = ["kind", "a", "key", "node", "n"]
         for batch in batches:
             raw, at = utf8(batch.column("text"))
             node, n = [], []
@@ -105,11 +105,12 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                 node.append(signatures(x, sizes))
                 n.append(sizes)
             if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column("doc_id"), pa.array(np.concatenate(node)), pa.array(np.concatenate(n).astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(node)), pa.array(np.concatenate(n).astype(np.int64))], names)
         k = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int8)), pa.array(k), pa.nulls(len(k), pa.int64()), pa.array(count[k])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int8)), pa.array(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(count[k])], names)
 
-    return docs.mapInArrow(run, "kind byte, a long, node long, n long")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    return keyed.mapInArrow(run, "kind byte, a long, key long, node long, n long")
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -239,7 +240,7 @@ def merge(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+    """doc_id, key (xxhash64 of the text), n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
     Null texts and texts without words have no shingles and link with nothing; their component is
     their own doc_id. Rows with equal texts are linked like any others. A null doc_id is in
@@ -247,7 +248,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     """
     rows = text_of(docs)
     seen = written(survey(rows, size), "survey")
-    found = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "node", "n")
+    found = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "key", "node", "n")
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^BUCKET_BITS at most
         counts[r[0]] = r[1]
@@ -296,18 +297,17 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     names = placed.groupBy("comp").agg(F.min("d").alias("component_id"))
     ids = placed.join(names, "comp").select(F.col("node").alias("k"), "component_id")
     out = found.join(ids, (F.col("node") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group of similar texts, the one with the smallest doc_id;
-    documents without shingles stay. Of several rows with that doc_id in one group, all stay
-    that are not equal in doc_id and text."""
+    documents without shingles stay. Several rows with that doc_id in one group all stay."""
     names = similar_groups(docs.select("doc_id", "text"), size, percent)
-    drop = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    left = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_anti")
-    return left
+    drop = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_j")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_j"))
+    return docs.join(drop, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_groups(table(spark, sf_dir, "documents")).drop("key")
