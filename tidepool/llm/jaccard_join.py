@@ -2,8 +2,10 @@
 
 1. Every text becomes a set of 64-bit shingle hashes. Texts with equal sets are one node (a hash of
    the set); copies are never compared.
-2. Shingles are ordered rare first. How common one is comes from counts of all shingles of all
-   texts in a fixed number of hash buckets; ties are broken by hash, so the order is total.
+2. Shingles are ordered rare first. How common one is comes from all texts: each task counts the
+   shingles of its different sets in blocks and adds those that repeat within a block to a fixed number of
+   hash buckets (so the many that occur once don't blur the counts of the others). Ties are broken
+   by hash, so the order is total; the result doesn't depend on it.
 3. Two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of both.
    Those prefixes are the only thing that is shuffled; prefixes that nobody shares go at once.
 4. Candidates share a prefix shingle and pass the length and positional filters. In a list of
@@ -30,8 +32,9 @@ from .components import components
 
 WORDS = 5
 PERCENT = 80
-#: Buckets of the counts that order shingles.
-BUCKET_BITS = 17
+#: Buckets of the counts that order shingles, and shingles that a task counts at once.
+BUCKET_BITS = 20
+BLOCK = 4_000_000
 #: A list of one shingle is dealt to tasks in parts of about so many rows.
 LIST_ROWS = 2000
 #: Rounds with further pivots, while lists hold over so many pairs for each of their rows.
@@ -81,6 +84,16 @@ def signatures(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def first_seen(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of the nodes a task meets for the first time."""
+    out = np.zeros(len(node), bool)
+    for i, s in enumerate(node.tolist()):
+        if s not in seen:
+            seen.add(s)
+            out[i] = True
+    return out
+
+
 def buckets(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -94,18 +107,32 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        count = np.zeros(1 << BUCKET_BITS, np.int64)
+        count, held, size_held, seen = np.zeros(1 << BUCKET_BITS, np.int64), [], 0, set()
+
+        def flush() -> None:
+            if held:
+                u, c = np.unique(np.concatenate(held), return_counts=True)
+                np.add.at(count, buckets(u[c > 1]), c[c > 1])
+                held.clear()
+
         names = ["kind", "a", "key", "node", "n"]
         for batch in batches:
             raw, at = utf8(batch.column("text"))
             node, n = [], []
             for _, _, b, off in chunks(raw, at):
-                x, _, sizes = sets(b, off, size)
-                count += np.bincount(buckets(x), minlength=len(count))
-                node.append(signatures(x, sizes))
+                x, owner, sizes = sets(b, off, size)
+                own = signatures(x, sizes)
+                new = first_seen(own, seen)
+                held.append(x[new[owner]])
+                size_held += len(held[-1])
+                if size_held > BLOCK:
+                    flush()
+                    size_held = 0
+                node.append(own)
                 n.append(sizes)
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(node)), pa.array(np.concatenate(n).astype(np.int64))], names)
+        flush()
         k = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int8)), pa.array(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(count[k])], names)
 
@@ -130,11 +157,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             for _, _, b, off in chunks(raw, at):
                 x, owner, n = sets(b, off, size)
                 node = signatures(x, n)
-                fresh = np.zeros(len(n), bool)
-                for i, s in enumerate(node.tolist()):
-                    if n[i] and s not in seen:
-                        seen.add(s)
-                        fresh[i] = True
+                fresh = first_seen(node, seen) & (n > 0)
                 keep = fresh[owner]
                 x, owner = x[keep], owner[keep]
                 n = np.where(fresh, n, 0)
@@ -211,24 +234,14 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return two.mapInArrow(run, "a long, b long")
 
 
-def candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of one document for each candidate node."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            raw, at = utf8(batch.column("text"))
-            node = [signatures(x, n) for x, _, n in (sets(b, off, size) for _, _, b, off in chunks(raw, at))]
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), batch.column("text")], ["node", "text"])
-
+    no_id = F.lit(-(1 << 63)).cast("long")
     keep = nodes.select(F.col("node").alias("k"))
-    ids = found.join(keep, F.col("node") == F.col("k"), "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("d"))
-    one = ids.select(F.col("d.doc_id").alias("i")).distinct()
-    picked = docs.join(one, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(run, "node long, text string")
-    # a doc_id may stand for several texts
-    return picked.join(keep, F.col("node") == F.col("k"), "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    one = found.join(keep, F.col("node") == F.col("k"), "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("i"), F.col("key").alias("j"))).alias("d"))
+    keyed = docs.select(F.coalesce("doc_id", no_id).alias("i"), F.xxhash64("text").alias("j"), "text")
+    # rows that are equal in id and text are one here; the join has dealt them by both already
+    return keyed.join(one.select("node", "d.i", "d.j"), ["i", "j"]).groupBy("i", "j", "node").agg(F.first("text").alias("text")).select("node", "text")
 
 
 def merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,7 +270,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     listed = prefixes(rows, counts, size, percent).withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
     lists = written(listed.where("lo <> hi or salt > 0").select("token", "node", "at").distinct(), "lists")
     nodes = written(lists.select("node").distinct(), "nodes")
-    texts = written(candidate_texts(rows, found, nodes, size), "texts")
+    texts = written(candidate_texts(rows, found, nodes), "texts")
     comp = nodes.select("node", F.col("node").alias("comp"))
 
     for turn in range(PIVOT_ROUNDS):
