@@ -17,6 +17,8 @@ from tidepool.llm.components import components
 from tidepool.llm.queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
+#: Held-out accuracy needs more labelled rows than the smallest tables have.
+MORE = "/root/testdata/sf0.01"
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n_words string, matches string, _k string, node string, label string"
@@ -89,10 +91,11 @@ def crc5(i):
     return zlib.crc32(str(i).encode()) % 5
 
 
-def test_quality_classifier_on_held_out_rows(spark, duck, docs, labels, odd):
+def test_quality_classifier_on_held_out_rows(spark, docs, labels, odd):
+    more, marks = (spark.read.parquet(f"{MORE}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality_classifier.score(more, quality_classifier.fit(more, marks)).collect()}
     model = quality_classifier.fit(docs, labels)
-    got = {r.doc_id: r for r in quality_classifier.score(docs, model).collect()}
-    rows = [(i, q) for i, q in duck.sql("SELECT doc_id, quality FROM labels").fetchall() if crc5(i) == 0]
+    rows = [(r.doc_id, r.quality) for r in marks.collect() if crc5(r.doc_id) == 0]
     assert sum(got[i].predicted == q for i, q in rows) / len(rows) >= 0.9
     assert quality_classifier.score(odd, model).count() == odd.count()
     assert quality_classifier.score(docs.limit(0), quality_classifier.fit(docs.limit(0), labels)).count() == 0
@@ -334,10 +337,11 @@ def test_plan_fills_well():
         assert end <= 11 / 9 * -(-sum(k * n for k, n in h.items()) // cap) + sum(n for k, n in h.items() if 2 * k > cap) + 1
 
 
-def test_toxicity(spark, duck, docs, labels, odd):
-    model = toxicity.fit(docs, labels)
-    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    rows = [(i, x) for i, x in duck.sql("SELECT doc_id, toxic FROM labels").fetchall() if crc5(i) == 0]
+def test_toxicity(spark, docs, labels, odd):
+    more, marks = (spark.read.parquet(f"{MORE}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(more, marks)
+    got = {r.doc_id: r for r in toxicity.score(more, model).collect()}
+    rows = [(r.doc_id, r.toxic) for r in marks.collect() if crc5(r.doc_id) == 0]
     assert sum(got[i].predicted == x for i, x in rows) / len(rows) >= 0.9
     assert toxicity.score(odd, model).where("predicted = 1").isEmpty()
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from test_llm_operators import DIR, TOKENIZER, check_packing, groups
+from test_llm_operators import MORE as DIR
+from test_llm_operators import TOKENIZER, check_packing, groups
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 

@@ -6,13 +6,12 @@ a few nanoseconds a byte instead of building a Python string for each word. Hash
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_path, written  # noqa: F401
+
 #: Bytes of text that one numpy pass takes; longer batches are cut between documents.
 CHUNK_BYTES = 2_000_000
 
@@ -21,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share, as ``spark.checkpoint.dir`` names it.
-    Only where that is unset (tests, one machine) a temporary folder takes its place."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidepool-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so a lost executor costs
-    one read of that table and not the steps before it."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, column: str = "text") -> DataFrame:
     """doc_id and text alone, whatever other columns there are; a null text is empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column), F.lit("")).alias("text"))

@@ -24,7 +24,7 @@ EPOCHS = 6
 RATE = 4.0
 #: Labelled rows to learn from, at most, and the longest text (UTF-8 bytes) among them.
 TRAIN_ROWS = 4000
-TRAIN_BYTES = 100_000
+TRAIN_BYTES = 32_000
 
 
 def features(raw: np.ndarray, at: np.ndarray):
