@@ -20,9 +20,8 @@ def filter_length(df: DataFrame, lo: int = 200, hi: int = 2000, seq: str = "seq"
 
 
 def drop_unknown(df: DataFrame, rank: str = "species") -> DataFrame:
-    """Rows whose rank is known; an error when the table is read and none is left."""
-    kept = df.where(F.coalesce(F.col(rank), F.lit(UNKNOWN)) != UNKNOWN)
-    return kept
+    """Rows whose rank is known. Where an empty result is an error, ``require_rows`` says so."""
+    return df.where(F.coalesce(F.col(rank), F.lit(UNKNOWN)) != UNKNOWN)
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

@@ -89,7 +89,7 @@ def log_factorials(spark, most: int) -> DataFrame:
     """(x, lf): ln x! for 0..most, as running sums; parts of 4096 first, so no task sums them all."""
     i = spark.range(most + 1).select(F.col("id").alias("x"), F.when(F.col("id") > 0, F.log(F.col("id").cast("double"))).otherwise(0.0).alias("l")).withColumn("p", F.floor(F.col("x") / 4096))
     base = i.groupBy("p").agg(F.sum("l").alias("l")).select("p", F.coalesce(F.sum("l").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    return i.join(F.broadcast(base), "p").select("x", (F.col("base") + F.sum("l").over(W.partitionBy("p").orderBy("x").rowsBetween(W.unboundedPreceding, 0))).alias("lf"))
+    return i.join(base, "p").select("x", (F.col("base") + F.sum("l").over(W.partitionBy("p").orderBy("x").rowsBetween(W.unboundedPreceding, 0))).alias("lf"))
 
 
 def rarefaction_curve(df: DataFrame, depths: list[int]) -> DataFrame:

@@ -75,7 +75,7 @@ def clean_reference_taxonomy(df: DataFrame, sub_ranks: DataFrame, label: str = "
     c = F.translate(F.regexp_replace(c, "\t", ""), " ", "_")
     c = F.regexp_replace(F.regexp_replace(c, "\"|'", ""), ";[^;]*_incertae_sedis;?$", "")
     parts = df.select(key, F.posexplode(F.filter(F.split(c, ";"), lambda p: (p != "") & (p != "Root"))).alias("pos", "name"))
-    kept = parts.join(F.broadcast(sub_ranks.select("name").distinct()), "name", "left_anti")
+    kept = parts.join(sub_ranks.select("name").distinct(), "name", "left_anti")
     joined = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("p"))
     return joined.select(key, F.concat(F.array_join(F.transform("p", lambda x: x["name"]), ";"), F.lit(";")).alias("taxonomy"))
 

@@ -109,7 +109,7 @@ def j9(spark, d):
 @query("j10_attach_samples", "SELECT read_id, n_name AS sample FROM v_reads JOIN nation ON sample_id = 'src' || n_nationkey WHERE n_nationkey % 3 > 0")
 def j10(spark, d):
     manifest = v.table(spark, d, "nation").where("n_nationkey % 3 > 0").select(F.concat(F.lit("src"), "n_nationkey").alias("sample_id"), F.col("n_name").alias("sample"))
-    return v.v_reads(spark, d).select("read_id", "sample_id").join(F.broadcast(manifest), "sample_id").select("read_id", "sample")
+    return v.v_reads(spark, d).select("read_id", "sample_id").join(manifest, "sample_id").select("read_id", "sample")
 
 
 # -- summaries --------------------------------------------------------------------------------

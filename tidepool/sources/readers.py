@@ -40,7 +40,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("file", "block", "first", before.alias("before"))
-    lines = raw.join(F.broadcast(base), ["file", "block"]).withColumn("line", F.col("before") + F.col("id") - F.col("first"))
+    lines = raw.join(base, ["file", "block"]).withColumn("line", F.col("before") + F.col("id") - F.col("first"))
     k = F.col("line") % 4
     pick = lambda i: F.max(F.when(k == i, F.col("value")))
     rows = lines.groupBy("file", F.floor(F.col("line") / 4).alias("at")).agg(pick(0).alias("head"), pick(1).alias("sequence"), pick(3).alias("quality"))
