@@ -13,8 +13,8 @@
    shingle comes earliest; pairs that are in one component by then need no comparison. Further
    rounds take other pivots while lists stay long. What is left over after that is joined in full,
    each pair at its first common shingle, so no link between two components is lost.
-5. Each distinct candidate pair is verified once, on whole sets: first the suffix filter (counts
-   of hash ranges bound the overlap), then the overlap itself.
+5. Each distinct candidate pair is verified once: by the number of prefix shingles that it shares, then
+   on whole sets by the suffix filter (counts of hash ranges bound the overlap) and the overlap itself.
 6. Links become components by large and small stars.
 
 A shingle whose bucket is far above the average is salted, so its list meets in no single task.
@@ -234,6 +234,16 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return two.mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs that share enough prefix shingles. Sets that overlap enough differ in few
+    shingles, so all but that many of the prefix that ends first are in the other prefix too.
+    grams: node, n (set size), tokens (its prefix shingles that any other set has in its prefix)."""
+    side = lambda x: grams.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    least = needed(F.col("na"), F.col("nb"), percent) - F.ceil(F.greatest("na", "nb") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= least).select("a", "b")
+
+
 def candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of one document for each candidate node."""
     no_id = F.lit(-(1 << 63)).cast("long")
@@ -271,6 +281,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     lists = written(listed.where("lo <> hi or salt > 0").select("token", "node", "at").distinct(), "lists")
     nodes = written(lists.select("node").distinct(), "nodes")
     texts = written(candidate_texts(rows, found, nodes), "texts")
+    grams = written(lists.groupBy("node").agg(F.max(size_of("at")).alias("n"), F.collect_list("token").alias("tokens")), "grams")
     comp = nodes.select("node", F.col("node").alias("comp"))
 
     for turn in range(PIVOT_ROUNDS):
@@ -286,7 +297,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         p = pivots.select(F.col("token").alias("t"), F.col("p.node").alias("pn"), F.col("p.at").alias("pa"), F.col("p.comp").alias("pc"))
         near = own.join(p, F.col("token") == F.col("t")).where((F.col("comp") != F.col("pc")) & may_match("at", "pa", percent))
         pairs = near.select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
-        links = written(verify(pairs, texts, size, percent), "links")
+        links = written(verify(plausible(pairs, grams, percent), texts, size, percent), "links")
         comp = merge(comp, links)
 
     # The rest: lists that still hold two components, without texts that can't match in them.
@@ -302,7 +313,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     other = each.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"), F.col("before").alias("bb"))
     both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent) & ~F.arrays_overlap("before", "bb")
     pairs = each.join(other, both).select(F.col("node").alias("a"), "b").distinct()
-    comp = merge(comp, written(verify(pairs, texts, size, percent), "links"))
+    comp = merge(comp, written(verify(plausible(pairs, grams, percent), texts, size, percent), "links"))
 
     least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d"))
     c = comp.select(F.col("node").alias("k"), "comp")
