@@ -11,8 +11,8 @@
 4. Candidates share a prefix shingle and pass the length and positional filters. In a list of
    texts that share a shingle, all are first compared with one pivot, the text in which the
    shingle comes earliest; pairs that are in one component by then need no comparison. Further
-   rounds take other pivots while lists stay long. What is left over after that is joined in full,
-   each pair at its first common shingle, so no link between two components is lost.
+   rounds take other pivots while lists stay long and pivots still link much. What is left over after
+   that is joined in full, so no link between two components is lost.
 5. Each distinct candidate pair is verified once: by the number of prefix shingles that it shares, then
    on whole sets by the suffix filter (counts of hash ranges bound the overlap) and the overlap itself.
 6. Links become components by large and small stars.
@@ -37,8 +37,9 @@ BUCKET_BITS = 20
 BLOCK = 4_000_000
 #: A list of one shingle is dealt to tasks in parts of about so many rows.
 LIST_ROWS = 2000
-#: Rounds with further pivots, while lists hold over so many pairs for each of their rows.
-PIVOT_ROUNDS, PAIRS_A_ROW = 6, 8
+#: Rounds with further pivots, while lists hold over so many pairs for each of their rows and the
+#: round before has linked more than one in so many of those rows.
+PIVOT_ROUNDS, PAIRS_A_ROW, ROWS_A_LINK = 6, 8, 50
 
 
 # -- sets, in numpy -----------------------------------------------------------------------------
@@ -285,14 +286,14 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     comp = nodes.select("node", F.col("node").alias("comp"))
 
     for turn in range(PIVOT_ROUNDS):
-        own = lists.join(comp, "node")
+        own = lists.join(comp, "node") if turn else lists.withColumn("comp", F.col("node"))
         order = F.struct("at", "node", "comp") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "at", "node", "comp")
         own = own.withColumn("p", order)
         pivots = own.groupBy("token").agg(F.count("*").alias("rows"), F.min("p").alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         if turn:
             pivots = written(pivots, "pivots")
             total = pivots.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows") / 2)).first()
-            if not total[0] or total[1] <= PAIRS_A_ROW * total[0]:
+            if not total[0] or total[1] <= PAIRS_A_ROW * total[0] or links.count() * ROWS_A_LINK < total[0]:
                 break
         p = pivots.select(F.col("token").alias("t"), F.col("p.node").alias("pn"), F.col("p.at").alias("pa"), F.col("p.comp").alias("pc"))
         near = own.join(p, F.col("token") == F.col("t")).where((F.col("comp") != F.col("pc")) & may_match("at", "pa", percent))
@@ -306,13 +307,9 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     n = size_of("at")
     partner = F.greatest(F.col("least"), F.ceil(n * F.lit(percent) / 100 - 1e-9))
     able = written(own.join(bounds, F.col("token") == F.col("t")).where(n - place_of("at") >= needed(n, partner, percent)).select("token", "node", "at", "comp"), "able")
-    # Each shingle of a text comes with those before it, so a pair is made once, at its first common one.
-    whole = able.groupBy("node", "comp").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("l"))
-    each = whole.select("node", "comp", F.posexplode("l").alias("i", "x"), F.transform("l", lambda x: x["token"]).alias("all"))
-    each = each.select("node", "comp", F.col("x.token").alias("token"), F.col("x.at").alias("at"), F.slice("all", F.lit(1), F.col("i")).alias("before"))
-    other = each.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"), F.col("before").alias("bb"))
-    both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent) & ~F.arrays_overlap("before", "bb")
-    pairs = each.join(other, both).select(F.col("node").alias("a"), "b").distinct()
+    other = able.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"))
+    both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent)
+    pairs = able.join(other, both).select(F.col("node").alias("a"), "b").distinct()
     comp = merge(comp, written(verify(plausible(pairs, grams, percent), texts, size, percent), "links"))
 
     least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d"))
