@@ -36,12 +36,12 @@ def v_emb(spark: SparkSession, d: str) -> DataFrame:
 
 def v_pred(spark: SparkSession, d: str) -> DataFrame:
     """Each vector with its nearest label mean: sequence_id, true_label, cluster, confidence (0 to 1,
-    6 digits)."""
+    4 digits, so that percentages have no ties)."""
     from ..operators.models import centroid_confidence, label_centroids
 
     e = v_emb(spark, d)
     near = centroid_confidence(e, label_centroids(e))
-    return near.join(e.select("sequence_id", F.col("label").alias("true_label")), "sequence_id").select("sequence_id", "true_label", "cluster", F.round("confidence", 6).alias("confidence"))
+    return near.join(e.select("sequence_id", F.col("label").alias("true_label")), "sequence_id").select("sequence_id", "true_label", "cluster", F.round("confidence", 4).alias("confidence"))
 
 
 def v_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +130,7 @@ SQL = {
     "v_flat": "SELECT sequence_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM v_emb",
     "v_mean": "SELECT label AS cluster, i, avg(x) AS m FROM v_flat GROUP BY label, i",
     "v_dist": "SELECT f.sequence_id, f.label AS true_label, cluster, sqrt(sum((x - m) * (x - m))) AS d FROM v_flat f JOIN v_mean USING (i) GROUP BY ALL",
-    "v_pred": "SELECT sequence_id, true_label, arg_min(cluster, (d, cluster)) AS cluster, round(exp(-min(d)) / sum(exp(-d)), 6) AS confidence FROM v_dist GROUP BY ALL",
+    "v_pred": "SELECT sequence_id, true_label, arg_min(cluster, (d, cluster)) AS cluster, round(exp(-min(d)) / sum(exp(-d)), 4) AS confidence FROM v_dist GROUP BY ALL",
     "v_rows": "SELECT sequence_id, 'Unknown' AS kingdom, otu AS phylum, 'Unknown' AS class, 'Unknown' AS \"order\", 'Unknown' AS family, otu AS genus, otu AS species, round(confidence * 100, 2) AS confidence, 'nearest_centroid' AS method, otu AS predicted_label FROM (SELECT *, printf('OTU-%03d', cluster + 1) AS otu FROM v_pred)",
     "v_tax_labels": "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'k__' || replace(r_name, ' ', '_') || ';p__' || n_name || ';c__' || c_mktsegment WHEN 1 THEN replace(r_name, ' ', '_') || ';' || n_name || ';' || c_mktsegment ELSE replace(r_name, ' ', '_') || ' ' || n_name || ' ' || c_mktsegment END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "v_nodes": "SELECT 1 AS taxid, 1 AS parent, 'no rank' AS rank UNION ALL SELECT 10 + r_regionkey, 1, 'superkingdom' FROM region UNION ALL SELECT 100 + n_nationkey, 10 + n_regionkey, 'phylum' FROM nation UNION ALL SELECT CAST(1000 + c_custkey AS INT), 100 + c_nationkey, 'species' FROM customer",

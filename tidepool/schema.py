@@ -15,8 +15,3 @@ RUN = (
     "processing_time double, success boolean, error string, status string, "
     "pipeline_steps array<struct<step:string,status:string>>, current_step string, current_message string, progress int"
 )
-STEPS = ["data_loading", "embedding_extraction", "taxonomic_classification"]
-
-
-def quoted(name: str) -> str:
-    return f"`{name}`"
