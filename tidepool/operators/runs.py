@@ -63,4 +63,5 @@ def fold_updates(updates: DataFrame, fields: tuple[str, ...] = ("status", "progr
     last = [F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields]
     end = F.max(F.when(F.col("status").isin("completed", "failed"), F.col("ts"))).alias("end_time")
     out = updates.groupBy("run_id").agg(*last, end, F.count("*").alias("updates"))
-    return out.withColumn("progress", F.least(F.greatest("progress", F.lit(0)), F.lit(100))) if "progress" in fields else out
+    # greatest and least pass over nulls, but a run without progress has none
+    return out.withColumn("progress", F.when(F.col("progress").isNotNull(), F.least(F.greatest("progress", F.lit(0)), F.lit(100)))) if "progress" in fields else out

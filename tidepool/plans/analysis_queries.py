@@ -477,7 +477,7 @@ def s1(spark, d):
     return spark.read.schema("sequence_id string, length long").parquet(f"{out}/batch=*")
 
 
-@query("s2_fold_updates", "SELECT run_id, arg_max(status, (ts, seq)) FILTER (status IS NOT NULL) AS status, CAST(least(greatest(arg_max(progress, (ts, seq)) FILTER (progress IS NOT NULL), 0), 100) AS INT) AS progress, arg_max(message, (ts, seq)) FILTER (message IS NOT NULL) AS message, max(ts) FILTER (status IN ('completed', 'failed')) AS end_time, count(*) AS updates FROM v_updates GROUP BY run_id")
+@query("s2_fold_updates", "SELECT run_id, arg_max(status, (ts, seq)) FILTER (status IS NOT NULL) AS status, CAST(CASE WHEN count(progress) > 0 THEN least(greatest(arg_max(progress, (ts, seq)) FILTER (progress IS NOT NULL), 0), 100) END AS INT) AS progress, arg_max(message, (ts, seq)) FILTER (message IS NOT NULL) AS message, max(ts) FILTER (status IN ('completed', 'failed')) AS end_time, count(*) AS updates FROM v_updates GROUP BY run_id")
 def s2(spark, d):
     return runs.fold_updates(v.v_updates(spark, d))
 
