@@ -4,21 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written inside each open ``scratch`` block, the innermost block last.
+_open: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary
+    folder; on a cluster executors would each write to their own disks, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; its lineage ends there."""
+    """df as a Parquet table in the shared folder; its lineage ends there. Inside a ``scratch``
+    block the table goes when the block ends."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``written``, but the table stays until the next outer block ends."""
+    inner = _open.pop() if _open else None
+    try:
+        return written(df, tag)
+    finally:
+        if inner is not None:
+            _open.append(inner)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are ``written`` inside are deleted at the end. What is to be read later has to
+    be computed by then, so the last table of a block is ``kept``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            delete(spark, path)
