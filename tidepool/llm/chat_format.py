@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import kept, scratch, table, written
 
 #: Rounds of doubling; 2^40 turns in one path are more than any table has.
 MAX_ROUNDS = 40
@@ -42,28 +42,29 @@ def paths(tree: DataFrame) -> DataFrame:
 
     ``tree``: conv_id, node, parent, with distinct (conv_id, node).
     """
-    nodes = tree.select("conv_id", "node")
-    known = tree.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
-    at = lambda node: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col(node) == F.col("n"))
-    edges = written(tree.select("conv_id", "node", "parent").where(F.col("parent").isNotNull()).join(known, at("parent"), "left_semi"), "hops")
-    inner = edges.select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
-    leaves = nodes.join(inner, at("node"), "left_anti")
-    found = written(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    most, hops, reach = nodes.count(), edges.select("conv_id", "node", F.col("parent").alias("to")), 1
-    for _ in range(MAX_ROUNDS):
-        if hops.isEmpty() or reach > most:
-            break
-        h = hops.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "to")
-        more = found.join(h, at("node")).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
-        found = written(found.unionByName(more), "paths")
-        g = hops.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("to").alias("beyond"))
-        hops = written(hops.join(g, at("to")).select("conv_id", "node", F.col("beyond").alias("to")), "hops")
-        reach *= 2
-    if reach > most:  # only a cycle goes on so long; a path that ends has a node without an edge
-        e = edges.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
-        ends = found.join(e, at("node"), "left_anti").select(F.col("conv_id").alias("c"), F.col("leaf").alias("l")).distinct()
-        found = found.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("leaf") == F.col("l")), "left_semi")
-    return found
+    with scratch():
+        nodes = tree.select("conv_id", "node")
+        known = tree.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
+        at = lambda node: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col(node) == F.col("n"))
+        edges = written(tree.select("conv_id", "node", "parent").where(F.col("parent").isNotNull()).join(known, at("parent"), "left_semi"), "hops")
+        inner = edges.select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
+        leaves = nodes.join(inner, at("node"), "left_anti")
+        found = written(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
+        most, hops, reach = nodes.count(), edges.select("conv_id", "node", F.col("parent").alias("to")), 1
+        for _ in range(MAX_ROUNDS):
+            if hops.isEmpty() or reach > most:
+                break
+            h = hops.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "to")
+            more = found.join(h, at("node")).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
+            found = written(found.unionByName(more), "paths")
+            g = hops.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("to").alias("beyond"))
+            hops = written(hops.join(g, at("to")).select("conv_id", "node", F.col("beyond").alias("to")), "hops")
+            reach *= 2
+        if reach > most:  # only a cycle goes on so long; a path that ends has a node without an edge
+            e = edges.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
+            ends = found.join(e, at("node"), "left_anti").select(F.col("conv_id").alias("c"), F.col("leaf").alias("l")).distinct()
+            found = found.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("leaf") == F.col("l")), "left_semi")
+        return kept(found, "paths")
 
 
 def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -73,24 +74,30 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     column: 0). A path's score is the mean over its messages; the highest has rank 1, equal ones
     are ranked by leaf. ``best``: how many paths of a conversation stay, None for all.
 
-    Null roles and texts are empty. Of rows with the same (conv_id, node) the smallest by
-    (parent, role, text) stays; rows with a null node are dropped, as nothing can reply to them; a null
-    conv_id is a conversation like another. Columns beyond those named are ignored.
+    Null roles and texts are empty; texts of any length are taken whole. No row is dropped: rows with
+    the same (conv_id, node) are messages of their own, replies go to the first of them by (parent,
+    role, text, score), and the others are leaves; so is every row with a null node, as nothing can
+    reply to it. A null conv_id is a conversation like another. Rows on a cycle, and below one, have
+    no root and no path. Columns beyond those named are ignored.
     """
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in messages.columns else F.lit(0.0)
-    rows = messages.select("conv_id", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), score.alias("score")).where(F.col("node").isNotNull())
-    rows = rows.groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv_id", "node", "m.*")
+    rows = messages.select("conv_id", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), score.alias("score"))
+    copy = F.row_number().over(W.partitionBy("conv_id", "node").orderBy("parent", "role", "text", "score"))
+    own = F.struct(F.col("node").alias("id"), F.col("copy").alias("copy"))
+    above = F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("id"), F.lit(1).alias("copy")))
+    rows = rows.withColumn("copy", copy).select("conv_id", own.alias("node"), above.alias("parent"), "role", "text", "score")
     reach = paths(rows.select("conv_id", "node", "parent"))
     r = rows.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text", "score")
     turns = reach.join(r, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
     role, text = escape(F.col("role")), escape(F.col("text"))
     piece = F.struct((-F.col("up")).alias("at"), F.concat(F.lit("<turn:"), role, F.lit(">")).alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("loss"))
     one = turns.groupBy("conv_id", "leaf").agg(F.avg("score").alias("score"), F.sort_array(F.collect_list(piece)).alias("t"))
+    one = one.select("conv_id", F.col("leaf.id").alias("leaf"), F.col("leaf.copy").alias("copy"), "score", "t")
     if best is not None or "score" in messages.columns:
-        one = one.withColumn("branch_rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
+        one = one.withColumn("branch_rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "leaf", "copy")))
         one = one if best is None else one.where(F.col("branch_rank") <= best)
     else:
-        one = one.withColumn("branch_rank", F.row_number().over(W.partitionBy("conv_id").orderBy("leaf")))
+        one = one.withColumn("branch_rank", F.row_number().over(W.partitionBy("conv_id").orderBy("leaf", "copy")))
     tail = "</turn>\n"
     size = lambda x: F.length(x["head"]) + F.length(x["body"]) + len(tail)
     formatted = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(tail))), "")
@@ -108,9 +115,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_tree(conversations: DataFrame) -> DataFrame:
-    """Linear conversations (conv_id, turn, role, text) as trees: each turn replies to the one before."""
-    rows = conversations.select("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", F.col("turn").alias("node"), F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")).alias("parent"), "role", "text")
+    """Linear conversations (conv_id, turn, role, text) as trees: each row replies to the one before.
+    Rows are ordered by turn (null ones last), role and text, nulls as empty; rows with equal turns,
+    and equal rows, stay apart. ``node`` is a row's place from 1."""
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text"))
+    rows = rows.withColumn("node", place)
+    return rows.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,14 +135,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-sized AS (SELECT *, len(text) + len(text) - len(replace(replace(replace(text, '\', ''), '<', ''), '>', '')) AS n FROM rows),
+sized AS (SELECT *, 2 * len(role || text) - len(replace(replace(replace(role || text, '\', ''), '<', ''), '>', '')) AS n FROM rows),
 one AS (
   SELECT conv_id, count(*) AS n_turns,
-    coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn), '') AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
-    CAST(sum(len('<turn:') + len(role) + 1 + n + len('</turn>') + 1) AS BIGINT) AS formatted_chars
+    coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text), '') AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(len('<turn:') + 1 + n + len('</turn>') + 1) AS BIGINT) AS formatted_chars
   FROM sized GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM one
 """

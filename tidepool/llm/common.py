@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_path, written  # noqa: F401
+from ..storage import kept, scratch, shared_path, written  # noqa: F401
 
 #: Bytes of text that one numpy pass takes; longer batches are cut between documents.
 CHUNK_BYTES = 2_000_000
@@ -25,6 +25,24 @@ def text_of(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
 
 
+def sealed(docs: DataFrame, *used: str):
+    """docs with every column but the used ones under a name that no operator uses, and a function
+    that gives a derived frame its old names back: (frame, names of results to add) -> frame with all
+    columns of docs and the results. A result replaces a column of the same name."""
+    names = [c if c in used else f"own_{i}__" for i, c in enumerate(docs.columns)]
+
+    def back(df: DataFrame, *results: str) -> DataFrame:
+        old = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in results]
+        return df.select(*old, *results)
+
+    return docs.toDF(*names), back
+
+
+def held_out():
+    """Whether a row is kept from learning: crc32 of its id as text is divisible by 5. A null id isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept, scratch, written
 
 #: Rounds until an error; a component of n nodes takes some log2(n) of them.
 MAX_ROUNDS = 60
@@ -31,13 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: u, v (long), in any direction; loops and repeated edges don't matter.
     """
-    now = written(small_star(edges.where("u <> v").distinct()), "stars")
-    stamp = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-    last = now.agg(stamp).first()[0]
-    for _ in range(MAX_ROUNDS):
-        now = written(small_star(large_star(now)), "stars")
-        this = now.agg(stamp).first()[0]
-        if this == last:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = this
+    with scratch():
+        now = written(small_star(edges.where("u <> v").distinct()), "stars")
+        stamp = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        last = now.agg(stamp).first()[0]
+        for _ in range(MAX_ROUNDS):
+            now = written(small_star(large_star(now)), "stars")
+            this = now.agg(stamp).first()[0]
+            if this == last:
+                return kept(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+            last = this
     raise RuntimeError("components did not settle")

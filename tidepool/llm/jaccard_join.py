@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, mix, randoms, table, text_of, utf8, words, written
+from .common import NOT_SPACE, chunks, kept, mix, randoms, scratch, sealed, table, text_of, utf8, words, written
 from .components import components
 
 WORDS = 5
@@ -271,63 +271,66 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     its texts' component but never names it, unless nothing else is in it. Other columns are not read.
     """
     rows = text_of(docs)
-    seen = written(survey(rows, size), "survey")
-    found = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "key", "node", "n")
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^BUCKET_BITS at most
-        counts[r[0]] = r[1]
-
-    group = W.partitionBy("token", "salt")
-    listed = prefixes(rows, counts, size, percent).withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
-    lists = written(listed.where("lo <> hi or salt > 0").select("token", "node", "at").distinct(), "lists")
-    nodes = written(lists.select("node").distinct(), "nodes")
-    texts = written(candidate_texts(rows, found, nodes), "texts")
-    grams = written(lists.groupBy("node").agg(F.max(size_of("at")).alias("n"), F.collect_list("token").alias("tokens")), "grams")
-    comp = nodes.select("node", F.col("node").alias("comp"))
-
-    for turn in range(PIVOT_ROUNDS):
-        own = lists.join(comp, "node") if turn else lists.withColumn("comp", F.col("node"))
-        order = F.struct("at", "node", "comp") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "at", "node", "comp")
-        own = own.withColumn("p", order)
-        pivots = own.groupBy("token").agg(F.count("*").alias("rows"), F.min("p").alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        if turn:
-            pivots = written(pivots, "pivots")
-            total = pivots.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows") / 2)).first()
-            if not total[0] or total[1] <= PAIRS_A_ROW * total[0] or links.count() * ROWS_A_LINK < total[0]:
-                break
-        p = pivots.select(F.col("token").alias("t"), F.col("p.node").alias("pn"), F.col("p.at").alias("pa"), F.col("p.comp").alias("pc"))
-        near = own.join(p, F.col("token") == F.col("t")).where((F.col("comp") != F.col("pc")) & may_match("at", "pa", percent))
-        pairs = near.select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
-        links = written(verify(plausible(pairs, grams, percent), texts, size, percent), "links")
-        comp = merge(comp, links)
-
-    # The rest: lists that still hold two components, without texts that can't match in them.
-    own = lists.join(comp, "node")
-    bounds = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(size_of("at")).alias("least")).where("lo <> hi").select(F.col("token").alias("t"), "least")
-    n = size_of("at")
-    partner = F.greatest(F.col("least"), F.ceil(n * F.lit(percent) / 100 - 1e-9))
-    able = written(own.join(bounds, F.col("token") == F.col("t")).where(n - place_of("at") >= needed(n, partner, percent)).select("token", "node", "at", "comp"), "able")
-    other = able.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"))
-    both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent)
-    pairs = able.join(other, both).select(F.col("node").alias("a"), "b").distinct()
-    comp = merge(comp, written(verify(plausible(pairs, grams, percent), texts, size, percent), "links"))
-
-    least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d"))
-    c = comp.select(F.col("node").alias("k"), "comp")
-    placed = least.join(c, F.col("node") == F.col("k"), "left").select("node", "d", F.coalesce("comp", "node").alias("comp"))
-    names = placed.groupBy("comp").agg(F.min("d").alias("component_id"))
-    ids = placed.join(names, "comp").select(F.col("node").alias("k"), "component_id")
+    with scratch():
+        seen = kept(survey(rows, size), "survey")
+        found = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "key", "node", "n")
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for r in seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^BUCKET_BITS at most
+            counts[r[0]] = r[1]
+
+        group = W.partitionBy("token", "salt")
+        listed = prefixes(rows, counts, size, percent).withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
+        lists = written(listed.where("lo <> hi or salt > 0").select("token", "node", "at").distinct(), "lists")
+        nodes = written(lists.select("node").distinct(), "nodes")
+        texts = written(candidate_texts(rows, found, nodes), "texts")
+        grams = written(lists.groupBy("node").agg(F.max(size_of("at")).alias("n"), F.collect_list("token").alias("tokens")), "grams")
+        comp = nodes.select("node", F.col("node").alias("comp"))
+
+        for turn in range(PIVOT_ROUNDS):
+            own = lists.join(comp, "node") if turn else lists.withColumn("comp", F.col("node"))
+            order = F.struct("at", "node", "comp") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "at", "node", "comp")
+            own = own.withColumn("p", order)
+            pivots = own.groupBy("token").agg(F.count("*").alias("rows"), F.min("p").alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            if turn:
+                pivots = written(pivots, "pivots")
+                total = pivots.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows") / 2)).first()
+                if not total[0] or total[1] <= PAIRS_A_ROW * total[0] or links.count() * ROWS_A_LINK < total[0]:
+                    break
+            p = pivots.select(F.col("token").alias("t"), F.col("p.node").alias("pn"), F.col("p.at").alias("pa"), F.col("p.comp").alias("pc"))
+            near = own.join(p, F.col("token") == F.col("t")).where((F.col("comp") != F.col("pc")) & may_match("at", "pa", percent))
+            pairs = near.select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
+            links = written(verify(plausible(pairs, grams, percent), texts, size, percent), "links")
+            comp = merge(comp, links)
+
+        # The rest: lists that still hold two components, without texts that can't match in them.
+        own = lists.join(comp, "node")
+        bounds = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(size_of("at")).alias("least")).where("lo <> hi").select(F.col("token").alias("t"), "least")
+        n = size_of("at")
+        partner = F.greatest(F.col("least"), F.ceil(n * F.lit(percent) / 100 - 1e-9))
+        able = written(own.join(bounds, F.col("token") == F.col("t")).where(n - place_of("at") >= needed(n, partner, percent)).select("token", "node", "at", "comp"), "able")
+        other = able.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"))
+        both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent)
+        pairs = able.join(other, both).select(F.col("node").alias("a"), "b").distinct()
+        comp = merge(comp, written(verify(plausible(pairs, grams, percent), texts, size, percent), "links"))
+
+        least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d"))
+        c = comp.select(F.col("node").alias("k"), "comp")
+        placed = least.join(c, F.col("node") == F.col("k"), "left").select("node", "d", F.coalesce("comp", "node").alias("comp"))
+        names = placed.groupBy("comp").agg(F.min("d").alias("component_id"))
+        ids = kept(placed.join(names, "comp").select(F.col("node").alias("k"), "component_id"), "components")
     out = found.join(ids, (F.col("node") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group of similar texts, the one with the smallest doc_id;
-    documents without shingles stay. Several rows with that doc_id in one group all stay."""
+    documents without shingles (null and empty texts) stay. Several rows with that doc_id in one
+    group all stay. All columns stay as they are, whatever they are called."""
+    docs, back = sealed(docs, "doc_id", "text")
     names = similar_groups(docs.select("doc_id", "text"), size, percent)
     drop = names.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_j")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_j"))
-    return docs.join(drop, same, "left_anti")
+    return back(docs.join(drop, same, "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import kept, scratch, sealed, table, written
 
 #: Of the join on a window's hash.
 SALTS = 16
@@ -55,20 +55,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null text stays null with 0 lines; a text of fewer than three lines with words is left as it
     is. Rows with equal doc_id and text are one document read twice: they come out alike. A null
-    doc_id comes after all others. A text whose every line is cut is empty. Columns named like the
-    helpers (_k, n_lines, n_removed) are replaced.
+    doc_id comes after all others. A text whose every line is cut is empty. Other columns stay as
+    they are whatever they are called, but for n_lines and n_removed, which are replaced.
     """
-    docs = docs.drop("_k", "n_lines", "n_removed").withColumn("_k", F.xxhash64("text"))
+    docs, back = sealed(docs, "doc_id", "text")
+    docs = docs.withColumn("_k", F.xxhash64("text"))
     keyed = docs.select("doc_id", "_k", "text").where(F.col("text").isNotNull())
-    found = written(windows(keyed).distinct(), "windows")
-    cut = covered_lines(later_windows(found)).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_j"), "cut")
+    with scratch():
+        found = written(windows(keyed).distinct(), "windows")
+        cut = kept(covered_lines(later_windows(found)).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_j"), "cut"), "cut")
     out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_j")), "left")
     out = out.withColumn("_l", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "cut")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_l"))
     out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.coalesce(F.size("cut"), F.lit(0)).cast("long")}).withColumn("text", text)
-    return out.select(*[c for c in docs.columns if c != "_k"], "n_lines", "n_removed")
+    return back(out, "n_lines", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

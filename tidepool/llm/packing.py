@@ -9,12 +9,12 @@ capacity and not on the number of documents. A piece then takes the planned slot
 among the pieces of its length.
 
 Ranks are dealt out in two steps, so that no length meets in one task: numbers within (length,
-salt), and the running sum of the counts of the (length, salt) groups before it.
+salt), and the running sum of the counts of the (length, salt) groups before it. A length gets
+salts by its share of all pieces, so groups are alike however common a length is.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
 from collections import defaultdict
@@ -30,25 +30,40 @@ from .token_count import PATTERN, byte_letters
 
 CAPACITY = 1024
 END = 2
-#: Pieces that one (length, salt) group should hold at most if lengths were alike.
-GROUP_ROWS = 100_000
+#: (length, salt) groups for each shuffle partition of the session, beside one for each length.
+GROUPS_A_PARTITION = 8
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """tiktoken on the vocabulary and the special strings of a byte-level BPE file for
-    ``tokenizers``; it gives the same ids about four times as fast."""
-    if path not in _encoders:
+class Encoder:
+    """Ids of a byte-level BPE file for ``tokenizers``. tiktoken, on the same vocabulary and special
+    strings, gives them about four times as fast; its pattern engine gives up on white space that
+    goes on for about a million characters, and then the library itself encodes the text."""
+
+    def __init__(self, path: str):
         import tiktoken
 
-        if Path(path).suffix == ".tiktoken":
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-            special: dict[str, int] = {}
-        else:
-            spec, letters = json.loads(Path(path).read_text(encoding="utf-8")), byte_letters()
-            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-            ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
-        _encoders[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        spec, letters = json.loads(Path(path).read_text(encoding="utf-8")), byte_letters()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
+        self.path, self.library = path, None
+        self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -63,7 +78,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
             ids, piece, start, length, crc = [], [], [], [], []
             texts, doc = b.column("text"), b.column("doc_id")
             for row in range(len(texts)):
-                t = np.append(enc.encode_to_numpy(texts[row].as_py(), allowed_special="all"), end).astype("<u4")
+                t = np.append(enc.ids(texts[row].as_py()), end).astype("<u4")
                 at, k, own = 0, 0, doc[row].as_py()
                 while at < len(t):
                     to = at + ((len(t) - at) % capacity or capacity)
@@ -117,8 +132,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length, ...; a table that stays as it is) with sequence_id and offset."""
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    salts = sum(counts.values()) // GROUP_ROWS + 1
-    salted = pieces.withColumn("_s", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    shares = GROUPS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = spark.createDataFrame([(k, max(1, n * shares // sum(counts.values()))) for k, n in counts.items()], "_k long, _salts long")
+    salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("_k")).withColumn("_s", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_salts"))
+    salted = salted.select(*pieces.columns, "_s")
     groups = salted.groupBy("length", "_s").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     base = groups.select(F.col("length").alias("_l"), F.col("_s").alias("_t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))

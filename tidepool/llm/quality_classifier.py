@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and the n-grams of bytes within words (with the blanks around
-them), hashed into ``BUCKETS``. Every bucket has a learned vector; a text is the mean of its vectors,
+A text's features are its words and the n-grams of characters within words (with the blanks around
+them), and pairs of adjacent words, hashed into ``BUCKETS``. A pair's hash is that of the difference
+of its words, so that all words that follow themselves share a bucket. Every bucket has a learned vector; a text is the mean of its vectors,
 and a softmax over the two labels follows. Vectors and output weights are trained together by plain
 stochastic gradient descent in numpy. As the output is linear in the mean, a trained model
 scores with one number a bucket, and a task adds those numbers up for whole batches of texts.
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE, NOT_SPACE, chunks, mix, randoms, table, utf8, words
+from .chars import STEP, char_hashes, code_points, part_hashes, prefix_sums, runs, text_chunks
+from .common import NOT_SPACE, held_out, mix, randoms, sealed, table
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -22,58 +24,53 @@ GRAMS = (3, 4)
 DIM = 8
 EPOCHS = 6
 RATE = 4.0
-#: Labelled rows to learn from, at most, and the longest text (UTF-8 bytes) among them.
-TRAIN_ROWS = 4000
-TRAIN_BYTES = 32_000
-
-
-def features(raw: np.ndarray, at: np.ndarray):
-    """(buckets, document of each) of all features of the documents, words first."""
-    h, _, _, first = words(raw, at, NOT_SPACE, lower=False)
-    docs = len(at) - 1
-    out, owner = [(h >> np.uint64(64 - BITS)).astype(np.int32)], [np.repeat(np.arange(docs, dtype=np.int32), np.diff(first))]
-    n = len(raw)
-    space = ~NOT_SPACE[raw]
-    spaces = np.concatenate([[0], np.cumsum(space, dtype=np.int32)])
-    doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(at))
-    coded = BYTE[np.where(space, np.uint8(32), raw)]
+#: Labelled rows to learn from, at most; of each, every feature of the whole text.
+TRAIN_ROWS = 6000
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of all features of the texts, words first."""
+    c, at = code_points(texts)
+    word = np.ones(len(c), bool)
+    low = c < 256
+    word[low] = NOT_SPACE[c[low]]
+    starts, ends = runs(word)
+    sums = prefix_sums(c, starts, ends)
+    one = part_hashes(sums, starts, ends - starts, 1)
+    of = np.concatenate([[0], np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))])
+    mine = of[starts]
+    pair = np.flatnonzero(mine[1:] == mine[:-1])
     with np.errstate(over="ignore"):
-        for g in GRAMS:
-            if n < g:
-                continue
-            m = n - g + 1
-            # no blank inside, not a blank alone with one letter's neighbours in another text
-            ok = (spaces[g - 1 : g - 1 + m] == spaces[1 : m + 1]) & (doc[g - 1 :] == doc[:m])
-            where = np.flatnonzero(ok)
-            r = randoms(g, 10 + g)
-            x = np.zeros(len(where), np.uint64)
+        two = mix((one[pair + 1] - one[pair]) * STEP)  # a word after itself is the same pair for every word
+    out, owner = [one, two], [mine, mine[pair]]
+    coded = np.where(word, char_hashes(c), np.uint64(0))
+    blanks = np.concatenate([[0], np.cumsum(~word, dtype=np.int32)])
+    for g in GRAMS:
+        m = len(c) - g + 1
+        if m < 1:
+            continue
+        # blanks only at the ends, and not at both ends of nothing
+        where = np.flatnonzero((blanks[g - 1 : g - 1 + m] == blanks[1 : m + 1]) & word[1 : m + 1])
+        r = randoms(g, 10 + g)
+        x = np.zeros(len(where), np.uint64)
+        with np.errstate(over="ignore"):
             for j in range(g):
                 x += coded[where + j] * r[j]
-            out.append((mix(x) >> np.uint64(64 - BITS)).astype(np.int32))
-            owner.append(doc[where])
-    return np.concatenate(out), np.concatenate(owner)
-
+        out.append(mix(x))
+        owner.append(of[where + 1])  # a first blank may be the one before the text
+    return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(owner)
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(a number for each bucket, log-odds of label 1 of a text without features)."""
-    import pyarrow as pa
 
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """(a number for each bucket, log-odds of label 1 of a text without features), from the
+    (distinct buckets, shares of the text's features) of each text."""
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = float(np.log(share / (1 - share)))
-    rows = []
-    raw, at = utf8(pa.array(texts, pa.large_string()))
-    for row, end, b, off in chunks(raw, at):
-        f, owner = features(b, off)
-        f = f[np.argsort(owner, kind="stable")]
-        cut = np.searchsorted(np.sort(owner), np.arange(end - row + 1))
-        for i in range(end - row):
-            u, c = np.unique(f[cut[i] : cut[i + 1]], return_counts=True)
-            rows.append((u, (c / max(1, c.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = np.zeros((2, DIM), np.float32), np.array([-prior / 2, prior / 2], np.float32)
-    steps, done = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             u, c = rows[i]
             rate = RATE * (1 - done / steps)
@@ -92,50 +89,76 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label) of a fixed choice of labelled rows whose crc32(doc_id) mod 5 isn't 0. Rows
-    that are null or longer than TRAIN_BYTES aren't learned from."""
-    use = labels.where(F.col(column).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    """(doc_id, text, label) of the labelled ids whose crc32 mod 5 isn't 0; of more than ``most`` of them
+    always the same ones, those with the smallest hashes. A null text is empty; an id with several
+    texts gives its smallest one, and one with several labels the larger."""
+    use = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = use.groupBy("doc_id").agg(F.max(column).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = ids.select(F.col("doc_id").alias("_id"), "label")
-    return docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def sample_features(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, buckets, counts) of rows (doc_id, text, label): at most BUCKETS numbers a row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, j in text_chunks(texts):
+                f, owner = features(texts[i:j])
+                u, n = np.unique(owner.astype(np.int64) << BITS | f, return_counts=True)
+                cut = pa.array(np.searchsorted(u >> BITS, np.arange(j - i + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (u & (BUCKETS - 1), n)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), *lists], ["doc_id", "label", "buckets", "counts"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, label int, buckets array<int>, counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS):
-    """A model from a bounded sample. Without labelled rows every text scores 0.5."""
-    got = labelled(docs, labels, "quality", most).orderBy("doc_id", "text").limit(2 * most).toPandas()
-    if not len(got):
+    """A model from labelled rows, ``most`` of them at most (the bound of what reaches the driver);
+    tasks turn their texts into features. Without labelled rows every text scores 0.5."""
+    rows, y = [], []
+    for r in sample_features(labelled(docs, labels, "quality", most)).orderBy("doc_id").toPandas().itertuples(index=False):
+        n = np.asarray(r.counts, np.float32)
+        rows.append((np.asarray(r.buckets, np.int32), n / max(1.0, float(n.sum()))))
+        y.append(r.label)
+    if not rows:
         return np.zeros(BUCKETS, np.float32), 0.0
-    return train(got["text"].tolist(), got["label"].to_numpy())
+    return train(rows, np.array(y))
 
 
 def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
     """All columns of docs with score (of label 1, 0 to 1) and predicted (1 from ``threshold`` on).
 
-    Null and empty texts have no features and get the score of the labels' shares alone.
-    Repeated rows score alike. Columns of docs named score or predicted are replaced.
+    Null and empty texts have no features and get the score of the labels' shares alone; texts of
+    any length are taken whole. Repeated rows score alike. Columns of docs named score or predicted
+    are replaced, others stay whatever they are called.
     """
     value = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score", "predicted")
+    docs, back = sealed(docs, "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
 
         weight, prior = value.value
         for batch in batches:
-            raw, at = utf8(batch.column("text"))
-            got = np.full(batch.num_rows, prior)
-            for row, end, b, off in chunks(raw, at):
-                f, owner = features(b, off)
-                n = np.bincount(owner, minlength=end - row)
-                got[row:end] += np.bincount(owner, weights=weight[f], minlength=end - row) / np.maximum(n, 1)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            got = np.full(len(texts), prior)
+            for i, j in text_chunks(texts):
+                f, owner = features(texts[i:j])
+                n = np.bincount(owner, minlength=j - i)
+                got[i:j] += np.bincount(owner, weights=weight[f], minlength=j - i) / np.maximum(n, 1)
             p = np.round(1 / (1 + np.exp(-np.clip(got, -50, 50))), 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return back(out.withColumn("predicted", (F.col("score") >= threshold).cast("int")), "score", "predicted")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

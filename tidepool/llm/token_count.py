@@ -20,8 +20,9 @@ from .common import table, text_of
 
 #: The pattern of byte-level BPE files that say "ByteLevel" with use_regex (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose counts a worker remembers; then it forgets them all and starts again.
-REMEMBERED = 2_000_000
+#: Pieces whose counts a worker remembers; then it forgets them all and starts again. Pieces of more
+#: characters than SHORT aren't remembered.
+REMEMBERED, SHORT = 2_000_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,9 +51,11 @@ class Counts(dict):
         self.pieces = regex.compile(PATTERN).findall
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[piece] = merged(piece.encode("utf-8", "replace"), self.ranks)
+        n = merged(piece.encode("utf-8", "replace"), self.ranks)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = n
         return n
 
     def count(self, text: str) -> int:

@@ -17,7 +17,7 @@ from .common import table
 
 #: Characters of all rules together; they are given in a call or a file, not derived from data.
 MAX_RULE_CHARS = 64_000_000
-PATH, LAST, RULE = 0, 1, 2  # keys of a trie node that aren't labels
+PATH, LAST, LONGEST = 0, 1, 2  # keys of a trie node that aren't labels
 
 
 def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
@@ -36,6 +36,7 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         for segment in inner:
             node = node.setdefault(segment, {})
         node.setdefault(LAST, {})[last] = (f"{host.lower()}{path}", verdict)
+        node[LONGEST] = max(node.get(LONGEST, 0), len(last))
     return trie
 
 
@@ -45,7 +46,7 @@ def in_path(node: dict, path: str):
     for segment in segments:
         ends = node.get(LAST)
         if ends:
-            for n in range(len(segment), -1, -1):
+            for n in range(min(len(segment), node[LONGEST]), -1, -1):
                 if segment[:n] in ends:
                     best = ends[segment[:n]]
                     break
