@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import string_bytes
+
 IUPAC = "^[ACGTNRYSWKMBDHV]+$"
 #: Bases that each ambiguity code stands for (a fixed table).
 AMBIGUITY = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
@@ -55,14 +59,31 @@ def phred(quality: Column) -> Column:
     return F.transform(F.filter(F.split(quality, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
 
 
+def _quality(of_scores):
+    """A column function from the bytes of a quality string: a table of 256 values, summed a row."""
+
+    def value(quality: pd.Series) -> pd.Series:
+        raw, at = string_bytes(quality)
+        sums = np.concatenate([[0.0], np.cumsum(of_scores[raw])]) if of_scores.dtype.kind == "i" else None
+        if sums is None:  # floats are added row by row, so that long batches lose no digits
+            some = np.flatnonzero(np.diff(at))
+            out = np.zeros(len(at) - 1)
+            if len(some):
+                out[some] = np.add.reduceat(of_scores[raw], at[some])
+            return pd.Series(out)
+        return pd.Series((sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1))
+
+    return F.pandas_udf(value, "double")
+
+
 def mean_quality(quality: Column) -> Column:
-    q = phred(quality)
-    total = F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(F.length(quality) > 0, total / F.length(quality)).otherwise(0.0)
+    """Mean Phred+33 score; 0 for an empty or null string. Scores come from bytes in Arrow batches."""
+    return _quality(np.arange(256) - 33)(quality)
 
 
 def expected_errors(quality: Column) -> Column:
-    return F.aggregate(phred(quality), F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), -x / F.lit(10.0)))
+    """Sum of the error probabilities 10^(-score / 10); null for a null string."""
+    return F.when(quality.isNotNull(), _quality(10.0 ** (-(np.arange(256) - 33.0) / 10))(quality))
 
 
 def primer_pattern(primer: str) -> str:

@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Hexadecimal digits of a hash that cut a class into stretches (16^3 of them at most).
+STRETCH = 3
+
+
 def shuffled(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
@@ -60,14 +64,24 @@ def labels_subset(a: DataFrame, b: DataFrame, label: str = "label") -> bool:
     return label_difference(a, b, label).isEmpty()
 
 
-def ranked(df: DataFrame, seed: int, label: str, key: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(shuffled(seed, key), key)))
+def ranked(df: DataFrame, seed: int, label: str, key: str, most: int | None = None) -> DataFrame:
+    """``_r``: place of a row in its class by (md5(seed, key), key). The first digits of the hash cut a class
+    into stretches that are ranked each by itself, behind the rows of the stretches before. With
+    ``most``, places beyond it may be missing: tasks drop rows that can't be among those early."""
+    cut = df.withColumn("_h", shuffled(seed, key)).withColumn("_b", F.substring("_h", 1, STRETCH))
+    sizes = cut.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("_l").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))
+    base = sizes.select("_l", "_c", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key))
+    inner = cut.withColumn("_r", within)
+    inner = inner if most is None else inner.where(F.col("_r") <= most)
+    placed = inner.join(base, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn("_r", F.col("_r") + F.col("_before")).drop("_h", "_b", "_l", "_c", "_before")
 
 
 def cap_per_class(df: DataFrame, n: int = 200, seed: int = 42, label: str = "label", key: str = "id") -> DataFrame:
-    """n rows of each class at most. Spark keeps only the first n of a class in each task before the
-    shuffle, so a large class doesn't meet in one."""
-    return ranked(df, seed, label, key).where(F.col("_r") <= n).drop("_r")
+    """n rows of each class at most: the first by (md5(seed, key), key)."""
+    return ranked(df, seed, label, key, n).where(F.col("_r") <= n).drop("_r")
 
 
 def subsample_to(df: DataFrame, target: int = 50_000, floor: int = 5, seed: int = 42, label: str = "label", key: str = "id") -> DataFrame:

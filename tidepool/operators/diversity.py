@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .balance import shuffled
 
 
-
-
 def abundance_by_rank(df: DataFrame, ranks: list[str]) -> DataFrame:
     """sample_id, rank, taxon, n at every level of a rank path."""
     rows = df.select("sample_id", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(f"`{r}`").cast("string").alias("taxon")) for r in ranks])).alias("v"))
@@ -44,17 +44,29 @@ def normalize_css(df: DataFrame, quantile: float = 0.5, scale: float = 1000.0) -
     return df.join(s, "sample_id", "left").select("sample_id", "taxon", "n", F.round(F.col("n") * scale / F.col("s"), 6).alias("css"))
 
 
+#: Hexadecimal digits by which individuals are counted before any are sorted.
+DIGITS = 4
+
+
 def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
     """depth individuals of each sample, drawn without replacement in the order of
     md5(seed, sample, taxon, number); samples with fewer are dropped.
 
-    Only the order key of each individual is needed, and a first filter by an upper bound of its
-    first hexadecimal digits keeps a sample's rows near the depth before they are sorted.
+    Individuals are counted by the first digits of their hash. All below the digits in which a sample
+    reaches the depth are in; only those with just these digits, one in 16^DIGITS, are sorted.
     """
     big = df.join(sample_totals(df).where(F.col("total") >= depth), "sample_id")
-    each = big.select("sample_id", "taxon", "total", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
+    each = big.select("sample_id", "taxon", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
+    each = each.withColumn("_b", F.substring("_h", 1, DIGITS))
+    sizes = each.groupBy("sample_id", "_b").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("sample_id").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))
+    edge = sizes.withColumn("_u", upto).where((F.col("_u") >= depth) & (F.col("_u") - F.col("n") < depth))
+    edge = edge.select("sample_id", F.col("_b").alias("_e"), (depth - (F.col("_u") - F.col("n"))).alias("_more"))
+    near = each.join(edge, "sample_id")
+    below = near.where(F.col("_b") < F.col("_e")).select("sample_id", "taxon")
     place = F.row_number().over(W.partitionBy("sample_id").orderBy("_h", "taxon", "i"))
-    return each.withColumn("_r", place).where(F.col("_r") <= depth).groupBy("sample_id", "taxon").agg(F.count("*").alias("n"))
+    last = near.where(F.col("_b") == F.col("_e")).withColumn("_r", place).where(F.col("_r") <= F.col("_more")).select("sample_id", "taxon")
+    return below.unionAll(last).groupBy("sample_id", "taxon").agg(F.count("*").alias("n"))
 
 
 def alpha_diversity(df: DataFrame) -> DataFrame:
@@ -85,25 +97,22 @@ def bray_curtis(df: DataFrame) -> DataFrame:
     return pairs.join(shared, ["a", "b"], "left").select("a", "b", F.round(1 - 2.0 * F.coalesce("low", F.lit(0)) / (F.col("ta") + F.col("tb")), 6).alias("distance"))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """(x, lf): ln x! for 0..most, as running sums; parts of 4096 first, so no task sums them all."""
-    i = spark.range(most + 1).select(F.col("id").alias("x"), F.when(F.col("id") > 0, F.log(F.col("id").cast("double"))).otherwise(0.0).alias("l")).withColumn("p", F.floor(F.col("x") / 4096))
-    base = i.groupBy("p").agg(F.sum("l").alias("l")).select("p", F.coalesce(F.sum("l").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    return i.join(base, "p").select("x", (F.col("base") + F.sum("l").over(W.partitionBy("p").orderBy("x").rowsBetween(W.unboundedPreceding, 0))).alias("lf"))
+def log_factorial(x: Column) -> Column:
+    """ln x! of whole numbers: a table up to 15, Stirling's series (to 1e-12) beyond."""
+    y = x.cast("double") + 1
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    return F.when(x < 16, F.get(small, F.greatest(x, F.lit(0)).cast("int"))).otherwise(series)
 
 
 def rarefaction_curve(df: DataFrame, depths: list[int]) -> DataFrame:
     """(sample_id, depth, richness): expected number of taxa among depth individuals; depths over a
     sample's total are left out. Taxa with equal counts in a sample are computed once."""
-    spark = df.sparkSession
     classes = df.where("n > 0").groupBy("sample_id", "n").agg(F.count("*").alias("taxa")).join(sample_totals(df), "sample_id")
-    most = classes.agg(F.max("total")).first()[0] or 0
-    lf = log_factorials(spark, int(most))
-    d = spark.createDataFrame([(x,) for x in depths], "depth long")
-    rows = classes.join(F.broadcast(d), F.col("depth") <= F.col("total"))
-    for name, x in (("l_rest", F.col("total") - F.col("n")), ("l_cut", F.col("total") - F.col("n") - F.col("depth")), ("l_total", F.col("total")), ("l_left", F.col("total") - F.col("depth"))):
-        rows = rows.withColumn("_x", F.greatest(x, F.lit(0))).join(lf.select(F.col("x").alias("_x"), F.col("lf").alias(name)), "_x").drop("_x")
-    missing = F.when(F.col("total") - F.col("n") >= F.col("depth"), F.exp(F.col("l_rest") - F.col("l_cut") - F.col("l_total") + F.col("l_left"))).otherwise(0.0)
+    rows = classes.withColumn("depth", F.explode(F.array(*[F.lit(x).cast("long") for x in depths]))).where(F.col("depth") <= F.col("total"))
+    rest, total = F.col("total") - F.col("n"), F.col("total")
+    gone = log_factorial(rest) - log_factorial(rest - F.col("depth")) - log_factorial(total) + log_factorial(total - F.col("depth"))
+    missing = F.when(rest >= F.col("depth"), F.exp(gone)).otherwise(0.0)
     return rows.groupBy("sample_id", "depth").agg(F.round(F.sum(F.col("taxa") * (1 - missing)), 4).alias("richness"))
 
 

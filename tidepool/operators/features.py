@@ -4,21 +4,70 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, CountVectorizerModel, MinMaxScaler, Normalizer, StandardScaler, UnivariateFeatureSelector, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import batches as B
 from ..functions import sequence as S
 
 
+#: Counts (a number for each word) that a task holds before it passes them on.
+HELD = 4_000_000
+
+
 def kmer_counts(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 6), group: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
-    """(group, k, kmer, n). Counts combine before the shuffle, which gets 4^k rows a task at most."""
-    of = lambda k: F.transform(S.kmers(F.col(seq), k), lambda w: F.struct(F.lit(k).alias("k"), w.alias("kmer")))
-    words = F.flatten(F.array(*[of(k) for k in ks]))
-    return df.select(*group, F.explode(words).alias("w")).groupBy(*group, F.col("w.k").alias("k"), F.col("w.kmer").alias("kmer")).agg(F.count("*").alias("n"))
+    """(group, k, kmer, n). Tasks count base-4 numbers in Arrow batches and pass on 4^k counts a group at most."""
+    fields = [df.schema[g] for g in group]
+    schema = T.StructType([*fields, T.StructField("k", T.IntegerType()), T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple, dict[int, np.ndarray]] = {}
+
+        def passed_on():
+            kinds = to_arrow_schema(schema)
+            for k in ks:
+                keys = [g for g in held if k in held[g]]
+                some = [np.flatnonzero(held[g][k]) for g in keys]
+                if not keys:
+                    continue
+                size = [len(x) for x in some]
+                cols = [pa.array([g[i] for g, n in zip(keys, size, strict=True) for _ in range(n)], kinds.field(i).type) for i in range(len(group))]
+                code, n = np.concatenate(some), np.concatenate([held[g][k][x] for g, x in zip(keys, some, strict=True)])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int32)), pa.array(n)], kinds.names)
+            held.clear()
+
+        for batch in batches:
+            groups = list(zip(*[batch.column(g).to_pylist() for g in group], strict=True)) if group else [()] * batch.num_rows
+            raw, at = B.string_bytes(batch.column("_s"))
+            for row, end, part, off in B.chunks(raw, at):
+                names: dict[tuple, int] = {}
+                number = np.array([names.setdefault(g, len(names)) for g in groups[row:end]])
+                for k in ks:
+                    code, of = B.kmer_codes(part, off, k)
+                    wide = number[of] * 4**k + code
+                    counts = np.bincount(wide, minlength=len(names) * 4**k).reshape(len(names), 4**k)
+                    for g, i in names.items():
+                        own = held.setdefault(g, {})
+                        own[k] = own[k] + counts[i] if k in own else counts[i]
+                if len(held) * sum(4**k for k in ks) > HELD:
+                    yield from passed_on()
+        yield from passed_on()
+
+    rows = df.select(*group, F.coalesce(F.col(seq), F.lit("")).alias("_s"))
+    total = rows.mapInArrow(run, schema).groupBy(*group, "k", "code").agg(F.sum("n").alias("n"))
+    longest = max(ks)
+    letters = [F.when(F.col("k") > i, F.substring(F.lit("ACGT"), F.shiftright("code", 2 * i).bitwiseAND(F.lit(3)) + 1, F.lit(1))).otherwise("") for i in range(longest - 1, -1, -1)]
+    return total.select(*group, "k", F.concat(*letters).alias("kmer"), "n")
 
 
 def vocabulary(k: int) -> list[str]:
@@ -32,16 +81,38 @@ def kmer_vector(df: DataFrame, k: int = 4, seq: str = "seq", out: str = "feature
     return Normalizer(p=1.0, inputCol="_n", outputCol=out).transform(counted).drop("_w", "_n")
 
 
+def _composition():
+    @F.pandas_udf("struct<length:int,gc:double,pairs:array<double>>")
+    def parts(seq: pd.Series) -> pd.DataFrame:
+        raw, at = B.string_bytes(seq)
+        n = len(at) - 1
+        pairs, gc = np.zeros((n, 16)), np.zeros(n)
+        for row, end, part, off in B.chunks(raw, at):
+            code, of = B.kmer_codes(part, off, 2)
+            c = np.bincount(of * 16 + code, minlength=(end - row) * 16).reshape(-1, 16)
+            pairs[row:end] = c / np.maximum(c.sum(1, keepdims=True), 1)
+            one, of = B.kmer_codes(part, off, 1)
+            all_ = np.bincount(of, minlength=end - row)
+            gc[row:end] = np.bincount(of, weights=(one == 1) | (one == 2), minlength=end - row) / np.maximum(all_, 1)
+        # lengths are in characters; other signs than bases may have several bytes
+        return pd.DataFrame({"length": seq.str.len().fillna(0).astype(int), "gc": gc, "pairs": list(pairs)})
+
+    return parts
+
+
 def composition(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """length, gc and the frequency of each of the 16 pairs of bases among the clean pairs."""
-    df = df.withColumn("_p", S.kmers(F.col(seq), 2))
-    share = lambda w: F.when(F.size("_p") > 0, F.size(F.filter("_p", lambda x: x == w)) / F.size("_p")).otherwise(0.0)
-    return df.withColumns({"length": F.length(seq), "gc": S.gc_fraction(F.col(seq))} | {f"f_{w.lower()}": F.round(share(w), 6) for w in vocabulary(2)}).drop("_p")
+    """length, gc and the frequency of each of the 16 pairs of bases among the clean pairs, in one pass
+    over Arrow batches. A null sequence counts as empty."""
+    c = df.withColumn("_c", _composition()(F.col(seq)))
+    return c.withColumns({"length": F.col("_c.length"), "gc": F.col("_c.gc")} | {f"f_{w.lower()}": F.round(F.get("_c.pairs", F.lit(i)), 6) for i, w in enumerate(vocabulary(2))}).drop("_c")
 
 
-def kmer_word2vec(df: DataFrame, k: int = 4, dim: int = 128, seq: str = "seq", seed: int = 42) -> DataFrame:
+def kmer_word2vec(df: DataFrame, k: int = 4, dim: int = 128, seq: str = "seq", seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """Mean of the learned vectors of a sequence's words. The fit runs in ``partitions`` tasks, as many as
+    the session shuffles to if not given."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = df.withColumn("_w", S.kmers(F.col(seq), k))
-    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, numPartitions=1, maxIter=1, inputCol="_w", outputCol="features").fit(words)
+    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, numPartitions=partitions, maxIter=1, inputCol="_w", outputCol="features").fit(words)
     return model.transform(words).drop("_w")
 
 

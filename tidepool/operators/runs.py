@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normalize_status
+from ..storage import written
 
 
 def with_status(runs: DataFrame) -> DataFrame:
@@ -45,11 +46,19 @@ def last_durations(runs: DataFrame, n: int = 8) -> DataFrame:
 
 def uniquify_ids(df: DataFrame, base: str = "base_id", order: str = "at") -> DataFrame:
     """run_id: the base id for its first row, then base-1, base-2 and so on, without those numbers
-    that some base id already has as its own name."""
+    that some base id already has as its own name. Rows are cut into ranges of (base, order) and
+    numbered within them, so that no base id has to fit one task."""
     names = df.select(F.col(base).alias("_name")).distinct()
     split = names.select(F.regexp_extract("_name", "^(.*)-([1-9][0-9]*)$", 1).alias("_b"), F.regexp_extract("_name", "^(.*)-([1-9][0-9]*)$", 2).try_cast("long").alias("_k")).where(F.col("_k").isNotNull())
     taken = split.groupBy("_b").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
-    rows = df.withColumn("_r", F.row_number().over(W.partitionBy(base).orderBy(order)) - 1).join(taken, F.col(base) == F.col("_b"), "left")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(df.repartitionByRange(parts, base, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(F.col(base).alias("_n"), F.col("_p").alias("_q")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("_n").orderBy("_q").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("_n", "_q", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = ranges.withColumn("_r", F.row_number().over(W.partitionBy(base, "_p").orderBy(order)) - 1)
+    rows = rows.join(sizes, F.col(base).eqNullSafe(F.col("_n")) & (F.col("_p") == F.col("_q"))).withColumn("_r", F.col("_r") + F.col("_before")).drop("_p", "_q", "_n", "_before")
+    rows = rows.join(taken, F.col(base) == F.col("_b"), "left")
     # each taken number up to the current one pushes it up by one
     k = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_r").cast("long"), lambda a, t: F.when(t <= a, a + 1).otherwise(a))
     name = F.when(F.col("_r") == 0, F.col(base)).otherwise(F.concat_ws("-", base, k.cast("string")))
