@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numbers import clamp
 from ..functions.taxonomy import or_unknown, parse_taxonomy
 from ..schema import RANKS, UNKNOWN
-from ..storage import written
-
-MAX_DEPTH = 64
-
+from ..storage import kept, scratch, written
 
 def resolve_lineage(taxids: DataFrame, nodes: DataFrame, names: DataFrame, top: tuple[str, ...] = ("superkingdom",)) -> DataFrame:
     """taxid and the seven ranks of each distinct taxid, by walking parents to the root.
@@ -25,23 +25,23 @@ def resolve_lineage(taxids: DataFrame, nodes: DataFrame, names: DataFrame, top:
     """
     rank = F.when(F.col("rank").isin(*top), "kingdom").otherwise(F.col("rank"))
     tree = nodes.select(F.col("taxid").alias("at"), "parent", rank.alias("rank")).join(names.select(F.col("taxid").alias("at"), "name"), "at", "left")
-    tree = written(tree.select("at", "parent", "rank", F.coalesce("name", F.lit(UNKNOWN)).alias("name")), "tree")
-    front = taxids.select("taxid").distinct().select("taxid", F.col("taxid").alias("at"), F.array().cast("array<int>").alias("seen"))
-    levels = []
-    for depth in range(MAX_DEPTH):
-        step = written(front.join(tree, "at").select("taxid", "at", "parent", "rank", "name", "seen", F.lit(depth).alias("depth")), "walk")
-        if step.isEmpty():
-            break
-        levels.append(step.select("taxid", "rank", "name", "depth"))
-        seen = F.concat("seen", F.array("at"))
-        front = step.where((F.col("parent") != 0) & ~F.array_contains(seen, F.col("parent"))).select("taxid", F.col("parent").alias("at"), seen.alias("seen"))
     all_ids = taxids.select("taxid").distinct()
-    if not levels:
-        return all_ids.withColumns({r: F.lit(UNKNOWN) for r in RANKS})
-    walked = levels[0]
-    for x in levels[1:]:
-        walked = walked.unionByName(x)
-    best = walked.where(F.col("rank").isin(*RANKS)).groupBy("taxid").agg(*[F.max_by(F.when(F.col("rank") == r, F.col("name")), F.when(F.col("rank") == r, F.col("depth"))).alias(r) for r in RANKS])
+    with scratch():
+        tree = written(tree.select("at", "parent", "rank", F.coalesce("name", F.lit(UNKNOWN)).alias("name")), "tree")
+        front = all_ids.select("taxid", F.col("taxid").alias("at"), F.array().cast("array<int>").alias("seen"))
+        levels = []
+        for depth in count():  # each round adds a node to every walk, and a node seen before ends it
+            step = written(front.join(tree, "at").select("taxid", "at", "parent", "rank", "name", "seen", F.lit(depth).alias("depth")), "walk")
+            if step.isEmpty():
+                break
+            levels.append(step.where(F.col("rank").isin(*RANKS)).select("taxid", "rank", "name", "depth"))
+            seen = F.concat("seen", F.array("at"))
+            front = step.where((F.col("parent") != 0) & ~F.array_contains(seen, F.col("parent"))).select("taxid", F.col("parent").alias("at"), seen.alias("seen"))
+        if not levels:
+            return all_ids.withColumns({r: F.lit(UNKNOWN) for r in RANKS})
+        walked = reduce(DataFrame.unionByName, levels)
+        best = walked.groupBy("taxid").agg(*[F.max_by(F.when(F.col("rank") == r, F.col("name")), F.when(F.col("rank") == r, F.col("depth"))).alias(r) for r in RANKS])
+        best = kept(best, "lineages")
     return all_ids.join(best, "taxid", "left").select("taxid", *[F.coalesce(F.col(f"`{r}`"), F.lit(UNKNOWN)).alias(r) for r in RANKS])
 
 
@@ -80,6 +80,17 @@ def clean_reference_taxonomy(df: DataFrame, sub_ranks: DataFrame, label: str = "
     return joined.select(key, F.concat(F.array_join(F.transform("p", lambda x: x["name"]), ";"), F.lit(";")).alias("taxonomy"))
 
 
+def attach_samples(reads: DataFrame, manifest: DataFrame, path: str = "file") -> DataFrame:
+    """Reads with the sample and mate of their file; reads of files that the manifest doesn't name go.
+
+    manifest: sample_id, mate, path. Paths are compared by their last part, as manifests name files
+    relative to their own place.
+    """
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    files = manifest.select("sample_id", "mate", last("path").alias("_file")).distinct()
+    return reads.withColumn("_of", last(path)).join(files, F.col("_of") == F.col("_file")).drop("_of", "_file")
+
+
 def taxonomy_from_hits(hits: DataFrame, lineage: DataFrame, least_identity: float = 0.0, most_evalue: float = 10.0) -> DataFrame:
     """The best hit of each query (identity, then e-value, then subject) with the lineage of its first taxid."""
     ok = hits.where((F.col("pident") >= least_identity) & (F.col("evalue") <= most_evalue))
@@ -103,58 +114,57 @@ def consensus(preds: DataFrame, weights: DataFrame, least_share: float = 0.5) ->
     return one.select("sequence_id", *ranks, F.round(F.coalesce(F.element_at("s", F.greatest(F.col("depth") - 1, F.lit(0))), F.lit(0.0)), 6).alias("share"))
 
 
-#: Reference vectors in one broadcast block.
-BLOCK_ROWS = 20_000
+#: Reference vectors, and queries, in one block; queries of a block that are multiplied at once.
+BLOCK_ROWS, SLICE = 20_000, 512
 
 
-def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, others: bool = False) -> DataFrame:
     """(query_id, ref_id, label, distance, place): the k nearest reference rows of each query by
-    cosine distance; ties by ref_id.
+    cosine distance; ties by ref_id. ``others``: a row of the reference with the query's id doesn't count.
 
-    The reference goes through the executors in blocks of bounded size, each one matrix product for
-    a batch of queries; the k best of every block meet per query at the end.
+    Both sides are dealt to blocks by hash. Every pair of a query block and a reference block is
+    one group of a cogroup, a matrix product in slices; the k best of every pair meet per query.
     queries: id, embedding; reference: id, embedding, label.
     """
-    spark = queries.sparkSession
-    n = reference.count()
-    blocks = max(1, -(-n // block_rows))
-    parts = []
-    for b in range(blocks):
-        rows = reference.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "label", F.col("embedding").cast("array<double>").alias("e")).orderBy("id").toPandas()
-        if not len(rows):
-            continue
-        m = np.array(rows["e"].tolist())
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        block = spark.sparkContext.broadcast((rows["id"].to_numpy(), rows["label"].astype(str).to_numpy(), m))
-
-        def run(batches, block=block):
-            import pandas as pd
-
-            ids, labels, m = block.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                q = np.array(pdf["embedding"].tolist(), dtype=float)
-                d = np.round(1 - (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ m.T, 9)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(pdf["id"].to_numpy(), best.shape[1]), "ref_id": ids[best].ravel(), "label": labels[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
-
-        kind = dict(reference.dtypes)["id"]
-        parts.append(queries.select("id", "embedding").mapInPandas(run, f"query_id {dict(queries.dtypes)['id']}, ref_id {kind}, label string, distance double"))
-    if not parts:
-        return spark.createDataFrame([], T._parse_datatype_string("query_id long, ref_id long, label string, distance double, place int"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    counts = [-(-max(1, df.count()) // block_rows) for df in (queries, reference)]
+    kinds = [dict(df.dtypes)["id"] for df in (queries, reference)]
+
+    def dealt(df: DataFrame, own: int, columns: list, seed: str) -> DataFrame:
+        """Each row in its block, once for each block of the other side."""
+        block = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(counts[own])).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - own] - 1)))
+        pair = [block.alias("a"), every.alias("b")] if own == 0 else [every.alias("a"), block.alias("b")]
+        return df.select("id", F.col("embedding").cast("array<double>").alias("e"), *columns, *pair)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "ref_id", "label", "distance"]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("id", kind="stable")
+        unit = lambda rows: (m := np.array(rows["e"].tolist())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        q, m, ids, labels = unit(left), unit(right), right["id"].to_numpy(), right["label"].astype(str).to_numpy()
+        out = []
+        for i in range(0, len(q), SLICE):
+            own = left["id"].to_numpy()[i : i + SLICE]
+            d = np.round(1 - q[i : i + SLICE] @ m.T, 9)
+            if others:
+                d[own[:, None] == ids[None, :]] = np.inf
+            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(own, top.shape[1]), "ref_id": ids[top].ravel(), "label": labels[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}))
+        near = pd.concat(out)
+        return near[np.isfinite(near["distance"])]
+
+    a, b = dealt(queries, 0, [], "q"), dealt(reference, 1, [F.col("label").cast("string").alias("label")], "r")
+    near = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(best, f"query_id {kinds[0]}, ref_id {kinds[1]}, label string, distance double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
-    return every.withColumn("place", place).where(F.col("place") <= k)
+    return near.withColumn("place", place).where(F.col("place") <= k)
 
 
-def knn_classify(queries: DataFrame, reference: DataFrame, k: int = 5, max_distance: float | None = None) -> DataFrame:
+def knn_classify(queries: DataFrame, reference: DataFrame, k: int = 5, max_distance: float | None = None, others: bool = False) -> DataFrame:
     """sequence_id, ranks, confidence (100 x votes of the winner / k), method, predicted_label and
     closest_distance. The winner of equal votes is the nearer one, then the first by name; without
     a neighbour within max_distance the label is Unknown and the confidence 0."""
-    near = nearest(queries, reference, k)
+    near = nearest(queries, reference, k, others=others)
     use = F.lit(True) if max_distance is None else F.col("distance") <= max_distance
     votes = near.groupBy("query_id", "label").agg(F.count_if(use).alias("n"), F.min("distance").alias("d"))
     best = votes.groupBy("query_id").agg(F.min("d").alias("closest_distance"), F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), "d", "label")).alias("b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -25,6 +26,10 @@ from .lineage import apply_label_taxonomy, mask_low_confidence, with_ranks
 
 #: Confidence of a model that gives no probabilities.
 PLAIN_CONFIDENCE = 0.7
+#: Method names in prediction rows (fixed values).
+SUPERVISED, FALLBACK = "supervised_taxonomy", "embedding_kmeans_fallback"
+#: Fits that run at once.
+AT_ONCE = 4
 
 
 def validate_embeddings(df: DataFrame, key: str = "sequence_id", vector: str = "embedding") -> DataFrame:
@@ -68,15 +73,16 @@ def otu_rows(assigned: DataFrame, method: str) -> DataFrame:
     return assigned.select("sequence_id", *ranks, N.scale_confidence(F.col("confidence")).alias("confidence"), F.lit(method).alias("method"), name.alias("predicted_label"))
 
 
-def otu_cluster(df: DataFrame, seed: int = 42, restarts: int = 3) -> DataFrame:
-    """Prediction rows from k-means, the best of several seeds; clusters are numbered by size, then by
+def otu_cluster(df: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
+    """Prediction rows from k-means, the best of several seeds (fitted side by side); clusters are numbered by size, then by
     their first id. One row is OTU-001 with 100; no rows give none."""
     n = df.count()
     if n <= 1:
-        return otu_rows(df.select("sequence_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("confidence")), "kmeans")
+        return otu_rows(df.select("sequence_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("confidence")), FALLBACK)
     rows = as_vector(df.select("sequence_id", "embedding")).persist()
     try:
-        models = [KMeans(k=cluster_count(n), seed=seed + i, maxIter=50).fit(rows) for i in range(restarts)]
+        with ThreadPool(min(restarts, AT_ONCE)) as pool:
+            models = pool.map(lambda i: KMeans(k=cluster_count(n), seed=seed + i, maxIter=50).fit(rows), range(restarts))
         best = min(models, key=lambda m: m.summary.trainingCost)
         sizes = best.transform(rows).groupBy("prediction").agg(F.count("*").alias("n"), F.min("sequence_id").alias("first")).orderBy(F.desc("n"), "first").collect()
     finally:
@@ -84,7 +90,7 @@ def otu_cluster(df: DataFrame, seed: int = 42, restarts: int = 3) -> DataFrame:
     centers = best.clusterCenters()
     order = [r["prediction"] for r in sizes] + [i for i in range(len(centers)) if i not in {r["prediction"] for r in sizes}]
     table = df.sparkSession.createDataFrame([(i, [float(x) for x in centers[old]]) for i, old in enumerate(order)], "cluster int, center array<double>")
-    return otu_rows(centroid_confidence(df, table), "kmeans")
+    return otu_rows(centroid_confidence(df, table), FALLBACK)
 
 
 def train_rf(df: DataFrame, label: str = "label", features: str = "features", trees: int = 100, seed: int = 42) -> tuple[PipelineModel, float]:
@@ -96,6 +102,15 @@ def train_rf(df: DataFrame, label: str = "label", features: str = "features", tr
     return model, accuracy
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """The whole model (scaling, trees, labels) as a folder of any file system that Spark writes to."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def serving(model: PipelineModel) -> PipelineModel:
     """The model without the stage that needs labels."""
     return PipelineModel([s for s in model.stages if "StringIndexer" not in type(s).__name__])
@@ -109,7 +124,7 @@ def classify_supervised(df: DataFrame, model: PipelineModel, known: DataFrame |
     confidence = F.array_max(vector_to_array("_prob")) if "_prob" in out.columns else F.lit(PLAIN_CONFIDENCE)
     rows = out.select("sequence_id", "predicted_label", confidence.alias("confidence"))
     rows = apply_label_taxonomy(rows, known) if known is not None else with_ranks(rows)
-    return mask_low_confidence(rows, threshold).select("sequence_id", *RANKS, N.scale_confidence(F.col("confidence")).alias("confidence"), F.lit("supervised").alias("method"), "predicted_label")
+    return mask_low_confidence(rows, threshold).select("sequence_id", *RANKS, N.scale_confidence(F.col("confidence")).alias("confidence"), F.lit(SUPERVISED).alias("method"), "predicted_label")
 
 
 def classify(df: DataFrame, model: PipelineModel | None = None, **kw) -> DataFrame:

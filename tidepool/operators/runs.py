@@ -65,12 +65,21 @@ def uniquify_ids(df: DataFrame, base: str = "base_id", order: str = "at") -> Dat
     return rows.withColumn("run_id", name).drop("_r", "_b", "_taken")
 
 
-def fold_updates(updates: DataFrame, fields: tuple[str, ...] = ("status", "progress", "message")) -> DataFrame:
+def fold_updates(updates: DataFrame, fields: tuple[str, ...] = ("status", "progress", "message"), first_step: str = "") -> DataFrame:
     """The state of each run after its partial updates in order (ts, seq): a field has its last value
-    that was given, progress is clamped, and the end is the time of the last terminal state."""
+    that was given, progress is clamped, and the end is the time of the last terminal state.
+
+    With columns step and step_status, ``steps`` lists the last status of each step as step=status
+    pairs by name; an update that names no step means the first one.
+    """
     at = F.struct("ts", "seq")
     last = [F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields]
     end = F.max(F.when(F.col("status").isin("completed", "failed"), F.col("ts"))).alias("end_time")
     out = updates.groupBy("run_id").agg(*last, end, F.count("*").alias("updates"))
     # greatest and least pass over nulls, but a run without progress has none
-    return out.withColumn("progress", F.when(F.col("progress").isNotNull(), F.least(F.greatest("progress", F.lit(0)), F.lit(100)))) if "progress" in fields else out
+    out = out.withColumn("progress", F.when(F.col("progress").isNotNull(), F.least(F.greatest("progress", F.lit(0)), F.lit(100)))) if "progress" in fields else out
+    if "step_status" not in updates.columns:
+        return out
+    each = updates.where(F.col("step_status").isNotNull()).groupBy("run_id", F.coalesce("step", F.lit(first_step)).alias("step")).agg(F.max_by("step_status", at).alias("s"))
+    steps = each.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "s"))), lambda x: F.concat_ws("=", x["step"], x["s"])), ",").alias("steps"))
+    return out.join(steps, "run_id", "left").withColumn("steps", F.coalesce("steps", F.lit("")))

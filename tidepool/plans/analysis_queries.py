@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import balance, clean, diversity, evaluate, lineage, models, runs, summary
 from ..operators.features import as_vector
 from ..schema import RANKS
-from ..storage import shared_path
+from ..storage import shared_path, written
 from ..streaming import streams
 from . import views as v
 from .registry import query
@@ -69,14 +69,14 @@ def j5b(spark, d):
 
 
 @query("j6_knn_classify", """
-WITH c AS (SELECT q.sequence_id, r.label, round(1 - sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))), 9) AS d, r.sequence_id AS ref FROM v_flat q JOIN v_flat r ON q.i = r.i AND q.sequence_id % 20 = 0 AND r.sequence_id % 20 <> 0 GROUP BY q.sequence_id, r.sequence_id, r.label),
+WITH c AS (SELECT q.sequence_id, r.label, round(1 - sum(q.x * r.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(r.x * r.x))), 9) AS d, r.sequence_id AS ref FROM v_flat q JOIN v_flat r ON q.i = r.i AND q.sequence_id % 20 = 0 AND r.sequence_id <> q.sequence_id GROUP BY q.sequence_id, r.sequence_id, r.label),
 n AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY d, ref) AS p FROM c),
 t AS (SELECT sequence_id, label, count(*) AS k, min(d) AS d FROM n WHERE p <= 5 GROUP BY ALL)
 SELECT sequence_id, arg_min(CAST(label AS VARCHAR), (-k, d, CAST(label AS VARCHAR))) AS predicted_label, round(20.0 * max(k), 2) AS confidence, round(min(d), 6) AS closest_distance FROM t GROUP BY sequence_id""")
 def j6(spark, d):
     e = v.v_emb(spark, d).withColumnRenamed("sequence_id", "id")
-    # the stated query set: ids divisible by 20, against all other rows
-    return lineage.knn_classify(e.where("id % 20 = 0"), e.where("id % 20 <> 0")).select("sequence_id", "predicted_label", "confidence", "closest_distance")
+    # the stated query set: ids divisible by 20, against all rows but the query itself
+    return lineage.knn_classify(e.where("id % 20 = 0"), e, others=True).select("sequence_id", "predicted_label", "confidence", "closest_distance")
 
 
 @query("j7_taxonomy_from_hits", LINEAGE + f", h AS (SELECT l_orderkey AS q, l_partkey AS subject, 1000 + l_suppkey AS taxid, 100 - l_discount * 100 AS pident, l_tax AS evalue, row_number() OVER (PARTITION BY l_orderkey ORDER BY 100 - l_discount * 100 DESC, l_tax, l_partkey, l_suppkey) AS r FROM lineitem WHERE 100 - l_discount * 100 >= 94) SELECT q AS query_id, {RANKED} FROM h LEFT JOIN lin USING (taxid) WHERE r = 1")
@@ -106,10 +106,11 @@ def j9(spark, d):
     return models.hybrid_route(v.v_rows(spark, d), v.v_emb(spark, d), 12.0)
 
 
-@query("j10_attach_samples", "SELECT read_id, n_name AS sample FROM v_reads JOIN nation ON sample_id = 'src' || n_nationkey WHERE n_nationkey % 3 > 0")
+@query("j10_attach_samples", "SELECT doc_id AS read_id, n_name AS sample_id, 'single' AS mate FROM documents JOIN nation ON source = 'src' || n_nationkey WHERE n_nationkey % 3 > 0")
 def j10(spark, d):
-    manifest = v.table(spark, d, "nation").where("n_nationkey % 3 > 0").select(F.concat(F.lit("src"), "n_nationkey").alias("sample_id"), F.col("n_name").alias("sample"))
-    return v.v_reads(spark, d).select("read_id", "sample_id").join(manifest, "sample_id").select("read_id", "sample")
+    manifest = v.table(spark, d, "nation").where("n_nationkey % 3 > 0").select(F.col("n_name").alias("sample_id"), F.lit("single").alias("mate"), F.concat(F.lit("data/src"), "n_nationkey", F.lit(".fa")).alias("path"))
+    reads = v.table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.concat(F.lit("file:/in/"), "source", F.lit(".fa")).alias("file"))
+    return lineage.attach_samples(reads, manifest).select("read_id", "sample_id", "mate")
 
 
 # -- summaries --------------------------------------------------------------------------------
@@ -185,9 +186,15 @@ def c11(spark, d):
     return balance.coverage(rows)
 
 
-@query("c13_rank_success", "SELECT unnest(['kingdom', 'phylum', 'class', 'order', 'family', 'genus', 'species']) AS rank, unnest([n, n, n, 0, 0, 0, 0]) AS known, unnest([100.0, 100.0, 100.0, 0, 0, 0, 0]) :: DOUBLE AS percent FROM (SELECT count(*) AS n FROM v_tax_labels)")
+DEPTHS = "SELECT p_partkey AS id, p_size % 8 AS depth FROM part"
+
+
+@query("c13_rank_success", f"SELECT rank, count(*) FILTER (depth >= k) AS known, round(100.0 * count(*) FILTER (depth >= k) / count(*), 2) AS percent FROM ({DEPTHS}), (VALUES ('kingdom', 1), ('phylum', 2), ('class', 3), ('order', 4), ('family', 5), ('genus', 6), ('species', 7)) AS r(rank, k) GROUP BY rank")
 def c13(spark, d):
-    return summary.rank_success(lineage.with_ranks(v.v_tax_labels(spark, d), "label"))
+    # labels that name a part's first p_size % 8 ranks
+    names = F.slice(F.array(*[F.lit(x) for x in "abcdefg"]), 1, (F.col("p_size") % 8).cast("int"))
+    rows = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(names, ";").alias("label"))
+    return summary.rank_success(lineage.with_ranks(rows, "label"))
 
 
 @query("c13_top_taxa", "SELECT n_name AS taxon, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM customer), 2) AS percent FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n DESC, min(c_custkey) LIMIT 5")
@@ -420,20 +427,23 @@ def labelled_vectors(spark, d):
 @query("k3_classify_supervised")
 def k3(spark, d):
     rows = labelled_vectors(spark, d)
-    model, _ = models.train_rf(rows, trees=20)
+    model, _ = models.train_rf(rows)
     return models.classify_supervised(rows.drop("label"), model, threshold=0.3)
 
 
 @query("k4_classify")
 def k4(spark, d):
     e = v.v_emb(spark, d)
-    return models.classify(e.where("label >= 5")).unionByName(models.classify(e.where("label < 5"), models.train_rf(labelled_vectors(spark, d), trees=10)[0]))
+    return models.classify(e.where("label >= 5")).unionByName(models.classify(e.where("label < 5"), models.train_rf(labelled_vectors(spark, d))[0]))
 
 
 @query("k5_train_rf")
 def k5(spark, d):
     rows = labelled_vectors(spark, d)
-    model, accuracy = models.train_rf(rows, trees=20)
+    model, accuracy = models.train_rf(rows)
+    path = shared_path(spark, "forest")
+    models.save_model(model, path)
+    model = models.load_model(path)
     return model.transform(rows).groupBy("label", "predicted_label").agg(F.count("*").alias("n")).withColumn("accuracy", F.lit(accuracy))
 
 
@@ -447,22 +457,35 @@ def k6(spark, d):
 @query("k7_kmer_rf")
 def k7(spark, d):
     rows = clean.filter_iupac(v.v_reads(spark, d)).select(F.col("read_id").alias("sequence_id"), "seq", F.concat(F.lit("k__"), "taxon").alias("label"))
-    model, _ = models.train_kmer_rf(rows, 3, trees=10)
-    return models.predict_kmer_rf(rows.drop("label"), model, 3)
+    model, _ = models.train_kmer_rf(rows)
+    return models.predict_kmer_rf(rows.drop("label"), model)
+
+
+WORD4 = "SELECT read_id, kmer, count(*) AS c FROM (SELECT read_id, substr(s, i, 4) AS kmer FROM (SELECT read_id, seq[1:256] AS s, unnest(generate_series(1, least(len(seq), 256) - 3)) AS i FROM v_reads WHERE len(seq) > 3)) WHERE regexp_matches(kmer, '^[ACGT]+$') GROUP BY ALL"
+PLACE4 = "CAST(0 {} AS INT)".format(" ".join(f"+ {4 ** (3 - i)} * (strpos('ACGT', kmer[{i + 1}]) - 1)" for i in range(4)))
+SHARE4 = f"SELECT read_id, {PLACE4} AS place, CAST(CAST(c / sum(c) OVER (PARTITION BY read_id) AS FLOAT) AS DOUBLE) AS share FROM ({WORD4})"
 
 
-@query("k8_embed", "SELECT read_id AS sequence_id, 256 AS width, 'kmer4' AS model_name, regexp_matches(seq[1:256], '[ACGT]{4}') AS some FROM v_reads")
+@query("k8_embed", f"SELECT read_id AS sequence_id, place, round(share, 6) AS share, 'kmer4' AS model_name FROM ({SHARE4})")
 def k8(spark, d):
     e = models.embed(v.v_reads(spark, d), key="read_id")
-    return e.select("sequence_id", F.size("embedding").alias("width"), "model_name", (F.array_max("embedding") > 0).alias("some"))
+    return e.select("sequence_id", "model_name", F.posexplode("embedding").alias("place", "x")).where("x > 0").select("sequence_id", "place", F.round(F.col("x").cast("double"), 6).alias("share"), "model_name")
 
 
-@query("pipeline_read_embed_classify", "SELECT sequence_id, CAST(1 AS BIGINT) AS rows FROM (SELECT read_id AS sequence_id FROM v_reads)")
+@query("pipeline_read_embed_classify", f"""
+WITH s AS ({SHARE4}), t AS (SELECT taxon, row_number() OVER (ORDER BY taxon) - 1 AS cluster, count(*) AS n FROM v_reads GROUP BY taxon),
+m AS (SELECT taxon, place, sum(share) / max(n) AS m FROM s JOIN v_reads USING (read_id) JOIN t USING (taxon) GROUP BY taxon, place),
+g AS (SELECT read_id, cluster, taxon FROM v_reads r JOIN t ON true),
+d AS (SELECT read_id, g.cluster, sqrt(sum((coalesce(share, 0) - coalesce(m, 0)) ** 2)) AS d FROM (SELECT read_id, r.taxon AS own, t.cluster, t.taxon, CAST(i AS INT) AS place FROM v_reads r, t, generate_series(0, 255) AS x(i)) g LEFT JOIN s USING (read_id, place) LEFT JOIN m ON m.taxon = g.taxon AND m.place = g.place GROUP BY ALL)
+SELECT read_id AS sequence_id, 'OTU-' || lpad(CAST(arg_min(cluster, (round(d, 9), cluster)) + 1 AS VARCHAR), 3, '0') AS predicted_label, round(100 * exp(-min(d)) / sum(exp(-d)), 2) AS confidence, 'embedding_centroids' AS method FROM d GROUP BY read_id""")
 def whole(spark, d):
-    """Reads -> embeddings -> clusters -> prediction rows, in one run."""
-    e = models.embed(v.v_reads(spark, d), key="read_id")
-    rows = models.classify(e.withColumn("embedding", F.col("embedding").cast("array<double>")))
-    return rows.groupBy("sequence_id").agg(F.count("*").alias("rows"))
+    """Reads -> embeddings -> mean vectors of the known taxa -> prediction rows with a confidence."""
+    reads = v.v_reads(spark, d)
+    e = written(models.embed(reads, key="read_id").join(reads.select(F.col("read_id").alias("sequence_id"), "taxon"), "sequence_id"), "embedded")
+    codes = balance.label_codes(e, "taxon").withColumnRenamed("taxon", "t")
+    centers = models.label_centroids(e, "taxon").join(codes, F.col("cluster") == F.col("t")).select(F.col("label_id").alias("cluster"), "center")
+    rows = models.otu_rows(models.centroid_confidence(e, centers), "embedding_centroids")
+    return rows.select("sequence_id", "predicted_label", "confidence", "method")
 
 
 # -- streams ----------------------------------------------------------------------------------
@@ -482,6 +505,29 @@ def s2(spark, d):
     return runs.fold_updates(v.v_updates(spark, d))
 
 
+STEP = "CASE WHEN seq % 3 > 0 THEN 'step' || (seq % 3) END AS step, CASE WHEN seq % 5 < 2 THEN 'state' || (seq % 7) END AS step_status"
+
+
+@query("s2_update_stream", f"WITH u AS (SELECT *, {STEP} FROM v_updates), e AS (SELECT run_id, coalesce(step, 'step0') AS step, arg_max(step_status, (ts, seq)) AS s FROM u WHERE step_status IS NOT NULL GROUP BY ALL), t AS (SELECT run_id, string_agg(step || '=' || s, ',' ORDER BY step) AS steps FROM e GROUP BY run_id) SELECT run_id, arg_max(status, (ts, seq)) FILTER (status IS NOT NULL) AS status, CAST(CASE WHEN count(progress) > 0 THEN least(greatest(arg_max(progress, (ts, seq)) FILTER (progress IS NOT NULL), 0), 100) END AS INT) AS progress, arg_max(message, (ts, seq)) FILTER (message IS NOT NULL) AS message, max(ts) FILTER (status IN ('completed', 'failed')) AS end_time, count(*) AS updates, any_value(coalesce(steps, '')) AS steps FROM u LEFT JOIN t USING (run_id) GROUP BY run_id")
+def s2_stream(spark, d):
+    """The updates as a stream of four batches, dealt by hash, so that they arrive in no order of time."""
+    path, out = shared_path(spark, "updates"), shared_path(spark, "states")
+    k = F.col("seq")
+    rows = v.v_updates(spark, d).withColumns({"step": F.when(k % 3 > 0, F.concat(F.lit("step"), (k % 3).cast("string"))), "step_status": F.when(k % 5 < 2, F.concat(F.lit("state"), (k % 7).cast("string")))})
+    for i in range(4):
+        rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i).coalesce(1).write.mode("append").parquet(path)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        streams.drain(streams.fold_stream(stream, "step0"), out, shared_path(spark, "state"), "update")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    every = spark.read.schema("run_id long, status string, progress int, message string, end_time timestamp, updates long, steps string").parquet(f"{out}/batch=*")
+    return every.groupBy("run_id").agg(F.max_by(F.struct(*every.columns), "updates").alias("r")).select("r.*")
+
+
 @query("s3_log_windows", "SELECT date_trunc('hour', ts) AS start, upper(event_type) AS level, count(*) AS n FROM events WHERE event_id % 17 <> 0 GROUP BY ALL")
 def s3(spark, d):
     path, out = shared_path(spark, "logs"), shared_path(spark, "counts")

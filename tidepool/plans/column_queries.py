@@ -137,11 +137,12 @@ def b21(spark, d):
     return v.v_emb(spark, d).select("sequence_id", labels.alias("l"), "embedding").select("sequence_id", F.array_join(F.transform(N.top_k(F.col("l"), F.col("embedding"), 3), lambda x: x["label"]), ",").alias("top"))
 
 
-@query("b22_one_hot", "SELECT read_id, len(seq) AS bases, len(regexp_replace(seq, '[^A]', '', 'g')) AS a, len(regexp_replace(seq, '[^T]', '', 'g')) AS t FROM v_reads")
+@query("b22_one_hot", "SELECT read_id, len(seq) AS bases, " + ", ".join(f"len(regexp_replace(seq, '[^{x}]', '', 'g')) AS {x.lower()}" for x in "ACGT") + ", md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A', '1000', 'g'), 'C', '0100', 'g'), 'G', '0010', 'g'), 'T', '0001', 'g'), '[^01]', '0000', 'g')) AS bits FROM v_reads")
 def b22(spark, d):
     rows = v.v_reads(spark, d).select("read_id", S.one_hot(F.col("seq")).alias("x"))
     count = lambda k: F.aggregate("x", F.lit(0).cast("long"), lambda s, e: s + F.get(e, F.lit(k)))
-    return rows.select("read_id", F.size("x").cast("long").alias("bases"), count(0).alias("a"), count(3).alias("t"))
+    bits = F.array_join(F.transform("x", lambda e: F.array_join(F.transform(e, lambda i: i.cast("string")), "")), "")
+    return rows.select("read_id", F.size("x").cast("long").alias("bases"), *[count(i).alias(x) for i, x in enumerate("acgt")], F.md5(bits).alias("bits"))
 
 
 @query("b23_flag_novel", "SELECT sequence_id, sequence_id % 2 = 0 AND confidence < 12 AS novel FROM v_rows")
@@ -208,7 +209,35 @@ SELECT u.sample_id, coalesce(into_, u.seq) AS seq, CAST(sum(n) AS BIGINT) AS n F
 def q7(spark, d):
     # gentle skew bounds, so that the small counts of this view have parents
     u = uniques(spark, d)
-    return clean.denoise(u, 0.1, 2, 0.1)
+    return clean.denoise(u, 0.1, 0.1, 2)
+
+
+@query("q7_denoise_words", """
+WITH u AS (SELECT sample_id, seq, count(*) AS n FROM v_words GROUP BY ALL),
+p AS (SELECT a.sample_id, a.seq, b.seq AS parent, b.n AS pn, levenshtein(a.seq, b.seq) AS dist, a.n AS n FROM u a JOIN u b ON a.sample_id = b.sample_id AND b.n >= 8 * a.n AND abs(len(a.seq) - len(b.seq)) < log2(b.n / a.n) / 2),
+best AS (SELECT sample_id, seq, arg_min(parent, (-pn, dist, parent)) AS into_ FROM p WHERE dist > 0 AND n / pn <= pow(2.0, -(dist * 2 + 1)) GROUP BY ALL)
+SELECT u.sample_id, coalesce(into_, u.seq) AS seq, CAST(sum(n) AS BIGINT) AS n FROM u LEFT JOIN best ON u.sample_id = best.sample_id AND u.seq = best.seq GROUP BY ALL""")
+def q7b(spark, d):
+    return clean.denoise(clean.dereplicate(v.v_words(spark, d)))
+
+
+@query("q5_merge_stats", "WITH h AS (SELECT sample_id, seq[1 : len(seq) // 2 + 5] AS a, substr(seq, len(seq) // 2 - CASE WHEN read_id % 3 = 0 THEN -9 ELSE 4 END) AS b FROM v_reads WHERE len(seq) >= 90 AND regexp_matches(seq, '^[ACGT]+$')), o AS (SELECT *, coalesce(list_max(list_filter(generate_series(10, least(len(a), len(b))), lambda n: right(a, n) = left(b, n))), 0) AS overlap FROM h) SELECT sample_id, count(*) AS pairs, count(*) FILTER (overlap > 0) AS merged, round(100.0 * count(*) FILTER (overlap > 0) / count(*), 2) AS rate, round(coalesce(avg(overlap) FILTER (overlap > 0), 0), 4) AS mean_overlap FROM o GROUP BY sample_id")
+def q5b(spark, d):
+    reads = clean.drop_ambiguous(v.v_reads(spark, d)).where(F.length("seq") >= 90)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    begin = half - F.when(F.col("read_id") % 3 == 0, -9).otherwise(4)  # every third pair doesn't overlap
+    forward = reads.select("sample_id", "read_id", F.expr("seq").substr(F.lit(1), half + 5).alias("seq"))
+    reverse = reads.select("sample_id", "read_id", S.reverse_complement(F.expr("seq").substr(begin, F.length("seq"))).alias("seq"))
+    return clean.merge_stats(clean.merge_pairs(forward, reverse, 10))
+
+
+@query("q8_chimeras_words", """
+WITH u AS (SELECT sample_id, seq, count(*) AS n FROM v_words GROUP BY ALL HAVING count(*) >= 4),
+c AS (SELECT a.sample_id, a.seq, list_max(list_filter(generate_series(0, least(len(a.seq), len(b.seq))), lambda x: left(a.seq, x) = left(b.seq, x))) AS lcp, list_max(list_filter(generate_series(0, least(len(a.seq), len(b.seq))), lambda x: right(a.seq, x) = right(b.seq, x))) AS lcs FROM u a JOIN u b ON a.sample_id = b.sample_id AND b.n >= 2 * a.n AND a.seq <> b.seq),
+m AS (SELECT sample_id, seq FROM c GROUP BY sample_id, seq HAVING max(lcp) + max(lcs) >= len(seq))
+SELECT u.sample_id, u.seq, u.n, m.seq IS NOT NULL AS chimera FROM u LEFT JOIN m ON u.sample_id = m.sample_id AND u.seq = m.seq""")
+def q8b(spark, d):
+    return clean.chimeras(clean.dereplicate(v.v_words(spark, d), 4))
 
 
 @query("q8_chimeras", f"""
@@ -246,33 +275,39 @@ def f1(spark, d):
     return features.kmer_counts(v.v_reads(spark, d), group=("sample_id",))
 
 
-@query("f2_kmer_vector", f"SELECT read_id, CAST(coalesce(count(DISTINCT kmer), 0) AS BIGINT) AS words, round(coalesce(max(c) / sum(c), 0), 6) AS top FROM v_reads LEFT JOIN (SELECT read_id, kmer, count(*) AS c FROM ({KMER}) WHERE k = 3 AND regexp_matches(kmer, '^[ACGT]+$') GROUP BY ALL) USING (read_id) GROUP BY read_id")
+PLACE = "CAST(0 {} AS INT)".format(" ".join(f"+ {4 ** (2 - i)} * (strpos('ACGT', kmer[{i + 1}]) - 1)" for i in range(3)))
+
+
+@query("f2_kmer_vector", f"SELECT read_id, {PLACE} AS place, round(count(*) / sum(count(*)) OVER (PARTITION BY read_id), 6) AS share FROM ({KMER}) WHERE k = 3 AND regexp_matches(kmer, '^[ACGT]+$') GROUP BY read_id, kmer")
 def f2(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    x = features.kmer_vector(v.v_reads(spark, d), 3).select("read_id", vector_to_array("features").alias("x"))
-    return x.select("read_id", F.size(F.filter("x", lambda e: e > 0)).cast("long").alias("words"), F.round(F.array_max("x"), 6).alias("top"))
+    x = features.kmer_vector(v.v_reads(spark, d), 3).select("read_id", F.posexplode(vector_to_array("features")).alias("place", "share"))
+    return x.where("share > 0").select("read_id", "place", F.round("share", 6).alias("share"))
+
+
+PAIRS = [a + b for a in "ACGT" for b in "ACGT"]
 
 
-@query("f3_composition", f"WITH p AS (SELECT read_id, count(*) AS n, count(*) FILTER (kmer = 'CG') AS cg, count(*) FILTER (kmer = 'TA') AS ta FROM (SELECT read_id, substr(seq, i, 2) AS kmer FROM (SELECT *, unnest(generate_series(1, len(seq) - 1)) AS i FROM v_reads)) WHERE regexp_matches(kmer, '^[ACGT]+$') GROUP BY read_id) SELECT read_id, len(seq) AS length, round(CASE WHEN len(regexp_replace(seq, '[^ACGT]', '', 'g')) > 0 THEN len(regexp_replace(seq, '[^GC]', '', 'g')) / len(regexp_replace(seq, '[^ACGT]', '', 'g')) ELSE 0 END, 6) AS gc, round(coalesce(cg / n, 0), 6) AS f_cg, round(coalesce(ta / n, 0), 6) AS f_ta FROM v_reads LEFT JOIN p USING (read_id)")
+@query("f3_composition", f"WITH p AS (SELECT read_id, count(*) AS n, {', '.join(f"count(*) FILTER (kmer = '{w}') AS n_{w}" for w in PAIRS)} FROM (SELECT read_id, substr(seq, i, 2) AS kmer FROM (SELECT *, unnest(generate_series(1, len(seq) - 1)) AS i FROM v_reads)) WHERE regexp_matches(kmer, '^[ACGT]+$') GROUP BY read_id) SELECT read_id, len(seq) AS length, round(CASE WHEN len(regexp_replace(seq, '[^ACGT]', '', 'g')) > 0 THEN len(regexp_replace(seq, '[^GC]', '', 'g')) / len(regexp_replace(seq, '[^ACGT]', '', 'g')) ELSE 0 END, 6) AS gc, {', '.join(f'round(coalesce(n_{w} / n, 0), 6) AS f_{w.lower()}' for w in PAIRS)} FROM v_reads LEFT JOIN p USING (read_id)")
 def f3(spark, d):
     c = features.composition(v.v_reads(spark, d))
-    return c.select("read_id", F.col("length").cast("long").alias("length"), F.round("gc", 6).alias("gc"), "f_cg", "f_ta")
+    return c.select("read_id", F.col("length").cast("long").alias("length"), F.round("gc", 6).alias("gc"), *[f"f_{w.lower()}" for w in PAIRS])
 
 
 @query("f4_kmer_word2vec")
 def f4(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    return features.kmer_word2vec(v.v_reads(spark, d), 4, 16).select("read_id", vector_to_array("features").alias("embedding"))
+    return features.kmer_word2vec(v.v_reads(spark, d)).select("read_id", vector_to_array("features").alias("embedding"))
 
 
-@query("f5_scale_features", "SELECT sequence_id, round((x - m) / s, 4) AS first FROM v_flat, (SELECT avg(x) AS m, stddev_samp(x) AS s FROM v_flat WHERE i = 1) WHERE i = 1")
+@query("f5_scale_features", "SELECT sequence_id, CAST(i - 1 AS INT) AS place, round((x - m) / s, 4) + 0.0 AS scaled FROM v_flat JOIN (SELECT i, avg(x) AS m, stddev_samp(x) AS s FROM v_flat GROUP BY i) USING (i)")
 def f5(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     s = features.scale_features(features.as_vector(v.v_emb(spark, d)))
-    return s.select("sequence_id", F.round(F.get(vector_to_array("scaled"), F.lit(0)), 4).alias("first"))
+    return s.select("sequence_id", F.posexplode(vector_to_array("scaled")).alias("place", "x")).select("sequence_id", "place", (F.round("x", 4) + 0.0).alias("scaled"))
 
 
 @query("f6_select_features")

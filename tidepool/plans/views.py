@@ -30,6 +30,12 @@ def v_reads_q(spark: SparkSession, d: str) -> DataFrame:
     return v_reads(spark, d).withColumn("quality", F.translate("seq", "".join(QUALITIES), "".join(QUALITIES.values())))
 
 
+def v_words(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of documents as short reads, some far more abundant than others: sample_id, seq."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), F.lit(1)))
+    return table(spark, d, "documents").select(F.col("lang").alias("sample_id"), words.alias("w")).select("sample_id", F.translate("w", LETTERS, BASES).alias("seq"))
+
+
 def v_emb(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("sequence_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
@@ -126,6 +132,7 @@ def v_tsv(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "v_reads": f"SELECT doc_id AS read_id, source AS sample_id, lang AS taxon, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents",
     "v_reads_q": f"SELECT *, translate(seq, '{''.join(QUALITIES)}', '{''.join(QUALITIES.values())}') AS quality FROM v_reads",
+    "v_words": f"SELECT sample_id, translate(w, '{LETTERS}', '{BASES}') AS seq FROM (SELECT lang AS sample_id, unnest(regexp_extract_all(lower(text), '[a-z]{{9,}}')) AS w FROM documents)",
     "v_emb": "SELECT vec_id AS sequence_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings",
     "v_flat": "SELECT sequence_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM v_emb",
     "v_mean": "SELECT label AS cluster, i, avg(x) AS m FROM v_flat GROUP BY label, i",

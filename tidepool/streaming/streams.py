@@ -38,38 +38,66 @@ def log_level_counts(lines: DataFrame, size: str = "1 hour", late: str = "10 min
     return log_windows(rows.withWatermark("ts", late), size)
 
 
+#: What a run's updates may give, and what ends a run.
+FIELDS = ("status", "progress", "message")
+ENDS = ("completed", "failed")
+
+
 class RunState(StatefulProcessor):
-    """The state of one run: partial updates overwrite the fields they give."""
+    """The state of one run: of each field, and of each step, the value given last by (ts, seq).
+
+    The order of an update is kept with its value, so that an older one that arrives in a later batch
+    doesn't overwrite a newer one. An update of a step that is named changes that step, others the
+    first step.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "status string, progress int, message string, end_time timestamp, updates long")
+        field = "value string, ts timestamp, seq long"
+        self.fields = handle.getMapState("fields", "name string", field)
+        self.steps = handle.getMapState("steps", "name string", field)
+        self.counts = handle.getValueState("counts", "updates long, end_time timestamp")
+
+    def newer(self, state, name: str, value: str, ts, seq) -> None:
+        key = (name,)
+        old = state.getValue(key) if state.containsKey(key) else None
+        if old is None or (old[1], old[2]) <= (ts, seq):
+            state.updateValue(key, (value, ts, seq))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        now = self.state.get() if self.state.exists() else (None, None, None, None, 0)
-        status, progress, message, end, n = now
+        n, end = self.counts.get() if self.counts.exists() else (0, None)
         for pdf in rows:
-            pdf = pdf.sort_values(["ts", "seq"])
-            for r in pdf.itertuples(index=False):
+            for r in pdf.to_dict("records"):
                 n += 1
-                if isinstance(r.status, str):
-                    status = r.status
-                    if status in ("completed", "failed"):
-                        end = r.ts.to_pydatetime()
-                if not pd.isna(r.progress):
-                    progress = max(0, min(100, int(r.progress)))
-                if isinstance(r.message, str):
-                    message = r.message
-        self.state.update((status, progress, message, end, n))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "progress": [progress], "message": [message], "end_time": [pd.Timestamp(end) if end is not None else pd.NaT], "updates": [n]})
+                ts, seq = r["ts"].to_pydatetime(), int(r["seq"])
+                for f in FIELDS:
+                    if not pd.isna(r[f]):
+                        self.newer(self.fields, f, str(max(0, min(100, int(r[f])))) if f == "progress" else str(r[f]), ts, seq)
+                if r["status"] in ENDS:
+                    end = ts if end is None else max(end, ts)
+                if isinstance(r.get("step_status"), str):
+                    self.newer(self.steps, r["step"] if isinstance(r.get("step"), str) else "", r["step_status"], ts, seq)
+        self.counts.update((n, end))
+        now = {k[0]: v[0] for k, v in self.fields.iterator()}
+        steps = sorted((k[0], v[0]) for k, v in self.steps.iterator())
+        progress = now.get("progress")
+        yield pd.DataFrame({
+            "run_id": [key[0]], "status": [now.get("status")], "progress": pd.array([None if progress is None else int(progress)], "Int32"), "message": [now.get("message")],
+            "end_time": [pd.Timestamp(end) if end is not None else pd.NaT], "updates": [n], "steps": [",".join(f"{k}={x}" for k, x in steps)]})
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(updates: DataFrame) -> DataFrame:
-    """Every run's state after each batch of updates (run_id, ts, seq, status, progress, message).
+def fold_stream(updates: DataFrame, first_step: str = "") -> DataFrame:
+    """Every run's state after each batch of updates (run_id, ts, seq, status, progress, message and perhaps
+    step, step_status), in whatever order they arrive. ``steps`` lists step=status pairs by name.
     Needs the RocksDB state store."""
-    schema = "run_id long, status string, progress int, message string, end_time timestamp, updates long"
+    for c in ("step", "step_status"):
+        if c not in updates.columns:
+            updates = updates.withColumn(c, F.lit(None).cast("string"))
+    # an update without a step's name means the first step
+    updates = updates.withColumn("step", F.coalesce("step", F.lit(first_step)))
+    schema = "run_id long, status string, progress int, message string, end_time timestamp, updates long, steps string"
     return updates.groupBy("run_id").transformWithStateInPandas(RunState(), schema, outputMode="Update", timeMode="None")
 
 
