@@ -18,7 +18,7 @@ def spark():
     tmp = tempfile.mkdtemp(prefix="spark-")
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tmp).config("spark.sql.warehouse.dir", f"{tmp}/warehouse").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tmp).config("spark.sql.warehouse.dir", f"{tmp}/warehouse").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", f"file://{tmp}/shared")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

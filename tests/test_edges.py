@@ -1,10 +1,13 @@
 """Hand-made edge tables."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool import storage
 from tidepool.functions import numbers as N
 from tidepool.functions import sequence as S
 from tidepool.functions.taxonomy import parse_taxonomy
@@ -46,6 +49,101 @@ def test_lineage_cycles_and_repeats(spark):
     assert len(got) == 3
 
 
+def test_deep_lineages(spark):
+    n = 90
+    nodes = spark.createDataFrame([(0, 0, "no rank"), (1, 0, "superkingdom"), *[(i, i - 1, "genus" if i == n else "clade") for i in range(2, n + 1)]], "taxid int, parent int, rank string")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(n + 1)], "taxid int, name string")
+    r = lineage.resolve_lineage(spark.createDataFrame([(n,)], "taxid int"), nodes, names).first()
+    assert (r.kingdom, r.genus, r.species) == ("n1", f"n{n}", UNKNOWN)
+
+
+def test_nearest_rows_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 6))
+    rows = spark.createDataFrame([(i, v.tolist(), f"c{i % 4}") for i, v in enumerate(x)], "id long, embedding array<double>, label string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T, 9)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), p + 1) for i in range(0, 90, 3) for p, j in enumerate(np.argsort(d[i], kind="stable")[:5])}
+    for block in (20_000, 17):
+        got = lineage.nearest(rows.where("id % 3 = 0"), rows, block_rows=block, others=True).collect()
+        assert {(r.query_id, r.ref_id, r.place) for r in got} == want
+    assert lineage.nearest(rows, rows.limit(0)).count() == 0 and lineage.nearest(rows.limit(0), rows).count() == 0
+
+
+def test_farther_parents(spark):
+    """A parent at distance 4 counts if it is 2^9 times as abundant; short sequences have parents too."""
+    a = "ACGTACGTACGTACGTACGT"
+    far, too_far = "TCGTTCGTTCGTTCGTACGT", "TCGTTCGTTCGTTCGTTCGT"
+    rows = [("s", a, 600), ("s", far, 1), ("s", too_far, 1), ("s", "AC", 80), ("s", "A", 2), ("t", far, 1)]
+    got = {(r.sample_id, r.seq): r.n for r in clean.denoise(spark.createDataFrame(rows, "sample_id string, seq string, n long")).collect()}
+    assert got == {("s", a): 601, ("s", too_far): 1, ("s", "AC"): 82, ("t", far): 1}
+
+
+def test_forest_is_saved_and_loaded(spark, tmp_path):
+    """Train, save, load, predict; the same rows from both models."""
+    seqs = [("ACGT" * 20, "k__A;p__B"), ("AAAA" * 20, "k__A;p__C")] * 6
+    df = spark.createDataFrame([(i, s, x) for i, (s, x) in enumerate(seqs)], "sequence_id int, seq string, label string")
+    model, metrics = models.train_kmer_rf(df, 3)
+    assert metrics["num_samples"] == 12 and metrics["accuracy"] == 1.0 and metrics["macro_f1"] == 1.0
+    models.save_model(model, str(tmp_path / "rf"))
+    again = models.load_model(str(tmp_path / "rf"))
+    assert again.stages[2].getNumTrees == model.stages[2].getNumTrees == 50
+    a, b = (models.predict_kmer_rf(df.drop("label"), m, 3).orderBy("sequence_id").collect() for m in (model, again))
+    assert a == b and {r.method for r in a} == {"random_forest_kmer"} and [r.phylum for r in a[:2]] == ["B", "C"] and all(0 <= r.confidence_score <= 1 for r in a)
+    rows = models.kmer_vector(df, 3)
+    got = models.classify_supervised(rows, again, threshold=0.0).collect()
+    assert {(r.sequence_id, r.predicted_label) for r in got} == {(i, x) for i, (_, x) in enumerate(seqs)} and {r.method for r in got} == {"supervised_taxonomy"}
+
+
+def test_clusters_are_the_best_of_all_restarts(spark):
+    """Three far groups come out as they are, by size, with confidences as a loop gives them."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.05 * rng.normal(size=(n, 2)) for c, n in (((0, 0), 9), ((9, 9), 6), ((0, 9), 3))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sequence_id int, embedding array<double>")
+    got = {r.sequence_id: r for r in models.otu_cluster(rows).collect()}
+    names = [got[i].genus for i in range(18)]
+    assert names == ["OTU-001"] * 9 + ["OTU-002"] * 6 + ["OTU-003"] * 3 and {r.method for r in got.values()} == {"embedding_kmeans_fallback"}
+    centers = [x[:9].mean(0), x[9:15].mean(0), x[15:].mean(0)]
+    for i in range(18):
+        e = [math.exp(-math.dist(x[i], c)) for c in centers]
+        assert abs(got[i].confidence - 100 * max(e) / sum(e)) < 0.011
+
+
+def test_ranks_of_large_classes(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(3000)], "id int, label string")
+    got = {(r.label, r._r): r.id for r in balance.ranked(df, 42, "label", "id").collect()}
+    for label in "ab":
+        own = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i in range(3000) if (i % 3 > 0) == (label == "a"))
+        assert [got[label, k + 1] for k in range(len(own))] == [i for _, i in own]
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_path", lambda spark, tag: f"file://{tmp_path}/{tag}")
+    with storage.scratch():
+        storage.written(spark.range(3), "gone")
+        left = storage.kept(spark.range(5), "left")
+        assert len(list(tmp_path.iterdir())) == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["left"] and left.count() == 5
+
+
+def test_shared_folder():
+    class Session:
+        def __init__(self, master, root=None):
+            self.sparkContext, self.conf = type("C", (), {"master": master}), {"spark.checkpoint.dir": root} if root else {}
+
+    assert storage.shared_path(Session("spark://x", "hdfs://shared/"), "t").startswith("hdfs://shared/t-")
+    assert storage.shared_path(Session("local[2]"), "t").startswith("file:///")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_path(Session("spark://x"), "t")
+
+
+def test_samples_of_files(spark):
+    reads = spark.createDataFrame([("r1", "file:/a/x.fq"), ("r2", "/b/y.fq"), ("r3", "z.fq")], "read_id string, file string")
+    manifest = spark.createDataFrame([("s", "single", "data/x.fq"), ("p", "forward", "y.fq")], "sample_id string, mate string, path string")
+    assert sorted((r.read_id, r.sample_id, r.mate) for r in lineage.attach_samples(reads, manifest).collect()) == [("r1", "s", "single"), ("r2", "p", "forward")]
+
+
 def test_chimera_and_denoise(spark):
     a, b = "A" * 10 + "C" * 10, "G" * 10 + "T" * 10
     rows = [("s", a, 20), ("s", b, 20), ("s", a[:10] + b[10:], 10), ("s", a[:4] + b[4:], 11), ("s", b[:10] + a[10:], 9), ("t", a[:10] + b[10:], 1)]

@@ -1,31 +1,40 @@
 """Streams give the rows of their batch twins."""
 
 import datetime
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import runs
 from tidepool.streaming import streams
 
 T = datetime.datetime(2024, 1, 1)
+H = datetime.timedelta(hours=1)
 UPDATES = [
-    (1, T, 1, "running", 10, None), (2, T, 2, None, 200, "over"), (1, T + datetime.timedelta(hours=1), 3, None, None, "half"), (2, T + datetime.timedelta(hours=2), 4, "failed", None, None),
-    (1, T + datetime.timedelta(hours=3), 5, "completed", -5, None), (3, T, 6, None, None, None),
+    (1, T, 1, "running", 10, None, None, "queued"), (2, T, 2, None, 200, "over", "embed", "running"), (1, T + H, 3, None, None, "half", None, "done"), (2, T + 2 * H, 4, "failed", None, None, "embed", "failed"),
+    (1, T + 3 * H, 5, "completed", -5, None, "classify", None), (3, T, 6, None, None, None, None, None), (1, T + 3 * H, 7, None, 40, None, "classify", "running"),
 ]
-SCHEMA = "run_id long, ts timestamp, seq long, status string, progress int, message string"
+SCHEMA = "run_id long, ts timestamp, seq long, status string, progress int, message string, step string, step_status string"
 
 
-def test_run_states(spark, tmp_path):
+@pytest.mark.parametrize("late", [False, True])
+def test_run_states(spark, tmp_path, late):
+    """In order, and with the newest updates in the first batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     df = spark.createDataFrame(UPDATES, SCHEMA)
     for i in range(2):  # two files, so two batches
-        df.where((F.col("seq") <= 3) if i == 0 else (F.col("seq") > 3)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        df.where((F.col("seq") <= 3) if (i == 0) != late else (F.col("seq") > 3)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1)  # files are taken by age
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.drain(streams.fold_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"), "update")
+    streams.drain(streams.fold_stream(stream, "first"), str(tmp_path / "out"), str(tmp_path / "state"), "update")
     every = spark.read.parquet(str(tmp_path / "out" / "batch=*"))
     last = every.groupBy("run_id").agg(F.max_by(F.struct(*every.columns), "updates").alias("r")).select("r.*")
-    want = runs.fold_updates(df).select(*last.columns)
+    want = runs.fold_updates(df, first_step="first").select(*last.columns)
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+    got = {r.run_id: r for r in last.collect()}
+    assert (got[1].status, got[1].progress, got[1].message, got[1].steps) == ("completed", 40, "half", "classify=running,first=done")
+    assert (got[2].status, got[2].progress, got[2].steps, got[3].steps) == ("failed", 100, "embed=failed", "")
 
 
 def test_log_counts(spark, tmp_path):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
 
 #: Hexadecimal digits of a hash that cut a class into stretches (16^3 of them at most).
 STRETCH = 3
@@ -119,10 +120,21 @@ def encode_labels(df: DataFrame, label: str = "label") -> tuple[DataFrame, Strin
     return model.transform(df).withColumn("label_id", F.col("label_id").cast("int")), model
 
 
+def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``out``: place of each row in the order of a column, from 0. Ranges of the column are numbered each by
+    itself, behind the rows of the ranges before; only one count a range meets in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(df.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = F.sum("n").over(W.orderBy("_q").rowsBetween(W.unboundedPreceding, -1))
+    base = ranges.groupBy(F.col("_p").alias("_q")).agg(F.count("*").alias("n")).select("_q", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1
+    rows = ranges.withColumn(out, place).join(F.broadcast(base), F.col("_p") == F.col("_q"))
+    return rows.withColumn(out, (F.col(out) + F.col("_before")).cast("int")).drop("_p", "_q", "_before")
+
+
 def label_codes(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, label_id) as a table, for joins in either direction."""
-    labels = df.select(label).distinct()
-    return labels.withColumn("label_id", F.row_number().over(W.orderBy(label)) - 1)
+    return numbered(df.select(label).distinct(), label, "label_id")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths written inside each open ``scratch`` block, the innermost block last.
 _open: list[list[tuple[SparkSession, str]]] = []
+#: The temporary folder of local sessions without the setting.
+_own: list[str] = []
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -20,8 +22,9 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidepool-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tidepool-"))
+        root = _own[0]
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
