@@ -14,7 +14,7 @@ import numpy as np
 from .common import PLACE, mix
 
 #: Characters that one numpy pass takes; a longer text is taken whole.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

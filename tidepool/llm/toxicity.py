@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chars import code_points, letter_classes, part_hashes, prefix_sums, runs, text_chunks
-from .common import held_out, kept, mix, randoms, scratch, sealed, table
+from .common import held_out, mix, randoms, scratch, sealed, table, written
 from .quality_classifier import labelled
 
 #: What a sign may stand for, besides itself (fixed values).
@@ -36,7 +36,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Signs that are punctuation unless a letter follows.
 PUNCTUATION = "!|+$"
 #: Log-probabilities of the channel: a letter as itself, as a sign, once more; a sign that means nothing.
-SAME, CHANGED, AGAIN, NOISE = math.log(0.95), math.log(0.05), math.log(0.012), math.log(1e-4)
+SAME, CHANGED, AGAIN, NOISE = math.log(0.95), math.log(0.05), math.log(0.03), math.log(1e-4)
 #: A letter torn from the one before by blanks, or by other signs alone, and once more after such a letter.
 WIDE, TIGHT, ON = math.log(1e-3), math.log(3e-2), math.log(0.5)
 #: Characters between two letters of a word, at most.
@@ -45,6 +45,8 @@ GAP = 3
 TRAIN_ROWS = 20_000
 #: Size of the model: features at most, their least likelihood ratio (G), letters of a beginning.
 FEATURES, LEAST_G, STARTS = 4096, 8.0, range(3, 9)
+#: Features that are compared for those, at most: the ones that most toxic rows have.
+CANDIDATES = 1 << 17
 #: Of the regression: weight of the squares, and steps.
 RIDGE, STEPS = 1e-4, 400
 #: Spans that a task remembers.
@@ -292,9 +294,9 @@ def _lowered(batch) -> list[str]:
     return [t.lower() if t else "" for t in batch.column("text").to_pylist()]
 
 
-def sample_features(rows: DataFrame, lm: np.ndarray) -> DataFrame:
-    """(label, kin, hashes, counts) of each row (text, label). ``kin`` is equal for near copies: the two
-    smallest of the word hashes in two orders."""
+def restored_sample(rows: DataFrame, lm: np.ndarray) -> DataFrame:
+    """(label, kin, text) of each row (text, label), restored. ``kin`` is equal for near copies: a hash of
+    the smallest feature hashes in two orders."""
     value = rows.sparkSession.sparkContext.broadcast(lm)
 
     def run(batches):
@@ -305,18 +307,53 @@ def sample_features(rows: DataFrame, lm: np.ndarray) -> DataFrame:
         for batch in batches:
             low = _lowered(batch)
             for i, j in text_chunks(low):
-                owner, h, n = counted(*features(restorer.restore(low[i:j])[0]))
-                cut = np.searchsorted(owner, np.arange(j - i + 1))
-                kin = np.zeros(j - i, np.uint64)
+                texts = restorer.restore(low[i:j])[0]
+                h, owner = features(texts)
+                least = np.full((2, j - i), ~np.uint64(0))
+                for k, seed in enumerate((a, b)):
+                    np.minimum.at(least[k], owner, mix(h ^ seed))
                 with np.errstate(over="ignore"):
-                    for k in range(j - i):
-                        own = h[cut[k] : cut[k + 1]]
-                        if len(own):
-                            kin[k] = mix(mix(own ^ a).min() + b * mix(own ^ b).min())
-                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(kin.view(np.int64)), *lists], ["label", "kin", "hashes", "counts"])
+                    kin = mix(least[0] + least[1] * b).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(kin), pa.array(texts, pa.string())], ["label", "kin", "text"])
 
-    return rows.select("text", "label").mapInArrow(run, "label int, kin long, hashes array<long>, counts array<int>")
+    return rows.select("text", "label").mapInArrow(run, "label int, kin long, text string")
+
+
+def weighted_counts(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(hash, n): the weights of the rows (text, weight) that have each feature, or each ``among`` these
+    (sorted). A task adds up its own rows first."""
+    value = rows.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = None if value.value is None else Model(np.zeros(0), value.value, np.zeros(0), 0.0)
+        hashes, weights, held = [], [], 0
+
+        def added() -> None:
+            u, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(weights))
+            hashes[:], weights[:] = [u], [n]
+
+        for batch in batches:
+            texts, weight = batch.column("text").to_pylist(), batch.column("weight").to_numpy()
+            for i, j in text_chunks(texts):
+                h, owner = features(texts[i:j])
+                if known is not None:
+                    f, owner = known.known(h, owner)
+                    h = known.hashes[f]
+                owner, h, _ = counted(h, owner)
+                hashes.append(h)
+                weights.append(weight[i:j][owner])
+                held += len(h)
+                if held > 1_000_000:
+                    added()
+                    held = 0
+        if hashes:
+            added()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(weights[0])], ["hash", "n"])
+
+    return rows.select("text", "weight").mapInArrow(run, "hash long, n double").groupBy("hash").agg(F.round(F.sum("n"), 6).alias("n"))
 
 
 def regression(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -343,59 +380,67 @@ def regression(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: n
     return w, b
 
 
+def hashes_of(rows: DataFrame) -> np.ndarray:
+    """The hashes of a bounded table, sorted."""
+    return np.sort(np.array([r["hash"] for r in rows.select("hash").collect()], np.int64).view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Characters are counted in all documents; features and weights are learned from labelled rows,
     TRAIN_ROWS of them at most. Near copies among those share the weight of one row, so that a text that
-    is copied a thousand times doesn't make its words toxic."""
+    is copied a thousand times doesn't make its words toxic. Without labelled rows of both kinds
+    every text gets the labels' shares."""
     counts = np.zeros(N**3, np.int64)
     for r in count_trigrams(docs).collect():  # N^3 at most
         counts[r["code"]] = r["n"]
     lm = language_model(counts)
     none = Model(lm, np.zeros(0, np.uint64), np.zeros(0), 0.0)
     with scratch():
-        found = kept(sample_features(labelled(docs, labels, "toxic", most), lm), "sample")
-        sizes = found.groupBy(F.col("kin").alias("k")).agg((1 / F.count("*")).alias("weight"))
-        found = found.join(sizes, F.col("kin") == F.col("k")).select("label", "weight", "hashes", "counts")
-        total = found.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("a")).first()
+        found = written(restored_sample(labelled(docs, labels, "toxic", most), lm), "sample")
+        kin = found.groupBy(F.col("kin").alias("k")).agg((1 / F.count("*")).alias("weight"))
+        rows = found.join(F.broadcast(kin), F.col("kin") == F.col("k")).select("label", "weight", "text")  # most rows
+        total = rows.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("a")).first()
         if not total["n"]:
             return none
-        rate = total["a"] / total["n"]
-        none.bias = math.log((total["a"] + 0.5) / (total["n"] - total["a"] + 0.5))
-        if not 0 < rate < 1:
+        bad, all_ = total["a"], total["n"]
+        none.bias = math.log((bad + 0.5) / (all_ - bad + 0.5))
+        if not 0 < bad < all_ - 1e-9:
             return none
-        each = found.select("label", "weight", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("a"))
-        a, n = F.col("a"), F.col("n")
-        part = lambda x, e: F.when(x > 1e-9, x * F.log(x / e)).otherwise(0.0)
-        g = F.round(2 * (part(a, n * rate) + part(n - a, n * (1 - rate))), 6)
-        best = each.where(a > n * rate).select("hash", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "hash").limit(FEATURES)
-        chosen = np.sort(np.array([r["hash"] for r in best.collect()], np.int64).view(np.uint64))
+        # a feature of toxic rows alone has G = 2 a log(1 / rate); with less than this it can't reach LEAST_G
+        least = LEAST_G / (2 * math.log(all_ / bad))
+        toxic = weighted_counts(rows.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(CANDIDATES).withColumnRenamed("n", "a")
+        toxic = written(toxic, "candidates")
+        each = toxic.join(weighted_counts(rows, hashes_of(toxic)).withColumnRenamed("hash", "h"), F.col("hash") == F.col("h"))
+        a, n, rate = F.col("a"), F.col("n"), F.lit(bad / all_)
+        part = lambda x, e: F.when(x > 1e-5, x * F.log(x / e)).otherwise(0.0)
+        g = F.round(2 * (part(a, n * rate) + part(n - a, n * (1 - rate))), 4)
+        chosen = hashes_of(each.where(a > n * rate).select("hash", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "hash").limit(FEATURES))
         if not len(chosen):
             return none
-        rows = _chosen(found, chosen).toPandas()  # most rows, of the chosen features only
-    size = rows["columns"].map(len).to_numpy()
-    matrix = np.repeat(np.arange(len(rows)), size), np.concatenate(rows["columns"].to_list()).astype(np.int64), np.log1p(np.concatenate(rows["counts"].to_list()))
-    weights, bias = regression(*matrix, rows["label"].to_numpy(float), rows["weight"].to_numpy(), len(chosen))
+        got = chosen_features(rows, chosen).orderBy("label", "weight", "columns", "counts").toPandas()  # most rows, of the chosen features only
+    size = got["columns"].map(len).to_numpy()
+    matrix = np.repeat(np.arange(len(got)), size), np.concatenate(got["columns"].to_list()).astype(np.int64), np.log1p(np.concatenate(got["counts"].to_list()))
+    weights, bias = regression(*matrix, got["label"].to_numpy(float), got["weight"].to_numpy(), len(chosen))
     return Model(lm, chosen, weights, bias)
 
 
-def _chosen(found: DataFrame, chosen: np.ndarray) -> DataFrame:
+def chosen_features(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
     """(label, weight, columns, counts): the features of each row that are chosen, as numbers."""
-    value = found.sparkSession.sparkContext.broadcast(chosen)
+    value = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches):
         import pyarrow as pa
 
         model = Model(np.zeros(0), value.value, np.zeros(0), 0.0)
         for batch in batches:
-            columns, counts = [], []
-            for h, n in zip(batch.column("hashes"), batch.column("counts"), strict=True):
-                x, y = h.values.to_numpy().view(np.uint64), n.values.to_numpy()
-                f, at = model.known(x, np.arange(len(x)))
-                columns.append(f.astype(np.int32))
-                counts.append(y[at])
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(columns, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["label", "weight", "columns", "counts"])
-
-    return found.mapInArrow(run, "label int, weight double, columns array<int>, counts array<int>")
+            texts = batch.column("text").to_pylist()
+            for i, j in text_chunks(texts):
+                owner, f, n = counted(*model.known(*features(texts[i:j])))
+                cut = pa.array(np.searchsorted(owner, np.arange(j - i + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (f, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), batch.column("weight").slice(i, j - i), *lists], ["label", "weight", "columns", "counts"])
+
+    return rows.select("label", "weight", "text").mapInArrow(run, "label int, weight double, columns array<int>, counts array<int>")
 
 
 CHANGES = "array<struct<was:string,now:string>>"
