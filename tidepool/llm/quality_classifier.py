@@ -25,7 +25,7 @@ DIM = 8
 EPOCHS = 6
 RATE = 4.0
 #: Labelled rows to learn from, at most; of each, every feature of the whole text.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +120,16 @@ def sample_features(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS):
     """A model from labelled rows, ``most`` of them at most (the bound of what reaches the driver);
     tasks turn their texts into features. Without labelled rows every text scores 0.5."""
-    rows, y = [], []
-    for r in sample_features(labelled(docs, labels, "quality", most)).orderBy("doc_id").toPandas().itertuples(index=False):
-        n = np.asarray(r.counts, np.float32)
-        rows.append((np.asarray(r.buckets, np.int32), n / max(1.0, float(n.sum()))))
-        y.append(r.label)
-    if not rows:
+    import pyarrow.compute as pc
+
+    got = sample_features(labelled(docs, labels, "quality", most)).orderBy("doc_id").toArrow()
+    if not got.num_rows:
         return np.zeros(BUCKETS, np.float32), 0.0
-    return train(rows, np.array(y))
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(got["buckets"]).to_numpy())])
+    buckets, counts = (pc.list_flatten(got[x]).to_numpy() for x in ("buckets", "counts"))
+    cut = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    rows = [(buckets[i:j], counts[i:j].astype(np.float32) / max(1, int(counts[i:j].sum()))) for i, j in cut]
+    return train(rows, got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
