@@ -74,3 +74,27 @@ def test_run_is_the_stages_in_a_row(spark, stages):
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df)
     got = corpus_pipeline.run(spark, DIR).select("doc_id", "piece", "length", "ids_crc32", F.col("sequence_id")).collect()
     assert key(got) == key(stages[5])
+
+
+def test_stages_carry_any_column(spark):
+    """Columns with the names of helpers and results, on awkward rows and on none, with nulls in every column."""
+    from test_llm_operators import CLASHES
+
+    names = [*CLASHES, "n", "id", "own", "_id", "doc_id_", "sequence_id", "text_"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    texts = [None, "", " \n ", "word " * 40_000, "one two three four five six", "one two three four five six", "a\nb\nc\nd", "q\na\nb\nc", "é <|endoftext|>", "x" * 100_000]
+    rows = [(i if i != 5 else None, t, None, "s", None, *[None if i == 2 else f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    rows.append(rows[6])
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        start = {(r.doc_id, *[r[c] for c in names]) for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DIR)
+            if name == "packing":
+                assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+                assert {r.doc_id for r in out.collect()} == {x[0] for x in start}
+                continue
+            got = out.collect()
+            assert out.columns == docs.columns
+            assert {(r.doc_id, *[r[c] for c in names]) for r in got} <= start
+            if name in ("toxicity", "line_dedup", "decontamination"):
+                assert len(got) == docs.count()
