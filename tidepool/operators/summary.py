@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.taxonomy import or_unknown
 from ..schema import RANKS, UNKNOWN
 
+#: Names of the confidence bins, by their limits in percent (fixed values).
 BINS = ["0-40", "40-60", "60-80", "80-90", "90-100"]
 
 

@@ -10,6 +10,7 @@ from ..schema import MANIFEST, RUN
 
 __all__ = ["SUFFIXES", "fasta_records", "filter_inputs", "head_n", "label_from_header", "parse_logs", "parse_sequence_tsv", "read_fasta", "read_fastq", "read_manifest", "read_runs", "read_taxdump", "reject_counts", "tail_logs"]
 
+#: Endings of sequence files (fixed values).
 SUFFIXES = [".fasta", ".fa", ".fna", ".fasta.gz", ".fa.gz", ".fna.gz"]
 
 
@@ -78,6 +79,7 @@ def parse_sequence_tsv(lines: DataFrame, line: str = "line", least: int = 50) ->
     """accession, taxid, title, sequence, and the first reason to reject the line (null if accepted)."""
     p = F.split(F.col(line), "\t", 4)
     taxid, seq = F.trim(F.get(p, F.lit(1))).try_cast("int"), F.trim(F.get(p, F.lit(3)))
+    # the names of reasons are fixed values
     reason = F.when(F.size(p) < 4, "insufficient_columns").when(taxid.isNull(), "invalid_taxid").when(taxid <= 0, "zero_taxid").when(F.length(seq) < least, "very_short_seq")
     return lines.select("*", F.get(p, F.lit(0)).alias("accession"), taxid.alias("taxid"), F.get(p, F.lit(2)).alias("title"), seq.alias("sequence"), reason.alias("reason"))
 
