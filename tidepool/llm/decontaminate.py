@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, chunks, kept, mix, randoms, scratch, sealed, table, utf8, words, written
 
 WINDOW = 13
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 3_000_000
 #: UTF-8 bytes of items in one broadcast block; more items make more blocks.
 BLOCK_BYTES = 16_000_000
 #: Windows that are searched at once.
