@@ -417,7 +417,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
         chosen = hashes_of(each.where(a > n * rate).select("hash", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "hash").limit(FEATURES))
         if not len(chosen):
             return none
-        got = chosen_features(rows, chosen).orderBy("label", "weight", "columns", "counts").toPandas()  # most rows, of the chosen features only
+        got = chosen_features(rows, chosen).toPandas()  # most rows, of the chosen features only
+    # tasks end in any order; the regression's sums shouldn't depend on it
+    order = sorted(range(len(got)), key=lambda i: (got["label"][i], got["weight"][i], tuple(got["columns"][i]), tuple(got["counts"][i])))
+    got = got.iloc[order]
     size = got["columns"].map(len).to_numpy()
     matrix = np.repeat(np.arange(len(got)), size), np.concatenate(got["columns"].to_list()).astype(np.int64), np.log1p(np.concatenate(got["counts"].to_list()))
     weights, bias = regression(*matrix, got["label"].to_numpy(float), got["weight"].to_numpy(), len(chosen))
