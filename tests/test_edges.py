@@ -163,6 +163,14 @@ def test_diversity_edges(spark):
     assert diversity.rarefaction_curve(df, [2]).where("sample_id = 'a'").first().richness == 2.0
 
 
+def test_rarefying_without_a_bound_is_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([("a", f"t{i}", 40 + i) for i in range(20)] + [("b", "x", 700), ("c", "x", 30)], "sample_id string, taxon string, n long")
+    got = sorted(map(tuple, diversity.rarefy(df, 300).collect()))
+    assert sum(n for s, _, n in got if s == "a") == 300 and ("b", "x", 300) in got and "c" not in {s for s, *_ in got}
+    monkeypatch.setattr(diversity, "SPARE", -1000)
+    assert sorted(map(tuple, diversity.rarefy(df, 300).collect())) == got
+
+
 def test_runs(spark):
     none = spark.createDataFrame([], "sample_id string, status string, success boolean, start_time timestamp, end_time timestamp, processing_time double, batch_id int")
     assert runs.dashboard_snapshot(none).first().success_rate == 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .balance import shuffled
 
 
@@ -44,29 +45,29 @@ def normalize_css(df: DataFrame, quantile: float = 0.5, scale: float = 1000.0) -
     return df.join(s, "sample_id", "left").select("sample_id", "taxon", "n", F.round(F.col("n") * scale / F.col("s"), 6).alias("css"))
 
 
-#: Hexadecimal digits by which individuals are counted before any are sorted.
-DIGITS = 4
+#: Standard deviations that a bound of hashes leaves to spare.
+SPARE = 8
 
 
 def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
     """depth individuals of each sample, drawn without replacement in the order of
     md5(seed, sample, taxon, number); samples with fewer are dropped.
 
-    Individuals are counted by the first digits of their hash. All below the digits in which a sample
-    reaches the depth are in; only those with just these digits, one in 16^DIGITS, are sorted.
+    Hashes spread evenly, so the first ones of a sample lie below a bound that depth and total give,
+    with SPARE standard deviations to spare. Only individuals below it are shuffled and sorted; a
+    sample that has too few of them nevertheless is sorted as a whole.
     """
     big = df.join(sample_totals(df).where(F.col("total") >= depth), "sample_id")
-    each = big.select("sample_id", "taxon", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
-    each = each.withColumn("_b", F.substring("_h", 1, DIGITS))
-    sizes = each.groupBy("sample_id", "_b").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("sample_id").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))
-    edge = sizes.withColumn("_u", upto).where((F.col("_u") >= depth) & (F.col("_u") - F.col("n") < depth))
-    edge = edge.select("sample_id", F.col("_b").alias("_e"), (depth - (F.col("_u") - F.col("n"))).alias("_more"))
-    near = each.join(edge, "sample_id")
-    below = near.where(F.col("_b") < F.col("_e")).select("sample_id", "taxon")
+    each = big.select("sample_id", "taxon", "total", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
+    share = F.least(F.lit(1.0), (depth + SPARE * math.sqrt(depth) + 64) / F.col("total"))
+    near = written(each.where(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") < share * F.lit(float(1 << 32))).drop("total"), "near")
+    enough = near.groupBy("sample_id").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select("sample_id")
+    rest = big.join(enough, "sample_id", "left_anti").select("sample_id").distinct()
+    rows = near.join(enough, "sample_id", "left_semi")
+    if not rest.isEmpty():
+        rows = rows.unionByName(each.drop("total").join(rest, "sample_id", "left_semi"))
     place = F.row_number().over(W.partitionBy("sample_id").orderBy("_h", "taxon", "i"))
-    last = near.where(F.col("_b") == F.col("_e")).withColumn("_r", place).where(F.col("_r") <= F.col("_more")).select("sample_id", "taxon")
-    return below.unionAll(last).groupBy("sample_id", "taxon").agg(F.count("*").alias("n"))
+    return rows.withColumn("_r", place).where(F.col("_r") <= depth).groupBy("sample_id", "taxon").agg(F.count("*").alias("n"))
 
 
 def alpha_diversity(df: DataFrame) -> DataFrame:
