@@ -64,7 +64,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     with scratch():
         found = written(windows(keyed).distinct(), "windows")
         cut = kept(covered_lines(later_windows(found)).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_j"), "cut"), "cut")
-    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_j")), "left")
+    # cut grows with docs, so it isn't broadcast where it happens to be small either
+    out = docs.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_j")), "left")
     out = out.withColumn("_l", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "cut")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n"))
