@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, filter_audit, html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, token_count, toxicity, url_filter
+from . import chat_format, collocations, decontaminate, filter_audit, html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_toxicity": toxicity.query,
     "op11_html_extraction": html_extract.query,
+    "op12_collocations": collocations.query,
     "op13_filter_interaction_audit": filter_audit.query,
 }
 
@@ -24,5 +25,6 @@ ORACLE = {
     "op5_chat_formatting": chat_format.SQL,
     "op7_url_filters": url_filter.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_filter_interaction_audit": filter_audit.SQL,
 }
