@@ -27,8 +27,10 @@ from .common import chunks, kept, lookup, mix, scratch, table, utf8, words, writ
 LEAST, TOP = 10, 2000
 #: Bits of a table that a scan gets: 2 MB, however many phrases are in it.
 BITS = 1 << 24
-#: Different phrases that a task counts before it passes the counts on, and texts of phrases that it remembers having passed on.
-HELD = 1_000_000
+#: Different phrases that a task counts before it passes the counts on, and rows in a batch of those.
+HELD, BATCH_ROWS = 400_000, 40_000
+#: Bytes of text that are looked at together; a longer text is taken whole.
+CHUNK_BYTES = 1_000_000
 #: A round goes down to the pair that is so many times further down the language's list than the one before.
 GROWTH = 4
 #: Groups that equal last places of a language are dealt to.
@@ -115,8 +117,10 @@ class _Sums:
         cols, n = self._sum([np.concatenate(c) for c in zip(*[x for x, _ in self.held], strict=True)], np.concatenate([n for _, n in self.held]))
         self.held, self.size = [(cols, n)], len(n)
         if len(n) > most:
-            yield pa.RecordBatch.from_arrays([self.langs.strings(cols[0]), *[pa.array(c.view(np.int64)) for c in cols[1:]], pa.array(n)], [*_columns(self.k), "n"])
             self.held, self.size = [], 0
+            for i in range(0, len(n), BATCH_ROWS):
+                some = slice(i, i + BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([self.langs.strings(cols[0][some]), *[pa.array(c[some].view(np.int64)) for c in cols[1:]], pa.array(n[some])], [*_columns(self.k), "n"])
 
 
 def _texts(batches, langs: _Langs):
@@ -125,7 +129,7 @@ def _texts(batches, langs: _Langs):
     for batch in batches:
         of = langs.numbers(batch.column("_lang"))
         raw, at = utf8(batch.column("_text"))
-        for row, end, part, off in chunks(raw, at):
+        for row, end, part, off in chunks(raw, at, CHUNK_BYTES):
             h, starts, ends, first = words(part, off, WORD)
             if not len(h):
                 continue
@@ -149,7 +153,8 @@ def _scan(docs: DataFrame, k: int, wanted=None) -> DataFrame:
         yield from sums.flush()
 
     out = docs.mapInArrow(run, ", ".join([f"{c} {'string' if c == 'lang' else 'long'}" for c in [*_columns(k), "n"]]))
-    return out.groupBy(*_columns(k)).agg(F.sum("n").alias("n"))
+    # tasks have added up what they could, so rows go to their keys' tasks at once and are added up there
+    return out.repartition(*_columns(k)).groupBy(*_columns(k)).agg(F.sum("n").alias("n"))
 
 
 def _starts(joined: np.ndarray, k: int) -> np.ndarray:
