@@ -233,11 +233,17 @@ def grow(docs: DataFrame, pairs: DataFrame, expand: DataFrame, frequent_pairs, l
 
 
 def thresholds(pairs: DataFrame, place: int) -> DataFrame:
-    """(lang, theta): the score of the pair at that place of each language, 0 where there are fewer. A
-    language has a million scores at most."""
-    counts = pairs.groupBy("lang", "score").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.partitionBy("lang").orderBy(F.desc("score")))
-    return counts.withColumn("_k", upto).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("_k") >= place, F.col("score"))), F.lit(0)).alias("theta"))
+    """(lang, theta): the score of the pair at that place of each language, 0 where there are fewer. The
+    thousand that holds it is found first, and then the score in it, so that no task has more than a thousand
+    counts of a language."""
+    thousand = F.expr("score div 1000")
+    coarse = pairs.groupBy("lang", thousand.alias("_t")).agg(F.count("*").alias("k"))
+    upto = lambda c: F.sum("k").over(W.partitionBy("lang").orderBy(F.desc(c)))
+    holds = coarse.withColumn("_upto", upto("_t")).where((F.col("_upto") >= place) & (F.col("_upto") - F.col("k") < place))
+    holds = holds.select("lang", "_t", (F.col("_upto") - F.col("k")).alias("_before"))
+    fine = pairs.withColumn("_t", thousand).join(holds, ["lang", "_t"]).groupBy("lang", "_before", "score").agg(F.count("*").alias("k"))
+    found = fine.withColumn("_k", F.col("_before") + upto("score")).where(F.col("_k") >= place).groupBy("lang").agg(F.max("score").alias("theta"))
+    return coarse.select("lang").distinct().join(found, "lang", "left").select("lang", F.coalesce("theta", F.lit(0)).alias("theta"))
 
 
 def frontier(pairs: DataFrame, theta: DataFrame, done: DataFrame | None) -> DataFrame:
