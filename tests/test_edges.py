@@ -57,20 +57,6 @@ def test_deep_lineages(spark):
     assert (r.kingdom, r.genus, r.species) == ("n1", f"n{n}", UNKNOWN)
 
 
-def test_nearest_rows_in_blocks(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(90, 6))
-    rows = spark.createDataFrame([(i, v.tolist(), f"c{i % 4}") for i, v in enumerate(x)], "id long, embedding array<double>, label string")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    d = np.round(1 - unit @ unit.T, 9)
-    np.fill_diagonal(d, np.inf)
-    want = {(i, int(j), p + 1) for i in range(0, 90, 3) for p, j in enumerate(np.argsort(d[i], kind="stable")[:5])}
-    for block in (20_000, 17):
-        got = lineage.nearest(rows.where("id % 3 = 0"), rows, block_rows=block, others=True).collect()
-        assert {(r.query_id, r.ref_id, r.place) for r in got} == want
-    assert lineage.nearest(rows, rows.limit(0)).count() == 0 and lineage.nearest(rows.limit(0), rows).count() == 0
-
-
 def test_farther_parents(spark):
     """A parent at distance 4 counts if it is 2^9 times as abundant; short sequences have parents too."""
     a = "ACGTACGTACGTACGTACGT"

@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import runs
+from tidepool.operators import models, runs
+from tidepool.schema import RANKS
 from tidepool.streaming import streams
 
 T = datetime.datetime(2024, 1, 1)
@@ -63,3 +64,39 @@ def test_arriving_files(spark, tmp_path):
         got = sorted(map(tuple, spark.read.schema("sequence_id string, length long").parquet(str(tmp_path / "out" / "batch=*")).collect()))
         (tmp_path / "in" / "b.fa").write_text(">c\nGGG\n")
     assert got == [("a", 4), ("b", 1), ("c", 3)]
+
+
+def test_bad_records_are_noted_and_others_go_on(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(">a x\nAC\nGT\n>empty\n\n>b\nT\n> \nACGT\n")
+    (tmp_path / "in" / "b.fa").write_text("{\"json\": [1, 2]}\nnot a sequence: 1, 2, 3\n")
+    size = lambda batch: batch.select("sequence_id", F.length("sequence").cast("long").alias("length"))
+    for _ in range(2):  # nothing new arrives the second time
+        streams.classify_stream(streams.read_fasta_stream(spark, str(tmp_path / "in")), size, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "rejects")).awaitTermination()
+    assert sorted(map(tuple, spark.read.schema("sequence_id string, length long").parquet(str(tmp_path / "out" / "batch=*")).collect())) == [("a", 4), ("b", 1)]
+    bad = spark.read.schema("file string, sequence_id string, reason string").parquet(str(tmp_path / "rejects" / "batch=*")).collect()
+    assert sorted((r.file[-4:], r.reason) for r in bad) == [("a.fa", "empty_sequence"), ("a.fa", "no_id"), ("b.fa", "not_a_sequence")]
+
+
+def test_a_bundle_classifies_a_stream_as_a_batch(spark, tmp_path):
+    """Train, save with the taxonomy, load, and classify files that arrive one by one."""
+    seqs = [("ACGT" * 20, "b1"), ("AAAAC" * 16, "b2")] * 6
+    train = spark.createDataFrame([(f"t{i}", s, x) for i, (s, x) in enumerate(seqs)], "sequence_id string, seq string, label string")
+    e = models.embed(train).join(train.select("sequence_id", "label"), "sequence_id")
+    model, accuracy = models.train_rf(models.as_vector(e), trees=9)
+    assert accuracy == 1.0
+    known = spark.createDataFrame([("b1", *["K", "P", "C", "O", "F", "G", "S"])], "label string, " + ", ".join(f"`{r}` string" for r in RANKS))
+    models.save_bundle(models.Bundle(model, known), f"file://{tmp_path}/bundle")
+    models.save_bundle(models.Bundle(model, known), f"file://{tmp_path}/bundle")  # replaces itself
+    bundle = models.load_bundle(spark, f"file://{tmp_path}/bundle")
+    (tmp_path / "in").mkdir()
+    for i, (s, _) in enumerate(seqs[:4]):
+        (tmp_path / "in" / f"{i}.fa").write_text(f">s{i} some read\n{s[:40]}\n{s[40:]}\n")
+    streams.classify_stream(streams.read_fasta_stream(spark, str(tmp_path / "in"), 1), streams.bundle_classifier(bundle, 0.2), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert len(list((tmp_path / "out").iterdir())) == 4
+    got = spark.read.parquet(str(tmp_path / "out" / "batch=*"))
+    rows = spark.createDataFrame([(f"s{i}", s) for i, (s, _) in enumerate(seqs[:4])], "sequence_id string, seq string")
+    want = models.classify_bundle(models.as_vector(models.embed(rows)), bundle, 0.2)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    ranks = {r.sequence_id: (r.predicted_label, r.kingdom, r.species, r.method) for r in got.collect()}
+    assert ranks["s0"] == ("b1", "K", "S", "supervised_taxonomy") and ranks["s1"][0] == "b2" and ranks["s1"][1] == "b2"

@@ -73,7 +73,8 @@ def _quality(of_scores):
             return pd.Series(out)
         return pd.Series((sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1))
 
-    return F.pandas_udf(value, "double")
+    # a filter on the value isn't pushed below the projection that has it, where it would be computed again
+    return F.pandas_udf(value, "double").asNondeterministic()
 
 
 def mean_quality(quality: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .quantiles import quantiles
 
 #: Hexadecimal digits of a hash that cut a class into stretches (16^3 of them at most).
 STRETCH = 3
@@ -152,9 +153,11 @@ def support_profile(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """count, mean, std, min, quartiles, max: exact."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.agg(F.count(value).alias("count"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("max"))
+    """count, mean, std, min, quartiles, max: exact. Without a value the count is 0 and the rest null."""
+    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    plain = df.agg(F.count(value).alias("count"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    found = quantiles(df, value, list(names)).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in names.items()])
+    return plain.join(F.broadcast(found)).select("count", "mean", "std", "min", *names.values(), "max")  # a row each
 
 
 def coverage(df: DataFrame, rank: str = "species", taxid: str = "taxid") -> DataFrame:

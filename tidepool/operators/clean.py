@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..schema import RANKS, UNKNOWN
+from .parents import chimeras, denoise, near_pairs, remove_chimeras  # noqa: F401
 
 
 def filter_iupac(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -51,8 +49,11 @@ def cleaning_reasons(df: DataFrame, rank: str = "species", lo: int = 200, hi: in
     return df.withColumn("dropped_by", F.when(F.coalesce(F.col(rank), F.lit(UNKNOWN)) == UNKNOWN, "unknown").when(~S.is_iupac(s), "iupac").when(~F.length(s).between(lo, hi), "length"))
 
 
-def filter_quality(df: DataFrame, least: float = 20, quality: str = "quality") -> DataFrame:
-    return df.where(S.mean_quality(F.col(quality)) >= least)
+def filter_quality(df: DataFrame, least: float = 20, quality: str = "quality", out: str | None = None) -> DataFrame:
+    """Rows whose mean score is high enough; ``out`` names a column for the score. Qualities are read and scored once."""
+    name = out or "_mean"
+    kept = df.withColumn(name, S.mean_quality(F.col(quality))).where(F.col(name) >= least)
+    return kept if out else kept.drop(name)
 
 
 def filter_expected_errors(df: DataFrame, most: float = 2.0, quality: str = "quality") -> DataFrame:
@@ -94,100 +95,6 @@ def dereplicate(df: DataFrame, min_size: int = 1, sample: str = "sample_id", seq
     return df.groupBy(sample, seq).agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
 
 
-def near_pairs(children: DataFrame, parents: DataFrame, distance: int) -> DataFrame:
-    """(sample_id, seq, n, parent, pn, d): pairs of a sample with a more abundant parent at a Levenshtein
-    distance of 1 to ``distance``.
-
-    Such a pair agrees in one of distance + 1 pieces of the child, up to a shift of the distance, so
-    candidates come from an equi-join on pieces and not from all pairs.
-    """
-    parts = distance + 1
-    step = F.floor(F.col("len") / parts).cast("int")
-    u = children.select("sample_id", "seq", "n", F.length("seq").alias("len"))
-    pieces = u.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct((i * step + 1).alias("at"), F.xxhash64(F.expr("seq").substr(i * step + 1, step)).alias("piece")))).alias("p")).select("sample_id", "seq", "n", "len", "p.*")
-    # the pieces of the child's cut, at every place near by in the possible parents
-    other = parents.select("sample_id", F.col("seq").alias("parent"), F.col("n").alias("pn"), F.length("seq").alias("plen"))
-    around = other.select("*", F.explode(F.sequence(F.greatest(F.col("plen") - distance, F.lit(0)), F.col("plen") + distance)).alias("len"))
-    shifted = lambda i, s: F.struct((i * step + 1).alias("at"), F.when(i * step + 1 + s >= 1, F.xxhash64(F.expr("parent").substr(i * step + 1 + s, step))).alias("piece"))
-    around = around.select("*", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.transform(F.sequence(F.lit(-distance), F.lit(distance)), lambda s: shifted(i, s))))).alias("p"))
-    around = around.select("sample_id", "parent", "pn", "len", "p.*").where("piece IS NOT NULL").distinct()
-    pairs = pieces.join(around, ["sample_id", "len", "at", "piece"]).where((F.col("pn") > F.col("n")) & (F.col("seq") != F.col("parent")))
-    pairs = pairs.select("sample_id", "seq", "n", "parent", "pn").distinct()
-    return pairs.withColumn("d", F.levenshtein("seq", "parent", distance)).where(F.col("d") >= 0)
-
-
-def denoise(uniques: DataFrame, alpha: float = 2.0, base: float = 1.0, max_distance: int | None = None) -> DataFrame:
-    """sample_id, seq, n after UNOISE2's rule in one pass: a unique joins the most abundant parent at a
-    distance d whose abundance makes n / parent <= 2^-(alpha d + base), if there is one.
-
-    The largest and smallest abundances bound d. Each d is looked for by itself, among children and
-    parents that are rare and abundant enough for it, so far pairs are sought for few sequences.
-    ``max_distance`` leaves out farther parents, for callers who want that.
-    """
-    u = uniques.select("sample_id", "seq", "n")
-    least, most = u.agg(F.min("n"), F.max("n")).first()
-    far = max(0, math.floor((math.log2(most / least) - base) / alpha + 1e-9)) if least else 0
-    far = far if max_distance is None else min(far, max_distance)
-    found = [near_pairs(u.where(F.col("n") <= most / 2 ** (alpha * d + base)), u.where(F.col("n") >= least * 2 ** (alpha * d + base)), d).where(F.col("d") == d) for d in range(1, far + 1)]
-    if not found:
-        return u
-    near = reduce(DataFrame.unionByName, found).where(F.col("n") / F.col("pn") <= F.pow(F.lit(2.0), -(F.col("d") * alpha + base)))
-    best = near.groupBy("sample_id", "seq").agg(F.min_by("parent", F.struct(-F.col("pn"), "d", "parent")).alias("into"))
-    joined = u.join(best, ["sample_id", "seq"], "left")
-    return joined.groupBy("sample_id", F.coalesce("into", "seq").alias("seq")).agg(F.sum("n").alias("n"))
-
-
-def prefix_length(a: str, b: str) -> Column:
-    """Length of the common beginning of two expressions."""
-    letters = lambda x: F.filter(F.split(F.expr(x), ""), lambda c: c != "")
-    equal = F.zip_with(letters(a), letters(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(equal, F.lit(False))
-    return F.when(at > 0, at.cast("int") - 1).otherwise(F.size(equal))
-
-
-def _ends(parents: DataFrame, wanted: DataFrame, first: bool) -> DataFrame:
-    """(sample_id, size, piece, pid, pn): hashes of the first (or last) characters of parents, in every
-    length that ``wanted`` asks for in their sample, without the characters themselves."""
-    end = F.expr("left(parent, size)") if first else F.expr("right(parent, size)")
-    sized = parents.join(wanted.select("sample_id", "size").distinct(), "sample_id").where(F.length("parent") >= F.col("size"))
-    return sized.select("sample_id", "size", F.xxhash64(end).alias("piece"), "pid", "pn")
-
-
-def chimeras(uniques: DataFrame, ratio: float = 2.0) -> DataFrame:
-    """sample_id, seq, n, chimera: whether parents of ratio times the abundance or more make up the
-    sequence: the longest common beginning with one and the longest common end with one
-    add up to its length, and neither equals it.
-
-    One of the two covers half of the child, so it is found by an equi-join on halves; what it leaves
-    uncovered is then looked up, as a whole, among the ends of the other parents.
-    """
-    u = uniques.select("sample_id", "seq", "n")
-    least = u.groupBy("sample_id").agg((ratio * F.min("n")).alias("_least"))
-    parent = u.join(least, "sample_id").where(F.col("n") >= F.col("_least")).select("sample_id", F.col("seq").alias("parent"), F.col("n").alias("pn"), F.xxhash64("seq").alias("pid"))
-    able = (F.col("pn") >= ratio * F.col("n")) & (F.col("parent") != F.col("seq"))
-    bad = []
-    for first in (True, False):
-        end = (lambda c: F.expr(f"left({c}, size)")) if first else (lambda c: F.expr(f"right({c}, size)"))
-        other = (lambda c: F.expr(f"right({c}, size)")) if first else (lambda c: F.expr(f"left({c}, size)"))
-
-        def matched(children: DataFrame, side, begin: bool) -> DataFrame:
-            """children (sample_id, seq, n, size) with the parents that have their end of that size."""
-            keyed = children.withColumn("piece", F.xxhash64(side("seq")))
-            near = keyed.join(_ends(parent, keyed, begin), ["sample_id", "size", "piece"]).where(F.col("pn") >= ratio * F.col("n"))
-            return near.drop("pn").join(parent, ["sample_id", "pid"]).where(able & (side("seq") == side("parent")))
-
-        half = u.where(F.length("seq") >= 2).withColumn("size", F.floor(F.length("seq") / 2).cast("int"))
-        shared = prefix_length("seq", "parent") if first else prefix_length("reverse(seq)", "reverse(parent)")
-        rest = matched(half, end, first).groupBy("sample_id", "seq", "n").agg(F.max(shared).alias("most")).withColumn("size", F.length("seq") - F.col("most"))
-        bad += [rest.where("size = 0").select("sample_id", "seq"), matched(rest.where("size > 0"), other, not first).select("sample_id", "seq")]
-    flags = bad[0].unionByName(bad[1]).unionByName(bad[2]).unionByName(bad[3]).distinct().withColumn("chimera", F.lit(True))
-    return u.join(flags, ["sample_id", "seq"], "left").withColumn("chimera", F.coalesce("chimera", F.lit(False)))
-
-
-def remove_chimeras(uniques: DataFrame, ratio: float = 2.0) -> DataFrame:
-    return chimeras(uniques, ratio).where(~F.col("chimera")).drop("chimera")
-
-
 def retention_stats(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """stage, rows, uniques and rate (% of the first stage's rows) in the order given."""
     each = [df.agg(F.lit(i).alias("at"), F.lit(name).alias("stage"), F.count("*").alias("n"), F.countDistinct("seq").alias("uniques")) for i, (name, df) in enumerate(stages)]

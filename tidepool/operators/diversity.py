@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from .balance import shuffled
+from .quantiles import quantiles
 
 
 def abundance_by_rank(df: DataFrame, ranks: list[str]) -> DataFrame:
@@ -40,13 +41,15 @@ def normalize_tpm(df: DataFrame, length: str = "length") -> DataFrame:
 
 def normalize_css(df: DataFrame, quantile: float = 0.5, scale: float = 1000.0) -> DataFrame:
     """n x scale / sum of a sample's counts up to its quantile of positive counts."""
-    q = df.where("n > 0").groupBy("sample_id").agg(F.percentile("n", F.lit(quantile)).alias("q"))
+    q = quantiles(df.where("n > 0"), "n", [quantile], ["sample_id"]).select("sample_id", F.col("value").alias("q"))
     s = df.join(q, "sample_id").where("n > 0 and n <= q").groupBy("sample_id").agg(F.sum("n").alias("s"))
     return df.join(s, "sample_id", "left").select("sample_id", "taxon", "n", F.round(F.col("n") * scale / F.col("s"), 6).alias("css"))
 
 
 #: Standard deviations that a bound of hashes leaves to spare.
 SPARE = 8
+#: Individuals that are hashed in one go; the stretches of a large count go to several tasks.
+STRETCH = 50_000
 
 
 def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
@@ -57,15 +60,19 @@ def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
     with SPARE standard deviations to spare. Only individuals below it are shuffled and sorted; a
     sample that has too few of them nevertheless is sorted as a whole.
     """
-    big = df.join(sample_totals(df).where(F.col("total") >= depth), "sample_id")
-    each = big.select("sample_id", "taxon", "total", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
-    share = F.least(F.lit(1.0), (depth + SPARE * math.sqrt(depth) + 64) / F.col("total"))
-    near = written(each.where(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") < share * F.lit(float(1 << 32))).drop("total"), "near")
+    # hashes are compared with the bound as hexadecimal text
+    share = (depth + SPARE * math.sqrt(depth) + 64) / F.col("total")
+    bound = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(F.greatest(share, F.lit(0.0)) * (1 << 48)).cast("long")), 12, "0")))
+    big = df.join(sample_totals(df).where(F.col("total") >= depth).withColumn("_bound", bound), "sample_id")
+    stretch = F.sequence(F.lit(1), F.col("n").cast("long"), F.lit(STRETCH))
+    some = big.where("n > 0").select("sample_id", "taxon", "n", "_bound", F.explode(stretch).alias("_a")).repartition("sample_id", "taxon", "_a")
+    each = some.select("sample_id", "taxon", "_bound", F.explode(F.sequence("_a", F.least(F.col("_a") + STRETCH - 1, F.col("n").cast("long")))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
+    near = written(each.where(F.col("_h") < F.col("_bound")).drop("_bound"), "near")
     enough = near.groupBy("sample_id").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select("sample_id")
     rest = big.join(enough, "sample_id", "left_anti").select("sample_id").distinct()
     rows = near.join(enough, "sample_id", "left_semi")
     if not rest.isEmpty():
-        rows = rows.unionByName(each.drop("total").join(rest, "sample_id", "left_semi"))
+        rows = rows.unionByName(each.drop("_bound").join(rest, "sample_id", "left_semi"))
     place = F.row_number().over(W.partitionBy("sample_id").orderBy("_h", "taxon", "i"))
     return rows.withColumn("_r", place).where(F.col("_r") <= depth).groupBy("sample_id", "taxon").agg(F.count("*").alias("n"))
 

@@ -19,49 +19,51 @@ from ..functions import batches as B
 from ..functions import sequence as S
 
 
-#: Counts (a number for each word) that a task holds before it passes them on.
-HELD = 4_000_000
+#: Different (group, word) that a task holds before it passes their counts on; numbers in a dense table of shares.
+HELD, DENSE = 1_000_000, 4_000_000
 
 
 def kmer_counts(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 6), group: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
-    """(group, k, kmer, n). Tasks count base-4 numbers in Arrow batches and pass on 4^k counts a group at most."""
+    """(group, k, kmer, n). Tasks count base-4 numbers in Arrow batches, only those that occur, and pass on each (group, k,
+    word) once for HELD others at most."""
     fields = [df.schema[g] for g in group]
     schema = T.StructType([*fields, T.StructField("k", T.IntegerType()), T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())])
+    first = np.cumsum([0, *[4**k for k in ks]])  # the words of all lengths in a row
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[tuple, dict[int, np.ndarray]] = {}
-
-        def passed_on():
-            kinds = to_arrow_schema(schema)
-            for k in ks:
-                keys = [g for g in held if k in held[g]]
-                some = [np.flatnonzero(held[g][k]) for g in keys]
-                if not keys:
-                    continue
-                size = [len(x) for x in some]
-                cols = [pa.array([g[i] for g, n in zip(keys, size, strict=True) for _ in range(n)], kinds.field(i).type) for i in range(len(group))]
-                code, n = np.concatenate(some), np.concatenate([held[g][k][x] for g, x in zip(keys, some, strict=True)])
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int32)), pa.array(n)], kinds.names)
-            held.clear()
+        kinds = to_arrow_schema(schema)
+        names: dict[tuple, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return word, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def passed_on(word, n):
+            of, word = np.divmod(word, first[-1])
+            at = np.searchsorted(first, word, side="right") - 1
+            groups = list(names)
+            cols = [pa.array([g[i] for g in groups], kinds.field(i).type).take(pa.array(of)) for i in range(len(group))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.array(ks, np.int32)[at]), pa.array((word - first[at]).astype(np.int32)), pa.array(n)], kinds.names)
 
         for batch in batches:
-            groups = list(zip(*[batch.column(g).to_pylist() for g in group], strict=True)) if group else [()] * batch.num_rows
+            own = list(zip(*[batch.column(g).to_pylist() for g in group], strict=True)) if group else [()] * batch.num_rows
+            number = np.array([names.setdefault(g, len(names)) for g in own], np.int64)
             raw, at = B.string_bytes(batch.column("_s"))
             for row, end, part, off in B.chunks(raw, at):
-                names: dict[tuple, int] = {}
-                number = np.array([names.setdefault(g, len(names)) for g in groups[row:end]])
-                for k in ks:
+                for k, start in zip(ks, first, strict=False):
                     code, of = B.kmer_codes(part, off, k)
-                    wide = number[of] * 4**k + code
-                    counts = np.bincount(wide, minlength=len(names) * 4**k).reshape(len(names), 4**k)
-                    for g, i in names.items():
-                        own = held.setdefault(g, {})
-                        own[k] = own[k] + counts[i] if k in own else counts[i]
-                if len(held) * sum(4**k for k in ks) > HELD:
-                    yield from passed_on()
-        yield from passed_on()
+                    held.append(np.unique(number[row:end][of] * first[-1] + start + code, return_counts=True))
+                if sum(len(w) for w, _ in held) > HELD:
+                    held = [added()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield passed_on(*held[0])
+                        held, names = [], {}
+                        number = np.array([names.setdefault(g, len(names)) for g in own], np.int64)
+        if held:
+            yield passed_on(*added())
 
     rows = df.select(*group, F.coalesce(F.col(seq), F.lit("")).alias("_s"))
     total = rows.mapInArrow(run, schema).groupBy(*group, "k", "code").agg(F.sum("n").alias("n"))
@@ -74,10 +76,31 @@ def vocabulary(k: int) -> list[str]:
     return ["".join(p) for p in product("ACGT", repeat=k)]
 
 
+def _shares(k: int):
+    @F.pandas_udf("array<double>")
+    def shares(seq: pd.Series) -> pd.Series:
+        raw, at = B.string_bytes(seq)
+        out = []
+        for row, end, part, off in B.chunks(raw, at):
+            step = max(1, DENSE // 4**k)
+            for a in range(0, end - row, step):
+                own = off[a : min(a + step, end - row) + 1]
+                code, of = B.kmer_codes(part[own[0] : own[-1]], own - own[0], k)
+                n = np.bincount(of * 4**k + code, minlength=(len(own) - 1) * 4**k).reshape(len(own) - 1, -1)
+                out += list(n / np.maximum(n.sum(1, keepdims=True), 1))
+        return pd.Series(out, dtype=object)
+
+    return shares
+
+
 def kmer_vector(df: DataFrame, k: int = 4, seq: str = "seq", out: str = "features") -> DataFrame:
-    """A vector of the relative frequencies of all 4^k words, in lexicographic order."""
+    """A vector of the relative frequencies of all 4^k words, in lexicographic order, zeros for a sequence without a
+    clean word (or null). Up to k = 5 words are counted as numbers in Arrow batches, longer ones as strings, as most of their
+    vector is zero."""
+    if k <= 5:
+        return df.withColumn(out, array_to_vector(_shares(k)(F.coalesce(F.col(seq), F.lit("")))))
     model = CountVectorizerModel.from_vocabulary(vocabulary(k), inputCol="_w", outputCol="_n", minTF=1.0)
-    counted = model.transform(df.withColumn("_w", S.kmers(F.col(seq), k)))
+    counted = model.transform(df.withColumn("_w", S.kmers(F.coalesce(F.col(seq), F.lit("")), k)))
     return Normalizer(p=1.0, inputCol="_n", outputCol=out).transform(counted).drop("_w", "_n")
 
 

@@ -5,16 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp
 from ..functions.taxonomy import or_unknown, parse_taxonomy
 from ..schema import RANKS, UNKNOWN
 from ..storage import kept, scratch, written
+from .neighbours import nearest
+
 
 def resolve_lineage(taxids: DataFrame, nodes: DataFrame, names: DataFrame, top: tuple[str, ...] = ("superkingdom",)) -> DataFrame:
     """taxid and the seven ranks of each distinct taxid, by walking parents to the root.
@@ -114,57 +113,12 @@ def consensus(preds: DataFrame, weights: DataFrame, least_share: float = 0.5) ->
     return one.select("sequence_id", *ranks, F.round(F.coalesce(F.element_at("s", F.greatest(F.col("depth") - 1, F.lit(0))), F.lit(0.0)), 6).alias("share"))
 
 
-#: Reference vectors, and queries, in one block; queries of a block that are multiplied at once.
-BLOCK_ROWS, SLICE = 20_000, 512
-
-
-def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, others: bool = False) -> DataFrame:
-    """(query_id, ref_id, label, distance, place): the k nearest reference rows of each query by
-    cosine distance; ties by ref_id. ``others``: a row of the reference with the query's id doesn't count.
-
-    Both sides are dealt to blocks by hash. Every pair of a query block and a reference block is
-    one group of a cogroup, a matrix product in slices; the k best of every pair meet per query.
-    queries: id, embedding; reference: id, embedding, label.
-    """
-    counts = [-(-max(1, df.count()) // block_rows) for df in (queries, reference)]
-    kinds = [dict(df.dtypes)["id"] for df in (queries, reference)]
-
-    def dealt(df: DataFrame, own: int, columns: list, seed: str) -> DataFrame:
-        """Each row in its block, once for each block of the other side."""
-        block = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(counts[own])).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - own] - 1)))
-        pair = [block.alias("a"), every.alias("b")] if own == 0 else [every.alias("a"), block.alias("b")]
-        return df.select("id", F.col("embedding").cast("array<double>").alias("e"), *columns, *pair)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "ref_id", "label", "distance"]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=names)
-        right = right.sort_values("id", kind="stable")
-        unit = lambda rows: (m := np.array(rows["e"].tolist())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        q, m, ids, labels = unit(left), unit(right), right["id"].to_numpy(), right["label"].astype(str).to_numpy()
-        out = []
-        for i in range(0, len(q), SLICE):
-            own = left["id"].to_numpy()[i : i + SLICE]
-            d = np.round(1 - q[i : i + SLICE] @ m.T, 9)
-            if others:
-                d[own[:, None] == ids[None, :]] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(own, top.shape[1]), "ref_id": ids[top].ravel(), "label": labels[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}))
-        near = pd.concat(out)
-        return near[np.isfinite(near["distance"])]
-
-    a, b = dealt(queries, 0, [], "q"), dealt(reference, 1, [F.col("label").cast("string").alias("label")], "r")
-    near = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(best, f"query_id {kinds[0]}, ref_id {kinds[1]}, label string, distance double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
-    return near.withColumn("place", place).where(F.col("place") <= k)
-
-
-def knn_classify(queries: DataFrame, reference: DataFrame, k: int = 5, max_distance: float | None = None, others: bool = False) -> DataFrame:
+def knn_classify(queries: DataFrame, reference: DataFrame, k: int = 5, max_distance: float | None = None, others: bool = False, probes: int | None = None) -> DataFrame:
     """sequence_id, ranks, confidence (100 x votes of the winner / k), method, predicted_label and
     closest_distance. The winner of equal votes is the nearer one, then the first by name; without
-    a neighbour within max_distance the label is Unknown and the confidence 0."""
-    near = nearest(queries, reference, k, others=others)
+    a neighbour within max_distance the label is Unknown and the confidence 0. ``probes``: lists that a
+    query visits at most, for approximate answers."""
+    near = nearest(queries, reference, k, others, probes)
     use = F.lit(True) if max_distance is None else F.col("distance") <= max_distance
     votes = near.groupBy("query_id", "label").agg(F.count_if(use).alias("n"), F.min("distance").alias("d"))
     best = votes.groupBy("query_id").agg(F.min("d").alias("closest_distance"), F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), "d", "label")).alias("b"))

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from ..functions import numbers as N
 from ..functions.sequence import truncate
 from ..functions.taxonomy import otu_label
 from ..schema import RANKS, UNKNOWN
-from . import balance
+from . import balance, kmeans
 from .evaluate import overall_report
 from .features import as_vector, kmer_vector
 from .lineage import apply_label_taxonomy, mask_low_confidence, with_ranks
@@ -28,8 +28,6 @@ from .lineage import apply_label_taxonomy, mask_low_confidence, with_ranks
 PLAIN_CONFIDENCE = 0.7
 #: Method names in prediction rows (fixed values).
 SUPERVISED, FALLBACK = "supervised_taxonomy", "embedding_kmeans_fallback"
-#: Fits that run at once.
-AT_ONCE = 4
 
 
 def validate_embeddings(df: DataFrame, key: str = "sequence_id", vector: str = "embedding") -> DataFrame:
@@ -61,9 +59,8 @@ def centroid_confidence(df: DataFrame, centroids: DataFrame, key: str = "sequenc
 
 def label_centroids(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """(cluster, center): the mean vector of each label."""
-    each = df.select(F.col(label).alias("cluster"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
-    means = each.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
-    return means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("center"))
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return df.groupBy(F.col(label).alias("cluster")).agg(vector_to_array(mean).alias("center"))
 
 
 def otu_rows(assigned: DataFrame, method: str) -> DataFrame:
@@ -74,21 +71,22 @@ def otu_rows(assigned: DataFrame, method: str) -> DataFrame:
 
 
 def otu_cluster(df: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
-    """Prediction rows from k-means, the best of several seeds (fitted side by side); clusters are numbered by size, then by
-    their first id. One row is OTU-001 with 100; no rows give none."""
+    """Prediction rows from k-means, the best of several starts (fitted in the same scans); clusters are numbered by size,
+    then by their first id. One row is OTU-001 with 100; no rows give none. Rows without a vector are left out."""
+    df = df.where(F.col("embedding").isNotNull())
     n = df.count()
     if n <= 1:
         return otu_rows(df.select("sequence_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("confidence")), FALLBACK)
-    rows = as_vector(df.select("sequence_id", "embedding")).persist()
+    rows = df.select("sequence_id", F.col("embedding").cast("array<double>").alias("_v")).persist()
     try:
-        with ThreadPool(min(restarts, AT_ONCE)) as pool:
-            models = pool.map(lambda i: KMeans(k=cluster_count(n), seed=seed + i, maxIter=50).fit(rows), range(restarts))
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        sizes = best.transform(rows).groupBy("prediction").agg(F.count("*").alias("n"), F.min("sequence_id").alias("first")).orderBy(F.desc("n"), "first").collect()
+        sample, k = kmeans.sample_of(rows, "sequence_id", "_v"), cluster_count(n)
+        models = kmeans.fit(rows, np.stack([kmeans.plus_plus(sample, k, seed + i) for i in range(restarts)]))
+        centers = min(models, key=lambda m: m.cost).centers
+        sizes = kmeans.sizes(rows, centers, "sequence_id").orderBy(F.desc("n"), "first").collect()  # a row a cluster
     finally:
         rows.unpersist()
-    centers = best.clusterCenters()
-    order = [r["prediction"] for r in sizes] + [i for i in range(len(centers)) if i not in {r["prediction"] for r in sizes}]
+    order = [r["cluster"] for r in sizes]
+    order += [i for i in range(len(centers)) if i not in set(order)]
     table = df.sparkSession.createDataFrame([(i, [float(x) for x in centers[old]]) for i, old in enumerate(order)], "cluster int, center array<double>")
     return otu_rows(centroid_confidence(df, table), FALLBACK)
 
@@ -111,6 +109,32 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """A classifier and the ranks of its labels: ``taxonomy`` has label and the seven ranks, if any."""
+
+    model: PipelineModel
+    taxonomy: DataFrame | None = None
+
+
+def save_bundle(bundle: Bundle, path: str) -> None:
+    """Model and taxonomy as two folders; a bundle that was there is replaced."""
+    spark = SparkSession.active()
+    save_model(bundle.model, f"{path}/model")
+    known = bundle.taxonomy if bundle.taxonomy is not None else spark.createDataFrame([], "label string, " + ", ".join(f"`{r}` string" for r in RANKS))
+    known.select("label", *RANKS).write.mode("overwrite").parquet(f"{path}/taxonomy")
+
+
+def load_bundle(spark: SparkSession, path: str) -> Bundle:
+    schema = "label string, " + ", ".join(f"`{r}` string" for r in RANKS)
+    return Bundle(load_model(f"{path}/model"), spark.read.schema(schema).parquet(f"{path}/taxonomy"))
+
+
+def classify_bundle(df: DataFrame, bundle: Bundle, threshold: float = 0.0) -> DataFrame:
+    """``classify_supervised`` with a bundle's model and taxonomy."""
+    return classify_supervised(df, bundle.model, bundle.taxonomy, threshold)
+
+
 def serving(model: PipelineModel) -> PipelineModel:
     """The model without the stage that needs labels."""
     return PipelineModel([s for s in model.stages if "StringIndexer" not in type(s).__name__])

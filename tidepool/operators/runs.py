@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normalize_status
-from ..storage import written
+from ..storage import kept, scratch, written
 
 
 def with_status(runs: DataFrame) -> DataFrame:
@@ -44,25 +44,51 @@ def last_durations(runs: DataFrame, n: int = 8) -> DataFrame:
     return runs.where((F.col("status") == "completed") & F.col("processing_time").isNotNull()).orderBy(F.desc("start_time"), "sample_id").limit(n).select("sample_id", "start_time", "processing_time")
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted into ranges of the columns, with the number of its range (``_p``), as a table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def carried(ranges: DataFrame, base: str, value: Column, how=F.sum) -> DataFrame:
+    """(_n, _q, _before): of each base and range, the sum (or what else) of a value over that base's rows in
+    the ranges before. A base has a row a range at most."""
+    each = ranges.groupBy(F.col(base).alias("_n"), F.col("_p").alias("_q")).agg(how(value).alias("_v"))
+    before = how("_v").over(W.partitionBy("_n").orderBy("_q").rowsBetween(W.unboundedPreceding, -1))
+    return each.select("_n", "_q", F.coalesce(before, F.lit(0)).alias("_before"))
+
+
+def placed(df: DataFrame, base: str, order: str, out: str) -> DataFrame:
+    """``out``: place of each row among those of its base, from 0. Ranges are numbered by themselves and go on
+    from the ranges before, so that no base has to fit one task."""
+    ranges = ranged(df, base, order)
+    rows = ranges.withColumn(out, (F.row_number().over(W.partitionBy(base, "_p").orderBy(order)) - 1).cast("long"))
+    rows = rows.join(carried(ranges, base, F.lit(1)), F.col(base).eqNullSafe(F.col("_n")) & (F.col("_p") == F.col("_q")))
+    return rows.withColumn(out, F.col(out) + F.col("_before")).drop("_p", "_q", "_n", "_before")
+
+
 def uniquify_ids(df: DataFrame, base: str = "base_id", order: str = "at") -> DataFrame:
     """run_id: the base id for its first row, then base-1, base-2 and so on, without those numbers
-    that some base id already has as its own name. Rows are cut into ranges of (base, order) and
-    numbered within them, so that no base id has to fit one task."""
-    names = df.select(F.col(base).alias("_name")).distinct()
-    split = names.select(F.regexp_extract("_name", "^(.*)-([1-9][0-9]*)$", 1).alias("_b"), F.regexp_extract("_name", "^(.*)-([1-9][0-9]*)$", 2).try_cast("long").alias("_k")).where(F.col("_k").isNotNull())
-    taken = split.groupBy("_b").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = written(df.repartitionByRange(parts, base, order).withColumn("_p", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy(F.col(base).alias("_n"), F.col("_p").alias("_q")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("_n").orderBy("_q").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select("_n", "_q", F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = ranges.withColumn("_r", F.row_number().over(W.partitionBy(base, "_p").orderBy(order)) - 1)
-    rows = rows.join(sizes, F.col(base).eqNullSafe(F.col("_n")) & (F.col("_p") == F.col("_q"))).withColumn("_r", F.col("_r") + F.col("_before")).drop("_p", "_q", "_n", "_before")
-    rows = rows.join(taken, F.col(base) == F.col("_b"), "left")
-    # each taken number up to the current one pushes it up by one
-    k = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_r").cast("long"), lambda a, t: F.when(t <= a, a + 1).otherwise(a))
-    name = F.when(F.col("_r") == 0, F.col(base)).otherwise(F.concat_ws("-", base, k.cast("string")))
-    return rows.withColumn("run_id", name).drop("_r", "_b", "_taken")
+    that some base id already has as its own name. A null base id stays null.
+
+    The i-th taken number of a base pushes all rows from the place (number - i + 1) on by i. Rows and
+    these places are sorted together into ranges, and a row takes the last push before it: within its range, or
+    else the largest of the ranges before.
+    """
+    split = df.select(F.regexp_extract(F.col(base), "^(.*)-([1-9][0-9]*)$", 1).alias("_b"), F.regexp_extract(F.col(base), "^(.*)-([1-9][0-9]*)$", 2).try_cast("long").alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    with scratch():
+        taken = placed(split, "_b", "_k", "_i").select(F.col("_b").alias(base), F.col("_i") + 1, (F.col("_k") - F.col("_i")).alias("_r")).toDF(base, "_i", "_r")
+        taken = written(taken.join(df.select(base).distinct(), base, "left_semi"), "taken")
+        rows = written(placed(df, base, order, "_r"), "rows")
+        some = taken.select(base).distinct()
+        plain = rows.join(some, base, "left_anti").withColumn("_push", F.lit(0).cast("long"))
+        both = ranged(rows.join(some, base, "left_semi").withColumns({"_i": F.lit(0).cast("long"), "_row": F.lit(True)}).unionByName(taken.withColumn("_row", F.lit(False)), allowMissingColumns=True), base, "_r", "_row")
+        within = F.max("_i").over(W.partitionBy(base, "_p").orderBy("_r", "_row"))
+        pushed = both.withColumn("_push", within).where("_row").join(carried(both, base, F.col("_i"), F.max), (F.col(base) == F.col("_n")) & (F.col("_p") == F.col("_q")))
+        pushed = pushed.withColumn("_push", F.greatest("_push", "_before")).select(*rows.columns, "_push")
+        out = plain.unionByName(pushed)
+        name = F.when(F.col("_r") == 0, F.col(base)).otherwise(F.concat_ws("-", base, (F.col("_r") + F.col("_push")).cast("string")))
+        return kept(out.withColumn("run_id", F.when(F.col(base).isNotNull(), name)).drop("_r", "_push"), "unique")
 
 
 def fold_updates(updates: DataFrame, fields: tuple[str, ...] = ("status", "progress", "message"), first_step: str = "") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import balance, clean, diversity, evaluate, lineage, models, runs, summary
 from ..operators.features import as_vector
 from ..schema import RANKS
-from ..storage import shared_path, written
+from ..storage import kept, scratch, shared_path, written
 from ..streaming import streams
 from . import views as v
 from .registry import query
@@ -472,32 +472,66 @@ def k8(spark, d):
     return e.select("sequence_id", "model_name", F.posexplode("embedding").alias("place", "x")).where("x > 0").select("sequence_id", "place", F.round(F.col("x").cast("double"), 6).alias("share"), "model_name")
 
 
-@query("pipeline_read_embed_classify", f"""
+BY_CENTROID = f"""
 WITH s AS ({SHARE4}), t AS (SELECT taxon, row_number() OVER (ORDER BY taxon) - 1 AS cluster, count(*) AS n FROM v_reads GROUP BY taxon),
 m AS (SELECT taxon, place, sum(share) / max(n) AS m FROM s JOIN v_reads USING (read_id) JOIN t USING (taxon) GROUP BY taxon, place),
 g AS (SELECT read_id, cluster, taxon FROM v_reads r JOIN t ON true),
 d AS (SELECT read_id, g.cluster, sqrt(sum((coalesce(share, 0) - coalesce(m, 0)) ** 2)) AS d FROM (SELECT read_id, r.taxon AS own, t.cluster, t.taxon, CAST(i AS INT) AS place FROM v_reads r, t, generate_series(0, 255) AS x(i)) g LEFT JOIN s USING (read_id, place) LEFT JOIN m ON m.taxon = g.taxon AND m.place = g.place GROUP BY ALL)
-SELECT read_id AS sequence_id, 'OTU-' || lpad(CAST(arg_min(cluster, (round(d, 9), cluster)) + 1 AS VARCHAR), 3, '0') AS predicted_label, round(100 * exp(-min(d)) / sum(exp(-d)), 2) AS confidence, 'embedding_centroids' AS method FROM d GROUP BY read_id""")
-def whole(spark, d):
-    """Reads -> embeddings -> mean vectors of the known taxa -> prediction rows with a confidence."""
+SELECT read_id AS sequence_id, 'OTU-' || lpad(CAST(arg_min(cluster, (round(d, 9), cluster)) + 1 AS VARCHAR), 3, '0') AS predicted_label, round(100 * exp(-min(d)) / sum(exp(-d)), 2) AS confidence, 'embedding_centroids' AS method FROM d GROUP BY read_id"""
+
+
+def taxon_centers(spark, d):
+    """The mean vector of each known taxon, numbered by name."""
     reads = v.v_reads(spark, d)
     e = written(models.embed(reads, key="read_id").join(reads.select(F.col("read_id").alias("sequence_id"), "taxon"), "sequence_id"), "embedded")
     codes = balance.label_codes(e, "taxon").withColumnRenamed("taxon", "t")
-    centers = models.label_centroids(e, "taxon").join(codes, F.col("cluster") == F.col("t")).select(F.col("label_id").alias("cluster"), "center")
-    rows = models.otu_rows(models.centroid_confidence(e, centers), "embedding_centroids")
-    return rows.select("sequence_id", "predicted_label", "confidence", "method")
+    return e, models.label_centroids(e, "taxon").join(codes, F.col("cluster") == F.col("t")).select(F.col("label_id").alias("cluster"), "center")
+
+
+def centroid_rows(e, centers):
+    return models.otu_rows(models.centroid_confidence(e, centers), "embedding_centroids").select("sequence_id", "predicted_label", "confidence", "method")
+
+
+@query("pipeline_read_embed_classify", BY_CENTROID)
+def whole(spark, d):
+    """Reads -> embeddings -> mean vectors of the known taxa -> prediction rows with a confidence."""
+    with scratch():
+        return kept(centroid_rows(*taxon_centers(spark, d)), "predictions")
 
 
 # -- streams ----------------------------------------------------------------------------------
 
 
-@query("s1_arriving_files", "SELECT CAST(read_id AS VARCHAR) AS sequence_id, len(seq) AS length FROM v_reads")
-def s1(spark, d):
-    path, out = shared_path(spark, "arriving"), shared_path(spark, "classified")
+def arriving(spark, d):
+    """A folder of sequence files with all reads."""
+    path = shared_path(spark, "arriving")
     v.v_reads(spark, d).select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq")).write.text(path)
-    lengths = lambda batch: batch.select("sequence_id", F.length("sequence").cast("long").alias("length"))
-    streams.classify_stream(streams.read_fasta_stream(spark, path), lengths, out, shared_path(spark, "state")).awaitTermination()
-    return spark.read.schema("sequence_id string, length long").parquet(f"{out}/batch=*")
+    return path
+
+
+@query("s1_arriving_files", f"SELECT CAST(sequence_id AS VARCHAR) AS sequence_id, predicted_label, confidence, method FROM ({BY_CENTROID}) JOIN v_reads ON read_id = sequence_id WHERE len(seq) > 0")
+def s1(spark, d):
+    """Files that arrive are read, embedded and classified by the mean vectors of the known taxa, batch by batch."""
+    path, out = arriving(spark, d), shared_path(spark, "classified")
+    with scratch():
+        centers = written(taxon_centers(spark, d)[1], "centers")
+        rows = streams.embed_and_classify(lambda e: centroid_rows(e, centers))
+        streams.classify_stream(streams.read_fasta_stream(spark, path, 3), rows, out, shared_path(spark, "state"), shared_path(spark, "rejects")).awaitTermination()
+    return spark.read.schema("sequence_id string, predicted_label string, confidence double, method string").parquet(f"{out}/batch=*")
+
+
+@query("s1_supervised_stream")
+def s1_bundle(spark, d):
+    """The same files through a classifier that was trained, saved as a bundle with its taxonomy, and loaded."""
+    path, out, place = arriving(spark, d), shared_path(spark, "classified"), shared_path(spark, "bundle")
+    with scratch():
+        reads = v.v_reads(spark, d).where("length(seq) > 0")
+        e = models.embed(reads, key="read_id").join(reads.select(F.col("read_id").alias("sequence_id"), F.concat(F.lit("k__"), "taxon").alias("label")), "sequence_id")
+        model, _ = models.train_rf(written(models.as_vector(e).select("sequence_id", "features", "label"), "training"), trees=20)
+        known = reads.select(F.concat(F.lit("k__"), "taxon").alias("label"), F.upper("taxon").alias("kingdom")).distinct()
+        models.save_bundle(models.Bundle(model, clean.fill_ranks(known)), place)
+        streams.classify_stream(streams.read_fasta_stream(spark, path, 3), streams.bundle_classifier(models.load_bundle(spark, place)), out, shared_path(spark, "state"), shared_path(spark, "rejects")).awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*")
 
 
 @query("s2_fold_updates", "SELECT run_id, arg_max(status, (ts, seq)) FILTER (status IS NOT NULL) AS status, CAST(CASE WHEN count(progress) > 0 THEN least(greatest(arg_max(progress, (ts, seq)) FILTER (progress IS NOT NULL), 0), 100) END AS INT) AS progress, arg_max(message, (ts, seq)) FILTER (message IS NOT NULL) AS message, max(ts) FILTER (status IN ('completed', 'failed')) AS end_time, count(*) AS updates FROM v_updates GROUP BY run_id")
@@ -515,12 +549,12 @@ def s2_stream(spark, d):
     k = F.col("seq")
     rows = v.v_updates(spark, d).withColumns({"step": F.when(k % 3 > 0, F.concat(F.lit("step"), (k % 3).cast("string"))), "step_status": F.when(k % 5 < 2, F.concat(F.lit("state"), (k % 7).cast("string")))})
     for i in range(4):
-        rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i).write.mode("append").parquet(path)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
         streams.drain(streams.fold_stream(stream, "step0"), out, shared_path(spark, "state"), "update")
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)

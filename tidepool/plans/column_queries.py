@@ -158,8 +158,7 @@ MEAN_Q = "(40 * len(regexp_replace(seq, '[^A]', '', 'g')) + 39 * len(regexp_repl
 
 @query("q1_filter_quality", f"SELECT read_id, round(CAST({MEAN_Q} AS DOUBLE) / len(seq), 6) AS q FROM v_reads WHERE len(seq) > 0 AND CAST({MEAN_Q} AS DOUBLE) / len(seq) >= 36")
 def q1(spark, d):
-    rows = v.v_reads_q(spark, d).withColumn("q", F.round(S.mean_quality(F.col("quality")), 6))
-    return clean.filter_quality(rows, 36).select("read_id", "q")
+    return clean.filter_quality(v.v_reads_q(spark, d), 36, out="q").select("read_id", F.round("q", 6).alias("q"))
 
 
 @query("q2_filter_expected_errors", "SELECT read_id FROM v_reads WHERE len(regexp_replace(seq, '[^A]', '', 'g')) * pow(10, -4.0) + len(regexp_replace(seq, '[^C]', '', 'g')) * pow(10, -3.9) + len(regexp_replace(seq, '[^G]', '', 'g')) * pow(10, -3.8) + len(regexp_replace(seq, '[^T]', '', 'g')) * pow(10, -3.7) + len(regexp_replace(seq, '[^N]', '', 'g')) * pow(10, -0.2) + len(regexp_replace(seq, '[^R]', '', 'g')) * pow(10, -1.0) + len(regexp_replace(seq, '[^Y]', '', 'g')) * 0.01 + len(regexp_replace(seq, '[^-]', '', 'g')) * 1.0 <= 20.05")

@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written inside each open ``scratch`` block, the innermost block last.
-_open: list[list[tuple[SparkSession, str]]] = []
+#: Paths written inside each open ``scratch`` block, the innermost block last. Threads have blocks of their own.
+_open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open", default=())
 #: The temporary folder of local sessions without the setting.
 _own: list[str] = []
 
@@ -33,19 +34,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     block the table goes when the block ends."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    if _open:
-        _open[-1].append((df.sparkSession, path))
+    if blocks := _open.get():
+        blocks[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """``written``, but the table stays until the next outer block ends."""
-    inner = _open.pop() if _open else None
+    outer = _open.set(_open.get()[:-1])
     try:
         return written(df, tag)
     finally:
-        if inner is not None:
-            _open.append(inner)
+        _open.reset(outer)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -57,9 +57,11 @@ def delete(spark: SparkSession, path: str) -> None:
 def scratch() -> Iterator[None]:
     """Tables that are ``written`` inside are deleted at the end. What is to be read later has to
     be computed by then, so the last table of a block is ``kept``."""
-    _open.append([])
+    paths: list[tuple[SparkSession, str]] = []
+    outer = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        for spark, path in _open.pop():
+        _open.reset(outer)
+        for spark, path in paths:
             delete(spark, path)

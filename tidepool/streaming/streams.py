@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import models
 from ..sources.readers import fasta_records, parse_logs
+from ..storage import scratch, written
 
-__all__ = ["RunState", "classify_stream", "drain", "fold_stream", "log_level_counts", "log_windows", "read_fasta_stream"]
+__all__ = ["RunState", "bundle_classifier", "classify_stream", "drain", "embed_and_classify", "fold_stream", "log_level_counts", "log_windows", "read_fasta_stream", "reject_reason"]
 
 
 def read_fasta_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -18,15 +22,43 @@ def read_fasta_stream(spark: SparkSession, folder: str, files_per_trigger: int =
     return fasta_records(raw.select("value", F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("at")))
 
 
-def classify_stream(records: DataFrame, classify, out: str, checkpoint: str):
-    """A query that classifies each batch of records (a function of a DataFrame) and appends the rows."""
+def reject_reason(records: DataFrame) -> Column:
+    """Why a record can't be classified; null if it can: no_id (a record without a name), empty_sequence, or not_a_sequence
+    (signs that no sequence has, as in a file of another kind)."""
+    s = F.upper("sequence")
+    return F.when(F.coalesce(F.trim("sequence_id"), F.lit("")) == "", "no_id").when(F.coalesce(F.length(s), F.lit(0)) == 0, "empty_sequence").when(~s.rlike("^[A-Z*.-]+$"), "not_a_sequence")
+
+
+def classify_stream(records: DataFrame, classify: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, rejects: str | None = None):
+    """A query that classifies each batch of records (a function of a DataFrame) and appends the rows.
+
+    A batch is a folder of its own, which a repeated batch replaces, so that after a failure every record is
+    there once. With ``rejects``, records that can't be classified go there by batch as (file, sequence_id,
+    reason), and the others of their file and batch go on.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        classify(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        with scratch():
+            if rejects is not None:
+                batch = written(batch.withColumn("reason", reject_reason(batch)), "arrived")
+                batch.where("reason IS NOT NULL").select("file", "sequence_id", "reason").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+                batch = batch.where("reason IS NULL").drop("reason")
+            classify(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def embed_and_classify(classify: Callable[[DataFrame], DataFrame], encoder: Callable | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The function for ``classify_stream`` that turns records into vectors and classifies those: ``classify`` gets
+    sequence_id and embedding."""
+    return lambda records: classify(models.embed(records, encoder, seq="sequence"))
+
+
+def bundle_classifier(bundle: models.Bundle, threshold: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """Prediction rows of a bundle's classifier for a batch of records."""
+    return embed_and_classify(lambda e: models.classify_bundle(models.as_vector(e), bundle, threshold))
+
+
 def log_windows(rows: DataFrame, size: str = "1 hour") -> DataFrame:
     """(start, level, n) of rows (ts, level): tumbling windows."""
     return rows.groupBy(F.window("ts", size).alias("w"), "level").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "level", "n")
