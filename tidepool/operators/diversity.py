@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import written
-from .balance import shuffled
+from ..storage import kept, scratch, written
 from .quantiles import quantiles
 
 
@@ -41,9 +42,11 @@ def normalize_tpm(df: DataFrame, length: str = "length") -> DataFrame:
 
 def normalize_css(df: DataFrame, quantile: float = 0.5, scale: float = 1000.0) -> DataFrame:
     """n x scale / sum of a sample's counts up to its quantile of positive counts."""
-    q = quantiles(df.where("n > 0"), "n", [quantile], ["sample_id"]).select("sample_id", F.col("value").alias("q"))
-    s = df.join(q, "sample_id").where("n > 0 and n <= q").groupBy("sample_id").agg(F.sum("n").alias("s"))
-    return df.join(s, "sample_id", "left").select("sample_id", "taxon", "n", F.round(F.col("n") * scale / F.col("s"), 6).alias("css"))
+    with scratch():
+        df = written(df.select("sample_id", "taxon", "n"), "counts")
+        q = quantiles(df.where("n > 0"), "n", [quantile], ["sample_id"]).select("sample_id", F.col("value").alias("q"))
+        s = df.join(q, "sample_id").where("n > 0 and n <= q").groupBy("sample_id").agg(F.sum("n").alias("s"))
+        return kept(df.join(s, "sample_id", "left").select("sample_id", "taxon", "n", F.round(F.col("n") * scale / F.col("s"), 6).alias("css")), "css")
 
 
 #: Standard deviations that a bound of hashes leaves to spare.
@@ -52,6 +55,34 @@ SPARE = 8
 STRETCH = 50_000
 
 
+def drawn(some: DataFrame, seed: int) -> DataFrame:
+    """(sample_id, taxon, i, _h): the individuals of stretches (from number _a on) whose hash is below a share of all hashes.
+    A stretch is hashed in one batch, and only what is below comes out of it."""
+    kinds = {c: some.schema[c].dataType for c in ("sample_id", "taxon")}
+    schema = T.StructType([*[T.StructField(c, k) for c, k in kinds.items()], T.StructField("i", T.LongType()), T.StructField("_h", T.StringType())])
+    text = some.select("sample_id", "taxon", F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("taxon").cast("string"), F.lit("")).alias("_p"), "n", "_share", "_a")
+
+    def run(batches):
+        import pyarrow as pa
+
+        first = [b"%d" % i for i in range(1, STRETCH + 1)]
+        for batch in batches:
+            at, numbers, hashes = [], [], []
+            for j, (p, n, share, a) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_p", "n", "_share", "_a")], strict=True)):
+                own = first[: min(n, STRETCH)] if a == 1 else [b"%d" % i for i in range(a, min(n, a + STRETCH - 1) + 1)]
+                p, bound = p.encode(), b"\xff" * 17 if share >= 1 else int(share * (1 << 48)).to_bytes(6, "big")
+                for i, x in enumerate(own, a):
+                    h = md5(p + x).digest()
+                    if h < bound:
+                        at.append(j)
+                        numbers.append(i)
+                        hashes.append(h.hex())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id").take(rows), batch.column("taxon").take(rows), pa.array(numbers, pa.int64()), pa.array(hashes, pa.string())], schema.names)
+
+    return text.mapInArrow(run, schema)
+
+
 def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
     """depth individuals of each sample, drawn without replacement in the order of
     md5(seed, sample, taxon, number); samples with fewer are dropped.
@@ -60,21 +91,20 @@ def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
     with SPARE standard deviations to spare. Only individuals below it are shuffled and sorted; a
     sample that has too few of them nevertheless is sorted as a whole.
     """
-    # hashes are compared with the bound as hexadecimal text
-    share = (depth + SPARE * math.sqrt(depth) + 64) / F.col("total")
-    bound = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(F.greatest(share, F.lit(0.0)) * (1 << 48)).cast("long")), 12, "0")))
-    big = df.join(sample_totals(df).where(F.col("total") >= depth).withColumn("_bound", bound), "sample_id")
-    stretch = F.sequence(F.lit(1), F.col("n").cast("long"), F.lit(STRETCH))
-    some = big.where("n > 0").select("sample_id", "taxon", "n", "_bound", F.explode(stretch).alias("_a")).repartition("sample_id", "taxon", "_a")
-    each = some.select("sample_id", "taxon", "_bound", F.explode(F.sequence("_a", F.least(F.col("_a") + STRETCH - 1, F.col("n").cast("long")))).alias("i")).withColumn("_h", shuffled(seed, "sample_id", "taxon", "i"))
-    near = written(each.where(F.col("_h") < F.col("_bound")).drop("_bound"), "near")
-    enough = near.groupBy("sample_id").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select("sample_id")
-    rest = big.join(enough, "sample_id", "left_anti").select("sample_id").distinct()
-    rows = near.join(enough, "sample_id", "left_semi")
-    if not rest.isEmpty():
-        rows = rows.unionByName(each.drop("_bound").join(rest, "sample_id", "left_semi"))
-    place = F.row_number().over(W.partitionBy("sample_id").orderBy("_h", "taxon", "i"))
-    return rows.withColumn("_r", place).where(F.col("_r") <= depth).groupBy("sample_id", "taxon").agg(F.count("*").alias("n"))
+    with scratch():
+        df = written(df.where("n > 0").select("sample_id", "taxon", F.col("n").cast("long").alias("n")), "counts")
+        share = F.greatest((depth + SPARE * math.sqrt(depth) + 64) / F.col("total"), F.lit(0.0))
+        big = df.join(sample_totals(df).where(F.col("total") >= depth).select("sample_id", F.least(share, F.lit(1.0)).alias("_share")), "sample_id")
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, however few bytes there are
+        some = big.select("sample_id", "taxon", "n", "_share", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRETCH))).alias("_a")).repartition(parts, "sample_id", "taxon", "_a")
+        near = written(drawn(some, seed), "near")
+        enough = near.groupBy("sample_id").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select("sample_id")
+        rest = big.join(enough, "sample_id", "left_anti").select("sample_id").distinct()
+        rows = near.join(enough, "sample_id", "left_semi")
+        if not rest.isEmpty():
+            rows = rows.unionByName(drawn(some.join(rest, "sample_id", "left_semi").withColumn("_share", F.lit(1.0)), seed))
+        place = F.row_number().over(W.partitionBy("sample_id").orderBy("_h", "taxon", "i"))
+        return kept(rows.withColumn("_r", place).where(F.col("_r") <= depth).groupBy("sample_id", "taxon").agg(F.count("*").alias("n")), "rarefied")
 
 
 def alpha_diversity(df: DataFrame) -> DataFrame:

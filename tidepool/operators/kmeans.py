@@ -113,6 +113,21 @@ def fit(rows: DataFrame, starts: np.ndarray, rounds: int = ROUNDS, tolerance: fl
     return models
 
 
+def refined(sample: np.ndarray, start: np.ndarray, rounds: int = 4 * ROUNDS) -> np.ndarray:
+    """Centers after Lloyd's rounds over the sample alone, so that few rounds over all rows are left."""
+    for _ in range(rounds):
+        of, _d = nearest_centers(sample, start[None])
+        each = np.zeros((len(sample), len(start)))
+        each[np.arange(len(sample)), of[:, 0]] = 1
+        n = each.sum(0)
+        new = np.where(n[:, None] > 0, each.T @ sample / np.maximum(n, 1)[:, None], start)
+        done = ((new - start) ** 2).sum(1).max() <= TOLERANCE**2
+        start = new
+        if done:
+            break
+    return start
+
+
 def sizes(rows: DataFrame, centers: np.ndarray, key: str) -> DataFrame:
     """(cluster, n, first): rows of each center, and the smallest key among them."""
     shared = rows.sparkSession.sparkContext.broadcast(centers[None])

@@ -80,7 +80,7 @@ def otu_cluster(df: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
     rows = df.select("sequence_id", F.col("embedding").cast("array<double>").alias("_v")).persist()
     try:
         sample, k = kmeans.sample_of(rows, "sequence_id", "_v"), cluster_count(n)
-        models = kmeans.fit(rows, np.stack([kmeans.plus_plus(sample, k, seed + i) for i in range(restarts)]))
+        models = kmeans.fit(rows, np.stack([kmeans.refined(sample, kmeans.plus_plus(sample, k, seed + i)) for i in range(restarts)]))
         centers = min(models, key=lambda m: m.cost).centers
         sizes = kmeans.sizes(rows, centers, "sequence_id").orderBy(F.desc("n"), "first").collect()  # a row a cluster
     finally:

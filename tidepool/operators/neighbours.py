@@ -166,7 +166,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, others: bool = False, p
     asked = vectors_of(queries).mapInArrow(ask, side)
     count = F.get(F.array(*[F.lit(int(p)) for p in parts]), F.col("list")) if len(parts) and parts.max() > 1 else F.lit(1)
     rows = index.rows.select("list", F.pmod(F.xxhash64("id", F.lit("part")), count).cast("int").alias("part"), F.lit(None).cast(kind).alias("query"), "id", "label", "e")
-    met = rows.unionByName(asked).repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").isNotNull(), "id")
+    met = rows.unionByName(asked).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "list", "part").sortWithinPartitions("list", "part", F.col("query").isNotNull(), "id")
     result = T.StructType([T.StructField("query_id", kind), T.StructField("ref_id", index.id_type), T.StructField("label", T.StringType()), T.StructField("distance", T.DoubleType())])
 
     def meet(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..storage import kept, scratch, written
 
 #: Lengths that pieces may have; below LEAST_PIECE, deletions are tried first, if a sequence has so few variants.
-PIECES, LEAST_PIECE, MOST_VARIANTS = (12, 8, 6, 4, 3, 2, 1), 6, 600
+PIECES, LEAST_PIECE, MOST_VARIANTS = (12, 8, 6, 4, 3, 2, 1), 6, 64
 
 
 def variants(length: int, distance: int) -> int:
@@ -68,22 +68,29 @@ def near_pairs(children: DataFrame, parents: DataFrame, distance: int) -> DataFr
         sized = own.withColumn("size", F.explode(sizes))
         used = u.select("sample_id", "size").distinct()
         sized = sized.join(used, ["sample_id", "size"], "left_semi")
-        # pieces at every place of a parent
+        # pieces at every place of a parent, under the numbers of the child's pieces that may come to lie there
         places = F.when(F.length("parent") >= F.col("size"), F.sequence(F.lit(1), F.length("parent") - F.col("size") + 1)).otherwise(F.array().cast("array<int>"))
-        given = sized.where("size > 0").select("sample_id", "size", "parent", "pn", F.explode(places).alias("pat"))
-        given = written(given.withColumn("piece", F.xxhash64(F.expr("substring(parent, pat, size)"))), "pieces")
-        cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / F.col("size")).cast("int") - 1), lambda i: i * F.col("size") + 1)
-        asked = u.where("size > 0").select("*", F.explode(cut).alias("at")).withColumn("piece", F.xxhash64(F.expr("substring(seq, at, size)")))
-        often = given.groupBy("sample_id", "size", "piece").agg(F.count("*").alias("k"))
-        found = asked.join(often, ["sample_id", "size", "piece"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-        rarest = found.groupBy("sample_id", "seq", "n", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "at", "piece"))), 1, distance + 1).alias("r"))
-        chosen = rarest.select("sample_id", "seq", "n", "size", F.explode("r").alias("r")).where("r.k > 0").select("sample_id", "seq", "n", "size", "r.at", "r.piece")
-        by_piece = chosen.join(given, ["sample_id", "size", "piece"]).where(F.abs(F.col("at") - F.col("pat")) <= distance).select("sample_id", "seq", "n", "parent", "pn")
+        given = sized.where("size > 0").select("sample_id", "size", "parent", "pn", F.explode(places).alias("at"))
+        low, high = F.greatest(F.ceil((F.col("at") - 1 - distance) / F.col("size")), F.lit(0)).cast("int"), F.floor((F.col("at") - 1 + distance) / F.col("size")).cast("int")
+        given = given.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("i"))
+        given = written(given.select("sample_id", "size", "i", F.xxhash64(F.expr("substring(parent, at, size)")).alias("piece"), "parent", "pn"), "pieces")
+        key = ["sample_id", "size", "i", "piece"]
+        whole = F.sequence(F.lit(0), F.floor(F.length("seq") / F.col("size")).cast("int") - 1)
+        asked = u.where("size > 0").select("*", F.explode(whole).alias("i")).withColumn("piece", F.xxhash64(F.expr("substring(seq, i * size + 1, size)")))
+        # pieces of few letters are common, whichever they are: the first ones do
+        early = asked.where((F.col("size") < LEAST_PIECE) & (F.col("i") <= distance))
+        often = given.where(F.col("size") >= LEAST_PIECE).groupBy(*key).agg(F.count("*").alias("k"))
+        found = asked.where(F.col("size") >= LEAST_PIECE).join(often, key, "left").withColumn("k", F.coalesce("k", F.lit(0)))
+        rarest = found.groupBy("sample_id", "seq", "n", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "i", "piece"))), 1, distance + 1).alias("r"))
+        rare = rarest.select("sample_id", "seq", "n", "size", F.explode("r").alias("r")).where("r.k > 0").select("sample_id", "seq", "n", "size", "r.i", "r.piece")
+        chosen = rare.unionByName(early.select(*rare.columns))
+        by_piece = chosen.join(given, key).select("sample_id", "seq", "n", "parent", "pn")
         lost = lambda df, c: df.where("size = -1").withColumn("left", F.explode(deletions(c, distance)))
         by_loss = lost(u, "seq").drop("size").join(lost(sized, "parent").drop("size"), ["sample_id", "left"]).select("sample_id", "seq", "n", "parent", "pn")
         by_sample = u.where("size = 0").drop("size").join(sized.where("size = 0").drop("size"), "sample_id").select("sample_id", "seq", "n", "parent", "pn")
-        pairs = by_piece.unionByName(by_loss).unionByName(by_sample).where((F.col("pn") > F.col("n")) & (F.col("seq") != F.col("parent")) & (F.abs(F.length("seq") - F.length("parent")) <= distance)).distinct()
-        return kept(pairs.withColumn("d", F.levenshtein("seq", "parent", distance)).where(F.col("d") >= 0), "near")
+        pairs = by_piece.unionByName(by_loss).unionByName(by_sample).where((F.col("pn") > F.col("n")) & (F.col("seq") != F.col("parent")) & (F.abs(F.length("seq") - F.length("parent")) <= distance))
+        # candidates are verified where they meet, so that only pairs move on, and each once
+        return kept(pairs.withColumn("d", F.levenshtein("seq", "parent", distance)).where(F.col("d") >= 0).distinct(), "near")
 
 
 def denoise(uniques: DataFrame, alpha: float = 2.0, base: float = 1.0, max_distance: int | None = None) -> DataFrame:
@@ -94,17 +101,19 @@ def denoise(uniques: DataFrame, alpha: float = 2.0, base: float = 1.0, max_dista
     parents that are rare and abundant enough for it, so far pairs are sought for few sequences.
     ``max_distance`` leaves out farther parents, for callers who want that.
     """
-    u = uniques.select("sample_id", "seq", "n")
-    least, most = u.agg(F.min("n"), F.max("n")).first()
-    far = max(0, math.floor((math.log2(most / least) - base) / alpha + 1e-9)) if least else 0
-    far = far if max_distance is None else min(far, max_distance)
-    found = [near_pairs(u.where(F.col("n") <= most / 2 ** (alpha * d + base)), u.where(F.col("n") >= least * 2 ** (alpha * d + base)), d).where(F.col("d") == d) for d in range(1, far + 1)]
-    if not found:
-        return u
-    near = reduce(DataFrame.unionByName, found).where(F.col("n") / F.col("pn") <= F.pow(F.lit(2.0), -(F.col("d") * alpha + base)))
-    best = near.groupBy("sample_id", "seq").agg(F.min_by("parent", F.struct(-F.col("pn"), "d", "parent")).alias("into"))
-    joined = u.join(best, ["sample_id", "seq"], "left")
-    return joined.groupBy("sample_id", F.coalesce("into", "seq").alias("seq")).agg(F.sum("n").alias("n"))
+    with scratch():
+        parts = int(uniques.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, however few bytes there are
+        u = written(uniques.select("sample_id", "seq", "n").repartition(parts, "sample_id", "seq"), "uniques")
+        least, most = u.agg(F.min("n"), F.max("n")).first()
+        far = max(0, math.floor((math.log2(most / least) - base) / alpha + 1e-9)) if least else 0
+        far = far if max_distance is None else min(far, max_distance)
+        found = [near_pairs(u.where(F.col("n") <= most / 2 ** (alpha * d + base)), u.where(F.col("n") >= least * 2 ** (alpha * d + base)), d).where(F.col("d") == d) for d in range(1, far + 1)]
+        if not found:
+            return kept(u, "denoised")
+        near = reduce(DataFrame.unionByName, found).where(F.col("n") / F.col("pn") <= F.pow(F.lit(2.0), -(F.col("d") * alpha + base)))
+        best = near.groupBy("sample_id", "seq").agg(F.min_by("parent", F.struct(-F.col("pn"), "d", "parent")).alias("into"))
+        joined = u.join(best, ["sample_id", "seq"], "left")
+        return kept(joined.groupBy("sample_id", F.coalesce("into", "seq").alias("seq")).agg(F.sum("n").alias("n")), "denoised")
 
 
 def common(a: str, b: str) -> int:
@@ -231,15 +240,16 @@ def chimeras(uniques: DataFrame, ratio: float = 2.0) -> DataFrame:
     beginning is one with a neighbour in sorted order, the longest common end one with a neighbour among the
     reversed sequences, so no pairs are made, however many uniques share one half.
     """
-    u = uniques.select("sample_id", "seq", "n")
-    rows = lambda key: u.select("sample_id", key.alias("key"), F.col("n").cast("double").alias("n"))
-    begin, end = longest_shared(rows(F.col("seq")), ratio), longest_shared(rows(F.reverse("seq")), ratio)
-    zero = F.lit(None).cast("int")
-    sides = begin.select("sample_id", F.col("key").alias("seq"), "n", F.col("shared").alias("a"), zero.alias("b")).unionByName(end.select("sample_id", F.reverse("key").alias("seq"), "n", zero.alias("a"), F.col("shared").alias("b")))
-    made = sides.groupBy("sample_id", "seq", "n").agg(F.max("a").alias("a"), F.max("b").alias("b")).where((F.col("a") + F.col("b") >= F.length("seq")) & (F.length("seq") > 0))
-    flags = made.select(F.col("sample_id").alias("_s"), F.col("seq").alias("_q"), F.col("n").alias("_n"))
-    same = (F.col("sample_id") == F.col("_s")) & (F.col("seq") == F.col("_q")) & (F.col("n").cast("double") == F.col("_n"))
-    return u.join(flags, same, "left").select("sample_id", "seq", "n", F.col("_q").isNotNull().alias("chimera"))
+    with scratch():
+        u = written(uniques.select("sample_id", "seq", "n"), "uniques")
+        rows = lambda key: u.select("sample_id", key.alias("key"), F.col("n").cast("double").alias("n"))
+        begin, end = longest_shared(rows(F.col("seq")), ratio), longest_shared(rows(F.reverse("seq")), ratio)
+        zero = F.lit(None).cast("int")
+        sides = begin.select("sample_id", F.col("key").alias("seq"), "n", F.col("shared").alias("a"), zero.alias("b")).unionByName(end.select("sample_id", F.reverse("key").alias("seq"), "n", zero.alias("a"), F.col("shared").alias("b")))
+        made = sides.groupBy("sample_id", "seq", "n").agg(F.max("a").alias("a"), F.max("b").alias("b")).where((F.col("a") + F.col("b") >= F.length("seq")) & (F.length("seq") > 0))
+        flags = made.select(F.col("sample_id").alias("_s"), F.col("seq").alias("_q"), F.col("n").alias("_n"))
+        same = (F.col("sample_id") == F.col("_s")) & (F.col("seq") == F.col("_q")) & (F.col("n").cast("double") == F.col("_n"))
+        return kept(u.join(flags, same, "left").select("sample_id", "seq", "n", F.col("_q").isNotNull().alias("chimera")), "chimeras")
 
 
 def remove_chimeras(uniques: DataFrame, ratio: float = 2.0) -> DataFrame:

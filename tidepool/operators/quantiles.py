@@ -18,13 +18,13 @@ BUCKETS, SORTED_ROWS = 1024, 100_000
 def order_statistics(values: DataFrame, ranks: DataFrame, by: Sequence[str], buckets: int = BUCKETS, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """(by, k, v): the value with k smaller or equal ones before it, for each (by, k) of ranks.
 
-    values: by, v (numbers without nulls or NaN). Each round counts the values of the intervals that still hold a
+    values: by, v (numbers without nulls or NaN), a table that is read each round. Each round counts the values of the intervals that still hold a
     wanted rank in ranges, and goes on with the range that holds it, from its smallest to its largest
     value. Intervals of one value are done; small ones are sorted.
     """
     by = list(by)
     with scratch():
-        values = written(values.select(*by, F.col("v").cast("double").alias("v")), "values")
+        values = values.select(*by, F.col("v").cast("double").alias("v"))
         ends = values.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
         state = written(ranks.join(ends, by).select(*by, "k", "lo", "hi", F.lit(0).cast("long").alias("below"), "n"), "state")
         wide = (F.col("lo") < F.col("hi")) & (F.col("n") > sorted_rows)
@@ -60,10 +60,10 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[s
     groups = [F.col(b).alias(g) for b, g in zip(by, own, strict=True)] if by else [F.lit(0).alias("_g")]
     rows = df.select(*groups, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     rows = rows.withColumns({g: F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in own}) if by else rows
-    at = rows.groupBy(*own).agg(F.count("*").alias("_n")).withColumn("_share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    at = at.withColumn("_at", F.col("_share") * (F.col("_n") - 1)).withColumns({"_a": F.floor("_at"), "_b": F.ceil("_at")})
     with scratch():
-        at = written(at, "at")
+        rows = written(rows, "rows")
+        at = rows.groupBy(*own).agg(F.count("*").alias("_n")).withColumn("_share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+        at = at.withColumn("_at", F.col("_share") * (F.col("_n") - 1)).withColumns({"_a": F.floor("_at"), "_b": F.ceil("_at")})
         wanted = at.select(*own, F.explode(F.array("_a", "_b")).alias("k")).distinct()
         found = order_statistics(rows, wanted, own, **how)
         low, high = found.withColumnsRenamed({"k": "_a", "v": "_lo"}), found.withColumnsRenamed({"k": "_b", "v": "_hi"})
