@@ -58,7 +58,7 @@ def test_tables_against_plain_code_and_sql(spark):
     assert sorted(sql.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").fetchall()) == want
 
 
-@pytest.mark.parametrize("seed, least, top, growth", [(1, 2, 3, 2), (2, 1, 5, 2), (3, 3, 40, 2), (4, 2, 1, 3)])
+@pytest.mark.parametrize("seed, least, top, growth", [(1, 2, 3, 2), (3, 1, 40, 3)])
 def test_rounds_settle_what_they_return(spark, seed, least, top, growth):
     """Few words, so that many phrases cover pairs and equal scores are many; small steps, so that there are several rounds."""
     r = random.Random(seed)
