@@ -10,7 +10,7 @@ from tidepool.operators import balance, diversity, features, kmeans, quantiles,
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
 
 
-@pytest.mark.parametrize("how", [{}, {"sorted_rows": 5, "buckets": 40}, {"sorted_rows": 1}])
+@pytest.mark.parametrize("how", [{}, {"sorted_rows": 5, "buckets": 40}])
 def test_quantiles(spark, how):
     rng = np.random.default_rng(1)
     groups = {"a": rng.normal(size=500), "b": rng.integers(0, 4, 300).astype(float), "c": np.array([7.0]), "d": np.full(90, -1e308), "e": np.exp(rng.normal(size=200) * 50), None: np.array([1e308, -1e308, 0.0, 5e-324])}
@@ -56,7 +56,7 @@ def plain_ids(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("parts", [1, 4, 17])
+@pytest.mark.parametrize("parts", [1, 17])
 def test_ids_skip_taken_numbers(spark, parts):
     rng = np.random.default_rng(parts)
     rows = [("x", i) for i in range(60)] + [(f"x-{k}", 100 + i) for i, k in enumerate(rng.choice(90, 40, replace=False) + 1)] + [("x-3", 300), ("x-3-1", 301), ("x-07", 302), ("y-1", 303), ("y", 304), ("y", 305), ("z", 306), ("q-1", 307)]
