@@ -121,11 +121,14 @@ def test_quality_features_and_steps():
     for i, t in enumerate(texts):
         w = t.split()
         padded = f"\n{t}\n"
-        grams = [padded[p : p + g] for g in (3, 4) for p in range(len(padded) - g + 1)]
-        grams = [x for x in grams if not x[1:-1].isspace() and not any(ch.isspace() for ch in x[1:-1])]
+        grams = [padded[p : p + 3] for p in range(len(padded) - 2) if not padded[p + 1].isspace()]
+        grams += [x[p : p + g] for x in w for g in (1, 2) for p in range(len(x) - g + 1)]
         assert (owner == i).sum() == len(w) + max(0, len(w) - 1) + len(grams)
-    same, of = quality_classifier.features(["zz zz", "qq qq"])
-    assert len(set(same[of == 0].tolist()) & set(same[of == 1].tolist())) == 1  # the pair of a word and itself
+    for one, other in (("zz zz", "qq qq"), ("ab cd", "ef gh")):  # nothing is the same for all words
+        f, owner = quality_classifier.features([one, other])
+        assert not set(f[owner == 0].tolist()) & set(f[owner == 1].tolist())
+    words_and_pair = lambda t: set(quality_classifier.features([t])[0][:3].tolist())
+    assert len(words_and_pair("ab cd") & words_and_pair("cd ab")) == 2  # a pair has an order
     rows = [(np.array([1, 5]), np.array([0.5, 0.5], np.float32)), (np.array([5, 9]), np.array([0.25, 0.75], np.float32)), (np.array([], int), np.array([], np.float32))]
     y = np.array([1, 0, 1])
     weight, prior = quality_classifier.train(rows, y, epochs=1)
@@ -144,6 +147,8 @@ def test_quality_features_and_steps():
         p = [x / sum(e) for x in e]
         p[y[i]] -= 1
         back = [sum(w[k][d] * p[k] for k in range(2)) for d in range(quality_classifier.DIM)]
+        long = max(1.0, sum(x * x for x in back) ** 0.5 / quality_classifier.CLIP)
+        back = [x / long for x in back]
         w = [[w[k][d] - rate * p[k] * hidden[d] for d in range(quality_classifier.DIM)] for k in range(2)]
         for k in range(len(u)):
             v[u[k]] -= np.array([rate * float(c[k]) * b for b in back], np.float32)
