@@ -310,7 +310,17 @@ def test_jaccard_join_on_a_chain_of_copies(spark, monkeypatch):
             base[r.randrange(120)] = f"u{i}"
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = groups(rows)
+    rounds, verify = [], jaccard_join.verify
+
+    def counted(pairs, *more):
+        rounds.append([tuple(r) for r in pairs.collect()])
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.similar_groups(df).collect()} == want
+    pairs = [p for r in rounds for p in r]
+    assert sum(map(bool, rounds)) > 1 and len(pairs) == len(set(pairs))  # several rounds, each pair in one
+    monkeypatch.setattr(jaccard_join, "verify", verify)
     monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 1)
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 1)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.similar_groups(df).collect()} == want

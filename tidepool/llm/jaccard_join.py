@@ -13,8 +13,9 @@
    shingle comes earliest; pairs that are in one component by then need no comparison. Further
    rounds take other pivots while lists stay long and pivots still link much. What is left over after
    that is joined in full, so no link between two components is lost.
-5. Each distinct candidate pair is verified once: by the number of prefix shingles that it shares, then
-   on whole sets by the suffix filter (counts of hash ranges bound the overlap) and the overlap itself.
+5. A candidate pair must share enough prefix shingles and pass the suffix filter (counts of hash ranges
+   of both sets bound the overlap), for which no text moves. Then it is verified on whole sets, once: a
+   table keeps the pairs that were, and no later round takes them again.
 6. Links become components by large and small stars.
 
 A shingle whose bucket is far above the average is salted, so its list meets in no single task.
@@ -22,6 +23,8 @@ A shingle whose bucket is far above the average is salted, so its list meets in
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +40,8 @@ BUCKET_BITS = 20
 BLOCK = 4_000_000
 #: A list of one shingle is dealt to tasks in parts of about so many rows.
 LIST_ROWS = 2000
+#: Ranges of hashes that the suffix filter counts, a power of two.
+RANGES = 64
 #: Rounds with further pivots, while lists hold over so many pairs for each of their rows and the
 #: round before has linked more than one in so many of those rows.
 PIVOT_ROUNDS, PAIRS_A_ROW, ROWS_A_LINK = 6, 8, 50
@@ -221,11 +226,6 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                 ok = np.zeros(len(a), bool)
                 for i, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
                     x, y = known[p], known[q]
-                    least = -(-percent * (len(x) + len(y)) // (100 + percent))
-                    top = np.uint64(58)
-                    apart = np.abs(np.bincount((x >> top).astype(np.int64), minlength=64) - np.bincount((y >> top).astype(np.int64), minlength=64)).sum()
-                    if apart > len(x) + len(y) - 2 * least:
-                        continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
@@ -235,14 +235,39 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return two.mapInArrow(run, "a long, b long")
 
 
+def ranges(texts: DataFrame, size: int) -> DataFrame:
+    """(node, counts) of texts (node, text): how many shingles of the set are in each of RANGES equal
+    ranges of hashes. A count that doesn't fit is the largest that does, which brings no counts apart."""
+    shift = np.uint64(64 - (RANGES - 1).bit_length())
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, at = utf8(batch.column("text"))
+            for row, end, by, off in chunks(raw, at):
+                x, owner, n = sets(by, off, size)
+                got = np.bincount(owner * RANGES + (x >> shift).astype(np.int64), minlength=len(n) * RANGES)
+                cut = pa.array(np.arange(len(n) + 1) * RANGES, pa.int32())
+                counts = pa.ListArray.from_arrays(cut, pa.array(np.minimum(got, 32767).astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, end - row), counts], ["node", "counts"])
+
+    return texts.mapInArrow(run, "node long, counts array<smallint>")
+
+
 def plausible(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs that share enough prefix shingles. Sets that overlap enough differ in few
-    shingles, so all but that many of the prefix that ends first are in the other prefix too.
-    grams: node, n (set size), tokens (its prefix shingles that any other set has in its prefix)."""
-    side = lambda x: grams.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    """The (a, b) of pairs that share enough prefix shingles and pass the suffix filter. Sets that
+    overlap enough differ in few shingles, so all but that many of the prefix that ends first are in
+    the other prefix too, and the counts of hash ranges are not further apart than the shingles
+    that only one set has. grams: node, n (set size), tokens (its prefix shingles that any
+    other set has in its prefix), counts (of its hash ranges)."""
+    side = lambda x: grams.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens", "counts")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    least = needed(F.col("na"), F.col("nb"), percent) - F.ceil(F.greatest("na", "nb") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= least).select("a", "b")
+    n, m = F.col("n_a"), F.col("n_b")
+    least = needed(n, m, percent) - F.ceil(F.greatest(n, m) * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    near = (F.size(F.array_intersect("tokens_a", "tokens_b")) >= least) & (apart <= n + m - 2 * needed(n, m, percent))
+    return both.where(near).select("a", "b")
 
 
 def candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,8 +308,17 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         lists = written(listed.where("lo <> hi or salt > 0").select("token", "node", "at").distinct(), "lists")
         nodes = written(lists.select("node").distinct(), "nodes")
         texts = written(candidate_texts(rows, found, nodes), "texts")
-        grams = written(lists.groupBy("node").agg(F.max(size_of("at")).alias("n"), F.collect_list("token").alias("tokens")), "grams")
+        grams = lists.groupBy("node").agg(F.max(size_of("at")).alias("n"), F.collect_list("token").alias("tokens"))
+        grams = written(grams.join(ranges(texts, size), "node"), "grams")
         comp = nodes.select("node", F.col("node").alias("comp"))
+        verified: list[DataFrame] = []
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """The pairs that are links, without those that an earlier round has verified."""
+            new = pairs.join(reduce(DataFrame.unionByName, verified), ["a", "b"], "left_anti") if verified else pairs
+            new = written(plausible(new, grams, percent), "pairs")
+            verified.append(new)
+            return written(verify(new, texts, size, percent), "links")
 
         for turn in range(PIVOT_ROUNDS):
             own = lists.join(comp, "node") if turn else lists.withColumn("comp", F.col("node"))
@@ -299,7 +333,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
             p = pivots.select(F.col("token").alias("t"), F.col("p.node").alias("pn"), F.col("p.at").alias("pa"), F.col("p.comp").alias("pc"))
             near = own.join(p, F.col("token") == F.col("t")).where((F.col("comp") != F.col("pc")) & may_match("at", "pa", percent))
             pairs = near.select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
-            links = written(verify(plausible(pairs, grams, percent), texts, size, percent), "links")
+            links = linked(pairs)
             comp = merge(comp, links)
 
         # The rest: lists that still hold two components, without texts that can't match in them.
@@ -311,7 +345,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         other = able.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("bt"), F.col("comp").alias("bc"))
         both = (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & may_match("at", "bt", percent)
         pairs = able.join(other, both).select(F.col("node").alias("a"), "b").distinct()
-        comp = merge(comp, written(verify(plausible(pairs, grams, percent), texts, size, percent), "links"))
+        comp = merge(comp, linked(pairs))
 
         least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("d"))
         c = comp.select(F.col("node").alias("k"), "comp")
