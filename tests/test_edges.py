@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import math
 
 import numpy as np
 import pytest
@@ -223,3 +225,23 @@ def test_balance(spark):
     assert balance.labels_subset(s.where("split <> 'train'"), s.where("split = 'train'"))
     assert balance.support_floor(balance.class_counts(df), 5, 3).first()[0] == 5
     assert evaluate.class_report(spark.createDataFrame([("a", "a"), ("a", "b")], "true_label string, predicted_label string")).collect()[1].asDict() == {"class": "b", "precision": 0.0, "recall": 0.0, "f1": 0.0, "support": 0}
+
+
+def test_overlaps_take_time_in_proportion(spark):
+    """Reads of one base, or of a short repeat, end in beginnings of the other at every length; 200 000 bases are compared in one pass."""
+    def brute(a, b, least):
+        return next((n for n in range(min(len(a), len(b)), least - 1, -1) if a.endswith(b[:n])), 0)
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices(rng.choice(["A", "AC", "ACGT", "A\u00e9\U0001f600"]), k=rng.randint(0, 14))) for _ in "ab")
+        b = a[rng.randint(0, len(a)) :] + b if rng.random() < 0.5 else b
+        least = rng.randint(1, 5)
+        assert S.overlap(a, b, least) == brute(a, b, least)
+    assert S.overlap(None, "ACGT", 1) == 0
+    n = 200_000
+    reads = spark.createDataFrame([("s", 1, "A" * n, "A" * (n - 1) + "C"), ("s", 2, "ACGT" * (n // 4), "CGTA" * (n // 4)), ("s", 3, None, "A" * 20), ("s", 4, "A" * n + "C", "A" * n)], "sample_id string, read_id int, a string, b string")
+    reverse = reads.select("sample_id", "read_id", S.reverse_complement(F.col("b")).alias("seq"))
+    got = {r.read_id: r for r in clean.merge_pairs(reads.select("sample_id", "read_id", F.col("a").alias("seq")), reverse).collect()}
+    assert {i: r.overlap for i, r in got.items()} == {1: n - 1, 2: n - 1, 3: 0, 4: 0}
+    assert got[1].seq == "A" * n + "C" and got[2].seq == "ACGT" * (n // 4) + "A" and got[3].seq is None and got[4].seq is None

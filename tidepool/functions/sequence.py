@@ -87,5 +87,42 @@ def expected_errors(quality: Column) -> Column:
     return F.when(quality.isNotNull(), _quality(10.0 ** (-(np.arange(256) - 33.0) / 10))(quality))
 
 
+#: An odd number, whose powers weigh places in 64-bit sums, and its inverse.
+WEIGHT = 0x9E3779B97F4A7C15
+UNWEIGHT = pow(WEIGHT, -1, 1 << 64)
+
+
+def overlap(a: str | None, b: str | None, least: int) -> int:
+    """Length of the longest end of a, of ``least`` letters or more, that b begins with; 0 if there is none.
+
+    Weighted sums of all ends and of all beginnings are compared in one pass, and equal ones letter by letter, the longest first.
+    """
+    most = min(len(a or ""), len(b or ""))
+    if most < max(least, 1):
+        return 0
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64) for s in (a[-most:], b[:most]))
+    up, down = (np.cumprod(np.full(most, w, np.uint64)) for w in (WEIGHT, UNWEIGHT))
+    # the end from place i on is divided by the weight of that place, so that it weighs as a beginning does
+    ends = np.cumsum((x * up)[::-1])[::-1] * down
+    begins = (np.cumsum(y * up) * np.uint64(UNWEIGHT))[::-1]
+    for i in np.flatnonzero(ends == begins):
+        n = most - int(i)
+        if n < least:
+            break
+        if a[len(a) - n :] == b[:n]:
+            return n
+    return 0
+
+
+def longest_overlap(least: int):
+    """A column function: ``overlap`` of two strings."""
+
+    def value(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([overlap(x, y, least) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    # the overlap is used several times, and a deterministic function would be called for each
+    return F.pandas_udf(value, "int").asNondeterministic()
+
+
 def primer_pattern(primer: str) -> str:
     return "^" + "".join(f"[{AMBIGUITY[b]}]" if b in AMBIGUITY else b for b in primer.upper())

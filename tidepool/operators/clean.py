@@ -74,13 +74,11 @@ def drop_ambiguous(df: DataFrame, seq: str = "seq") -> DataFrame:
 def merge_pairs(forward: DataFrame, reverse: DataFrame, least: int = 10, keys: tuple[str, ...] = ("sample_id", "read_id")) -> DataFrame:
     """Keys, overlap and merged sequence of read pairs: the longest end of the forward read that
     the reverse complement of the other begins with, of ``least`` bases or more. Unmerged pairs
-    stay with a null sequence, so merge statistics are an aggregate of the result."""
+    stay with a null sequence, so merge statistics are an aggregate of the result. The work grows with
+    the reads' lengths, not with their squares."""
     r2 = reverse.select(*keys, S.reverse_complement(F.col("seq")).alias("_b"))
     both = forward.select(*keys, F.col("seq").alias("_a")).join(r2, list(keys))
-    most = F.least(F.length("_a"), F.length("_b"))
-    sizes = F.when(most >= least, F.sequence(most, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    fit = F.filter(sizes, lambda n: F.expr("_a").substr(F.length("_a") - n + 1, n) == F.expr("_b").substr(F.lit(1), n))
-    both = both.withColumn("overlap", F.coalesce(F.get(fit, F.lit(0)), F.lit(0)))
+    both = both.withColumn("overlap", S.longest_overlap(least)("_a", "_b"))
     merged = F.when(F.col("overlap") > 0, F.concat("_a", F.expr("substring(_b, overlap + 1)")))
     return both.select(*keys, "overlap", merged.alias("seq"))
 
