@@ -3,7 +3,6 @@
 import hashlib
 import math
 import random
-import math
 
 import numpy as np
 import pytest
@@ -13,7 +12,7 @@ from tidepool import storage
 from tidepool.functions import numbers as N
 from tidepool.functions import sequence as S
 from tidepool.functions.taxonomy import parse_taxonomy
-from tidepool.operators import balance, clean, diversity, evaluate, lineage, models, runs, summary
+from tidepool.operators import balance, clean, diversity, evaluate, features, lineage, models, runs, summary
 from tidepool.schema import RANKS, UNKNOWN
 from tidepool.sources import filter_inputs, label_from_header, parse_logs, parse_sequence_tsv, read_fasta, read_fastq, read_manifest, read_taxdump
 
@@ -245,3 +244,20 @@ def test_overlaps_take_time_in_proportion(spark):
     got = {r.read_id: r for r in clean.merge_pairs(reads.select("sample_id", "read_id", F.col("a").alias("seq")), reverse).collect()}
     assert {i: r.overlap for i, r in got.items()} == {1: n - 1, 2: n - 1, 3: 0, 4: 0}
     assert got[1].seq == "A" * n + "C" and got[2].seq == "ACGT" * (n // 4) + "A" and got[3].seq is None and got[4].seq is None
+
+
+def test_batches_of_sequences_take_little_memory(spark):
+    """Eight million bases in one batch: what numpy holds beside the batch doesn't grow with it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    column = pa.array(["".join(rng.choice(list("ACGTN"), 2000)) for _ in range(4000)] + [None, "", "éA"])
+    for f in (features._composition(), features._shares(3)):
+        tracemalloc.start()
+        got = f.func(column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 4003 and peak < 40e6
+    assert features._composition().func(column)[-3:].to_pylist() == [{"length": n, "gc": 0.0, "pairs": [0.0] * 16} for n in (0, 0, 2)]

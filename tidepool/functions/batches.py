@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes that one numpy pass takes; a longer string is taken whole.
-CHUNK_BYTES = 2_000_000
+#: Bytes that one numpy pass takes, and one whose results are kept by row; a longer string is taken whole.
+CHUNK_BYTES, FEW_BYTES = 2_000_000, 200_000
 #: Number of each base, 4 for everything else.
 BASE = np.full(256, 4, np.int64)
 BASE[[ord(b) for b in "ACGT"]] = range(4)
@@ -24,11 +24,11 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def chunks(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about CHUNK_BYTES: (first row, end row, bytes, offsets)."""
+def chunks(raw: np.ndarray, at: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about so many bytes: (first row, end row, bytes, offsets)."""
     row, n = 0, len(at) - 1
     while row < n:
-        end = min(n, max(row + 1, int(np.searchsorted(at, at[row] + CHUNK_BYTES, side="right")) - 1))
+        end = min(n, max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1))
         yield row, end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 
@@ -45,3 +45,10 @@ def kmer_codes(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     for j in range(k):
         code = code * 4 + base[j : j + m]
     return code[ok], row[:m][ok]
+
+
+def lists(values: np.ndarray):
+    """An Arrow array with a list for each row of a matrix."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.reshape(-1)))

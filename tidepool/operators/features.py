@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, CountVectorizerModel, MinMaxScaler, Normalizer, StandardScaler, UnivariateFeatureSelector, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -77,20 +76,19 @@ def vocabulary(k: int) -> list[str]:
 
 
 def _shares(k: int):
-    @F.pandas_udf("array<double>")
-    def shares(seq: pd.Series) -> pd.Series:
+    def shares(seq):
         raw, at = B.string_bytes(seq)
-        out = []
-        for row, end, part, off in B.chunks(raw, at):
-            step = max(1, DENSE // 4**k)
+        out = np.zeros((len(at) - 1, 4**k))
+        step = max(1, DENSE // 4**k)
+        for row, end, part, off in B.chunks(raw, at, B.FEW_BYTES):
             for a in range(0, end - row, step):
                 own = off[a : min(a + step, end - row) + 1]
                 code, of = B.kmer_codes(part[own[0] : own[-1]], own - own[0], k)
                 n = np.bincount(of * 4**k + code, minlength=(len(own) - 1) * 4**k).reshape(len(own) - 1, -1)
-                out += list(n / np.maximum(n.sum(1, keepdims=True), 1))
-        return pd.Series(out, dtype=object)
+                np.divide(n, np.maximum(n.sum(1, keepdims=True), 1), out=out[row + a : row + a + len(n)])
+        return B.lists(out)
 
-    return shares
+    return F.arrow_udf(shares, "array<double>")
 
 
 def kmer_vector(df: DataFrame, k: int = 4, seq: str = "seq", out: str = "features") -> DataFrame:
@@ -105,12 +103,14 @@ def kmer_vector(df: DataFrame, k: int = 4, seq: str = "seq", out: str = "feature
 
 
 def _composition():
-    @F.pandas_udf("struct<length:int,gc:double,pairs:array<double>>")
-    def parts(seq: pd.Series) -> pd.DataFrame:
+    def parts(seq):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         raw, at = B.string_bytes(seq)
         n = len(at) - 1
         pairs, gc = np.zeros((n, 16)), np.zeros(n)
-        for row, end, part, off in B.chunks(raw, at):
+        for row, end, part, off in B.chunks(raw, at, B.FEW_BYTES):
             code, of = B.kmer_codes(part, off, 2)
             c = np.bincount(of * 16 + code, minlength=(end - row) * 16).reshape(-1, 16)
             pairs[row:end] = c / np.maximum(c.sum(1, keepdims=True), 1)
@@ -118,9 +118,10 @@ def _composition():
             all_ = np.bincount(of, minlength=end - row)
             gc[row:end] = np.bincount(of, weights=(one == 1) | (one == 2), minlength=end - row) / np.maximum(all_, 1)
         # lengths are in characters; other signs than bases may have several bytes
-        return pd.DataFrame({"length": seq.str.len().fillna(0).astype(int), "gc": gc, "pairs": list(pairs)})
+        length = pc.fill_null(pc.utf8_length(seq), 0).cast(pa.int32())
+        return pa.StructArray.from_arrays([length, pa.array(gc), B.lists(pairs)], ["length", "gc", "pairs"])
 
-    return parts
+    return F.arrow_udf(parts, "struct<length:int,gc:double,pairs:array<double>>")
 
 
 def composition(df: DataFrame, seq: str = "seq") -> DataFrame:
