@@ -261,3 +261,17 @@ def test_batches_of_sequences_take_little_memory(spark):
         tracemalloc.stop()
         assert len(got) == 4003 and peak < 40e6
     assert features._composition().func(column)[-3:].to_pylist() == [{"length": n, "gc": 0.0, "pairs": [0.0] * 16} for n in (0, 0, 2)]
+
+
+def test_forests_count_words_of_a_sequence_once(spark):
+    """Training and its report read each sequence once, and store its vector."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i, "ACGT" * 5 if i % 2 else "AACC" * 5, "ab"[i % 2]) for i in range(20)], "sequence_id int, seq string, label string")
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    _, metrics = models.train_kmer_rf(rows.mapInArrow(counted, rows.schema), 2, trees=3)
+    assert metrics == {"accuracy": 1.0, "macro_f1": 1.0, "num_samples": 20} and seen.value == 20

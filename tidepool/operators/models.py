@@ -19,6 +19,7 @@ from ..functions import numbers as N
 from ..functions.sequence import truncate
 from ..functions.taxonomy import otu_label
 from ..schema import RANKS, UNKNOWN
+from ..storage import scratch, written
 from . import balance, kmeans
 from .evaluate import overall_report
 from .features import as_vector, kmer_vector
@@ -91,11 +92,16 @@ def otu_cluster(df: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
     return otu_rows(centroid_confidence(df, table), FALLBACK)
 
 
-def train_rf(df: DataFrame, label: str = "label", features: str = "features", trees: int = 100, seed: int = 42) -> tuple[PipelineModel, float]:
-    """A scaled random forest and its accuracy on the rows it was trained on."""
+def fit_rf(df: DataFrame, label: str = "label", features: str = "features", trees: int = 100, seed: int = 42) -> PipelineModel:
+    """A scaled random forest. The rows are read several times."""
     stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"), StandardScaler(withMean=True, inputCol=features, outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", probabilityCol="_prob", numTrees=trees, seed=seed)]
     indexed = Pipeline(stages=stages).fit(df)
-    model = PipelineModel([*indexed.stages, IndexToString(inputCol="_p", outputCol="predicted_label", labels=indexed.stages[0].labels)])
+    return PipelineModel([*indexed.stages, IndexToString(inputCol="_p", outputCol="predicted_label", labels=indexed.stages[0].labels)])
+
+
+def train_rf(df: DataFrame, label: str = "label", features: str = "features", trees: int = 100, seed: int = 42) -> tuple[PipelineModel, float]:
+    """A scaled random forest and its accuracy on the rows it was trained on."""
+    model = fit_rf(df, label, features, trees, seed)
     accuracy = model.transform(df).agg(F.avg((F.col("predicted_label") == F.col(label)).cast("double"))).first()[0]
     return model, accuracy
 
@@ -170,11 +176,14 @@ def train_eval(df: DataFrame, kind: str = "logistic", test_size: float = 0.2, se
 
 
 def train_kmer_rf(df: DataFrame, k: int = 4, seed: int = 42, trees: int = 50) -> tuple[PipelineModel, dict]:
-    """(seq, label) -> model and {accuracy, macro_f1, num_samples}."""
-    rows = kmer_vector(df, k)
-    model, accuracy = train_rf(rows, trees=trees, seed=seed)
-    report = overall_report(model.transform(rows).select(F.col("label").alias("true_label"), "predicted_label")).first()
-    return model, {"accuracy": accuracy, "macro_f1": report["macro_f1"], "num_samples": rows.count()}
+    """(seq, label) -> model and {accuracy, macro_f1, num_samples}. Sequences are read and counted once; the forest and its
+    report read the stored vectors."""
+    with scratch():
+        rows = written(kmer_vector(df, k).select("label", "features"), "vectors")
+        model = fit_rf(rows, trees=trees, seed=seed)
+        scored = written(model.transform(rows).select(F.col("label").alias("true_label"), "predicted_label"), "scored")
+        accuracy, n = scored.agg(F.avg((F.col("predicted_label") == F.col("true_label")).cast("double")), F.count("*")).first()
+        return model, {"accuracy": accuracy, "macro_f1": overall_report(scored).first()["macro_f1"], "num_samples": n}
 
 
 def predict_kmer_rf(df: DataFrame, model: PipelineModel, k: int = 4) -> DataFrame:
