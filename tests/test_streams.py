@@ -4,6 +4,7 @@ import datetime
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidepool.operators import models, runs
@@ -100,3 +101,44 @@ def test_a_bundle_classifies_a_stream_as_a_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     ranks = {r.sequence_id: (r.predicted_label, r.kingdom, r.species, r.method) for r in got.collect()}
     assert ranks["s0"] == ("b1", "K", "S", "supervised_taxonomy") and ranks["s1"][0] == "b2" and ranks["s1"][1] == "b2"
+
+
+def test_states_are_read_and_written_once_a_batch():
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    state, run = State(), streams.RunState()
+    run.init(state)
+    for batch in range(2):
+        rows = [Row(run_id=1, ts=batch, seq=100 * batch + i, status="running", progress=i, message=None, step=f"s{i % 3}", step_status=str(i)) for i in range(100)]
+        (got,) = run.handleInputRows((1,), iter(rows), None)
+    assert state.calls == 4 and (got.updates, got.progress, got.steps) == (200, 99, "s0=99,s1=97,s2=98")
+
+
+def test_updates_come_in_four_batches(spark, monkeypatch):
+    """However many files the table has."""
+    from pathlib import Path
+
+    from tidepool.plans import analysis_queries as q
+    from tidepool.plans import views
+
+    table = views.v_updates(spark, "/root/testdata/sf0.001").repartition(24).persist()
+    monkeypatch.setattr(q.v, "v_updates", lambda s, d: table)
+    paths = []
+    drain = streams.drain
+    monkeypatch.setattr(q.streams, "drain", lambda df, path, *rest: (paths.append(path), drain(df, path, *rest)))
+    assert q.s2_stream(spark, "").count() > 0
+    assert len(list(Path(paths[0].removeprefix("file://")).glob("batch=*"))) == 4
+    table.unpersist()

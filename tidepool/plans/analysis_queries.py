@@ -548,13 +548,14 @@ def s2_stream(spark, d):
     path, out = shared_path(spark, "updates"), shared_path(spark, "states")
     k = F.col("seq")
     rows = v.v_updates(spark, d).withColumns({"step": F.when(k % 3 > 0, F.concat(F.lit("step"), (k % 3).cast("string"))), "step_status": F.when(k % 5 < 2, F.concat(F.lit("state"), (k % 7).cast("string")))})
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of each batch, so that there are four however large the table is
     for i in range(4):
-        rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i).write.mode("append").parquet(path)
+        rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i).repartition(files).write.mode("append").parquet(path)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
         streams.drain(streams.fold_stream(stream, "step0"), out, shared_path(spark, "state"), "update")
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -80,41 +79,34 @@ class RunState(StatefulProcessor):
 
     The order of an update is kept with its value, so that an older one that arrives in a later batch
     doesn't overwrite a newer one. An update of a step that is named changes that step, others the
-    first step.
+    first step. The state is read and written once a batch, however many updates a run has in it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        field = "value string, ts timestamp, seq long"
-        self.fields = handle.getMapState("fields", "name string", field)
-        self.steps = handle.getMapState("steps", "name string", field)
-        self.counts = handle.getValueState("counts", "updates long, end_time timestamp")
-
-    def newer(self, state, name: str, value: str, ts, seq) -> None:
-        key = (name,)
-        old = state.getValue(key) if state.containsKey(key) else None
-        if old is None or (old[1], old[2]) <= (ts, seq):
-            state.updateValue(key, (value, ts, seq))
+        given = "array<struct<name: string, value: string, ts: bigint, seq: bigint>>"
+        self.state = handle.getValueState("run", f"fields {given}, steps {given}, updates long, end_time long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        n, end = self.counts.get() if self.counts.exists() else (0, None)
-        for pdf in rows:
-            for r in pdf.to_dict("records"):
-                n += 1
-                ts, seq = r["ts"].to_pydatetime(), int(r["seq"])
-                for f in FIELDS:
-                    if not pd.isna(r[f]):
-                        self.newer(self.fields, f, str(max(0, min(100, int(r[f])))) if f == "progress" else str(r[f]), ts, seq)
-                if r["status"] in ENDS:
-                    end = ts if end is None else max(end, ts)
-                if isinstance(r.get("step_status"), str):
-                    self.newer(self.steps, r["step"] if isinstance(r.get("step"), str) else "", r["step_status"], ts, seq)
-        self.counts.update((n, end))
-        now = {k[0]: v[0] for k, v in self.fields.iterator()}
-        steps = sorted((k[0], v[0]) for k, v in self.steps.iterator())
-        progress = now.get("progress")
-        yield pd.DataFrame({
-            "run_id": [key[0]], "status": [now.get("status")], "progress": pd.array([None if progress is None else int(progress)], "Int32"), "message": [now.get("message")],
-            "end_time": [pd.Timestamp(end) if end is not None else pd.NaT], "updates": [n], "steps": [",".join(f"{k}={x}" for k, x in steps)]})
+        fields, steps, n, end = self.state.get() or ((), (), 0, None)
+        fields, steps = ({name: (value, ts, seq) for name, value, ts, seq in given} for given in (fields, steps))
+
+        def newer(given: dict, name: str, value: str, ts, seq) -> None:
+            old = given.get(name)
+            if old is None or (old[1], old[2]) <= (ts, seq):
+                given[name] = (value, ts, seq)
+
+        for r in rows:
+            n += 1
+            for f in FIELDS:
+                if r[f] is not None:
+                    newer(fields, f, str(max(0, min(100, r[f]))) if f == "progress" else r[f], r["ts"], r["seq"])
+            if r["status"] in ENDS:
+                end = r["ts"] if end is None else max(end, r["ts"])
+            if r["step_status"] is not None:
+                newer(steps, r["step"] or "", r["step_status"], r["ts"], r["seq"])
+        self.state.update((*([(name, *x) for name, x in given.items()] for given in (fields, steps)), n, end))
+        status, progress, message = (fields[f][0] if f in fields else None for f in FIELDS)
+        yield Row(run_id=key[0], status=status, progress=None if progress is None else int(progress), message=message, end_time=end, updates=n, steps=",".join(f"{k}={x[0]}" for k, x in sorted(steps.items())))
 
     def close(self) -> None:
         pass
@@ -129,8 +121,10 @@ def fold_stream(updates: DataFrame, first_step: str = "") -> DataFrame:
             updates = updates.withColumn(c, F.lit(None).cast("string"))
     # an update without a step's name means the first step
     updates = updates.withColumn("step", F.coalesce("step", F.lit(first_step)))
-    schema = "run_id long, status string, progress int, message string, end_time timestamp, updates long, steps string"
-    return updates.groupBy("run_id").transformWithStateInPandas(RunState(), schema, outputMode="Update", timeMode="None")
+    # times go through Python as microseconds, which no time zone changes
+    updates = updates.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    schema = "run_id long, status string, progress int, message string, end_time long, updates long, steps string"
+    return updates.groupBy("run_id").transformWithState(RunState(), schema, outputMode="Update", timeMode="None").withColumn("end_time", F.timestamp_micros("end_time"))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
