@@ -275,3 +275,15 @@ def test_forests_count_words_of_a_sequence_once(spark):
 
     _, metrics = models.train_kmer_rf(rows.mapInArrow(counted, rows.schema), 2, trees=3)
     assert metrics == {"accuracy": 1.0, "macro_f1": 1.0, "num_samples": 20} and seen.value == 20
+
+
+def test_one_hot_digests_take_no_arrays_of_arrays(spark):
+    """The digest is that of the column function; four million bases in one row."""
+    rows = spark.createDataFrame([("ACGTNAé",), ("",), (None,)], "seq string")
+    x = rows.select(S.one_hot(F.col("seq")).alias("x"), S.one_hot_digest()("seq").alias("d")).collect()
+    for r in x[:2]:
+        assert r.d.bases == len(r.x) and [r.d.a, r.d.c, r.d.g, r.d.t] == [sum(e[i] for e in r.x) for i in range(4)]
+        assert r.d.bits == hashlib.md5("".join(str(i) for e in r.x for i in e).encode()).hexdigest()
+    assert x[2].d.bases is None and x[2].d.bits is None
+    long = spark.range(1).select(S.one_hot_digest()(F.repeat(F.lit("ACGT"), 1_000_000)).alias("d")).first().d
+    assert (long.bases, long.t) == (4_000_000, 1_000_000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -42,6 +44,25 @@ def one_hot(seq: Column) -> Column:
     return F.transform(bases, lambda b: F.array(*[(b == x).cast("int") for x in "ACGT"]))
 
 
+def one_hot_digest():
+    """A column function: (bases, a, c, g, t, bits) of ``one_hot``: its rows, the ones of each column, and the md5 of all
+    numbers in a row. The matrices stay in their Arrow batch, one at a time."""
+    table = np.zeros((256, 4), np.uint8)
+    table[[ord(b) for b in "ACGT"], range(4)] = 1
+
+    def value(seq: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in seq:
+            if s is None:
+                out.append((None,) * 6)
+                continue
+            x = table[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
+            out.append((len(x), *x.sum(0, dtype=np.int64).tolist(), md5((x + 48).tobytes()).hexdigest()))
+        return pd.DataFrame(out, columns=["bases", *"acgt", "bits"]).astype(dict.fromkeys(["bases", *"acgt"], "Int64"))
+
+    return F.pandas_udf(value, "bases long, a long, c long, g long, t long, bits string").asNondeterministic()
+
+
 def kmers(seq: Column, k: int) -> Column:
     """Overlapping words of k clean bases; windows with another symbol are left out. A look-ahead
     finds them in one pass, however long the sequence is."""

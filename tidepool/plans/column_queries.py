@@ -139,10 +139,8 @@ def b21(spark, d):
 
 @query("b22_one_hot", "SELECT read_id, len(seq) AS bases, " + ", ".join(f"len(regexp_replace(seq, '[^{x}]', '', 'g')) AS {x.lower()}" for x in "ACGT") + ", md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A', '1000', 'g'), 'C', '0100', 'g'), 'G', '0010', 'g'), 'T', '0001', 'g'), '[^01]', '0000', 'g')) AS bits FROM v_reads")
 def b22(spark, d):
-    rows = v.v_reads(spark, d).select("read_id", S.one_hot(F.col("seq")).alias("x"))
-    count = lambda k: F.aggregate("x", F.lit(0).cast("long"), lambda s, e: s + F.get(e, F.lit(k)))
-    bits = F.array_join(F.transform("x", lambda e: F.array_join(F.transform(e, lambda i: i.cast("string")), "")), "")
-    return rows.select("read_id", F.size("x").cast("long").alias("bases"), *[count(i).alias(x) for i, x in enumerate("acgt")], F.md5(bits).alias("bits"))
+    x = v.v_reads(spark, d).select("read_id", S.one_hot_digest()("seq").alias("x"))
+    return x.select("read_id", "x.*")
 
 
 @query("b23_flag_novel", "SELECT sequence_id, sequence_id % 2 = 0 AND confidence < 12 AS novel FROM v_rows")
