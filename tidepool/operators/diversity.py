@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,12 +136,26 @@ def bray_curtis(df: DataFrame) -> DataFrame:
     return pairs.join(shared, ["a", "b"], "left").select("a", "b", F.round(1 - 2.0 * F.coalesce("low", F.lit(0)) / (F.col("ta") + F.col("tb")), 6).alias("distance"))
 
 
-def log_factorial(x: Column) -> Column:
-    """ln x! of whole numbers: a table up to 15, Stirling's series (to 1e-12) beyond."""
-    y = x.cast("double") + 1
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
-    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
-    return F.when(x < 16, F.get(small, F.greatest(x, F.lit(0)).cast("int"))).otherwise(series)
+#: The series of ln gamma from 8 on, as the C library has it.
+SERIES = (4.18938533204672725052e-01, 8.33333333333329678849e-02, -2.77777777728775536470e-03, 7.93650558643019558500e-04, -5.95187557450339963135e-04, 8.36339918996282139126e-04, -1.63092934096575273989e-03)
+
+
+def log_gamma(x: float) -> float:
+    """ln gamma(x) for x >= 1, to the last bit as C's lgamma gives it from 8 on."""
+    if x < 8:
+        return math.lgamma(x)
+    z = 1.0 / x
+    y = z * z
+    w = SERIES[0] + z * (SERIES[1] + y * (SERIES[2] + y * (SERIES[3] + y * (SERIES[4] + y * (SERIES[5] + y * SERIES[6])))))
+    return (x - 0.5) * (math.log(x) - 1.0) + w
+
+
+def none_of(n: pd.Series, total: pd.Series, depth: pd.Series) -> pd.Series:
+    """The chance that none of n among total individuals is among depth, by ln gamma in the order of the SQL: where totals are
+    large the differences cancel, and another order or logarithm gives other digits."""
+    g = lambda x: log_gamma(float(x))
+    rows = zip(n.tolist(), total.tolist(), depth.tolist(), strict=True)
+    return pd.Series([math.exp(g(t - k + 1) - g(t - k - x + 1) - g(t + 1) + g(t - x + 1)) if t - k >= x else 0.0 for k, t, x in rows], dtype=float)
 
 
 def rarefaction_curve(df: DataFrame, depths: list[int]) -> DataFrame:
@@ -148,10 +163,7 @@ def rarefaction_curve(df: DataFrame, depths: list[int]) -> DataFrame:
     sample's total are left out. Taxa with equal counts in a sample are computed once."""
     classes = df.where("n > 0").groupBy("sample_id", "n").agg(F.count("*").alias("taxa")).join(sample_totals(df), "sample_id")
     rows = classes.withColumn("depth", F.explode(F.array(*[F.lit(x).cast("long") for x in depths]))).where(F.col("depth") <= F.col("total"))
-    rest, total = F.col("total") - F.col("n"), F.col("total")
-    gone = log_factorial(rest) - log_factorial(rest - F.col("depth")) - log_factorial(total) + log_factorial(total - F.col("depth"))
-    missing = F.when(rest >= F.col("depth"), F.exp(gone)).otherwise(0.0)
-    return rows.groupBy("sample_id", "depth").agg(F.round(F.sum(F.col("taxa") * (1 - missing)), 4).alias("richness"))
+    return rows.groupBy("sample_id", "depth").agg(F.round(F.sum(F.col("taxa") * (1 - F.pandas_udf(none_of, "double")("n", "total", "depth"))), 4).alias("richness"))
 
 
 def trend(df: DataFrame, period: str = "30 days", before: int = 3, limit: float = 2.0) -> DataFrame:
