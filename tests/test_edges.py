@@ -296,3 +296,15 @@ def test_rarefaction_follows_its_sql_at_large_totals(spark):
     x = [float(10**e + 37 * i) for e in range(1, 10) for i in range(200)]
     want = [r[0] for r in duckdb.connect().execute("SELECT lgamma(unnest($1::DOUBLE[]))", [x]).fetchall()]
     assert [diversity.log_gamma(v) for v in x] == want
+
+
+def test_consensus_moves_each_row_once(spark):
+    """One shuffle, by sequence; ties go to the first name, and a rank holds only if all above hold."""
+    ranks = ", ".join(f"`{r}` string" for r in RANKS)
+    row = lambda i, m, *x: (i, m, *x, *[None] * (7 - len(x)))
+    preds = spark.createDataFrame([row(1, "a", "K", "P"), row(1, "b", "K", "Q"), row(1, "c", "K", "Q"), row(2, "a", "L", "P"), row(2, "b", "K", "P"), row(3, "a"), row(3, "b", "K")], f"sequence_id int, method string, {ranks}")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "method string, weight double")
+    got = lineage.consensus(preds, weights)
+    assert sorted((r.sequence_id, r.kingdom, r.phylum, r["class"], r.share) for r in got.collect()) == [(1, "K", "Q", UNKNOWN, 0.666667), (2, UNKNOWN, UNKNOWN, UNKNOWN, 0.5), (3, UNKNOWN, UNKNOWN, UNKNOWN, 0.5)]
+    plan = lineage.consensus(preds, weights)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -104,13 +104,22 @@ def consensus(preds: DataFrame, weights: DataFrame, least_share: float = 0.5) ->
     preds: sequence_id, method, ranks; weights: method, weight. Ties go to the first name.
     """
     rows = preds.join(F.broadcast(weights), "method")
-    votes = rows.select("sequence_id", "weight", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), or_unknown(F.col(f"`{r}`")).alias("taxon")) for i, r in enumerate(RANKS)])).alias("v"))
-    total = votes.groupBy("sequence_id", F.col("v.i").alias("i"), F.col("v.taxon").alias("taxon")).agg(F.sum("weight").alias("w"))
-    top = total.groupBy("sequence_id", "i").agg(F.sum("w").alias("all"), F.max("w").alias("w"), F.min_by("taxon", F.struct(-F.col("w"), "taxon")).alias("taxon"))
-    top = top.withColumn("ok", (F.col("w") / F.col("all") > least_share) & (F.col("taxon") != UNKNOWN))
-    one = top.groupBy("sequence_id").agg(F.coalesce(F.min(F.when(~F.col("ok"), F.col("i"))), F.lit(len(RANKS))).alias("depth"), F.map_from_entries(F.collect_list(F.struct("i", "taxon"))).alias("t"), F.map_from_entries(F.collect_list(F.struct("i", (F.col("w") / F.col("all")).alias("s")))).alias("s"))
-    ranks = [F.when(F.col("depth") > i, F.element_at("t", F.lit(i))).otherwise(UNKNOWN).alias(r) for i, r in enumerate(RANKS)]
-    return one.select("sequence_id", *ranks, F.round(F.coalesce(F.element_at("s", F.greatest(F.col("depth") - 1, F.lit(0))), F.lit(0.0)), 6).alias("share"))
+    # a sequence has a row for each method, so its votes are one short list and move once
+    row = F.struct("weight", *[or_unknown(F.col(f"`{r}`")).alias(r) for r in RANKS])
+    lists = rows.groupBy("sequence_id").agg(F.collect_list(row).alias("v"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x["weight"])
+
+    def top(r: str):
+        names = F.array_distinct(F.transform("v", lambda x: x[r]))
+        best = F.array_min(F.transform(names, lambda t: F.struct((-total(F.filter("v", lambda x: x[r] == t))).alias("m"), t.alias("taxon"))))
+        return F.struct((-best["m"] / total(F.col("v"))).alias("s"), best["taxon"].alias("taxon"))
+
+    one = lists.select("sequence_id", F.array(*[top(r) for r in RANKS]).alias("t"))
+    bad = F.transform("t", lambda x: (x["s"] <= least_share) | (x["taxon"] == UNKNOWN))
+    at = F.array_position(bad, True)
+    one = one.withColumn("depth", F.when(at > 0, at - 1).otherwise(len(RANKS)).cast("int"))
+    ranks = [F.when(F.col("depth") > i, F.get("t", F.lit(i))["taxon"]).otherwise(UNKNOWN).alias(r) for i, r in enumerate(RANKS)]
+    return one.select("sequence_id", *ranks, F.round(F.get("t", F.greatest(F.col("depth") - 1, F.lit(0)))["s"], 6).alias("share"))
 
 
 def knn_classify(queries: DataFrame, reference: DataFrame, k: int = 5, max_distance: float | None = None, others: bool = False, probes: int | None = None) -> DataFrame:
