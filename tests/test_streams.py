@@ -142,3 +142,14 @@ def test_updates_come_in_four_batches(spark, monkeypatch):
     assert q.s2_stream(spark, "").count() > 0
     assert len(list(Path(paths[0].removeprefix("file://")).glob("batch=*"))) == 4
     table.unpersist()
+
+
+def test_arriving_batches_are_few(spark, monkeypatch):
+    """Forty files are four batches, not fourteen."""
+    from tidepool.plans import analysis_queries as q
+
+    reads = q.v.v_reads(spark, "/root/testdata/sf0.001").repartition(40)
+    monkeypatch.setattr(q.v, "v_reads", lambda s, d: reads)
+    path, files = q.arriving(spark, "")
+    n = len(spark.read.text(path).inputFiles())
+    assert n > 12 and -(-n // files) <= 4

@@ -503,34 +503,35 @@ def whole(spark, d):
 
 
 def arriving(spark, d):
-    """A folder of sequence files with all reads."""
+    """A folder of sequence files with all reads, and how many of them are a batch: at least three, and enough that there are
+    four batches at most, so that batches grow with the table, not their number."""
     path = shared_path(spark, "arriving")
     v.v_reads(spark, d).select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq")).write.text(path)
-    return path
+    return path, max(3, -(-len(spark.read.text(path).inputFiles()) // 4))
 
 
 @query("s1_arriving_files", f"SELECT CAST(sequence_id AS VARCHAR) AS sequence_id, predicted_label, confidence, method FROM ({BY_CENTROID}) JOIN v_reads ON read_id = sequence_id WHERE len(seq) > 0")
 def s1(spark, d):
     """Files that arrive are read, embedded and classified by the mean vectors of the known taxa, batch by batch."""
-    path, out = arriving(spark, d), shared_path(spark, "classified")
+    (path, files), out = arriving(spark, d), shared_path(spark, "classified")
     with scratch():
         centers = written(taxon_centers(spark, d)[1], "centers")
         rows = streams.embed_and_classify(lambda e: centroid_rows(e, centers))
-        streams.classify_stream(streams.read_fasta_stream(spark, path, 3), rows, out, shared_path(spark, "state"), shared_path(spark, "rejects")).awaitTermination()
+        streams.classify_stream(streams.read_fasta_stream(spark, path, files), rows, out, shared_path(spark, "state"), shared_path(spark, "rejects")).awaitTermination()
     return spark.read.schema("sequence_id string, predicted_label string, confidence double, method string").parquet(f"{out}/batch=*")
 
 
 @query("s1_supervised_stream")
 def s1_bundle(spark, d):
     """The same files through a classifier that was trained, saved as a bundle with its taxonomy, and loaded."""
-    path, out, place = arriving(spark, d), shared_path(spark, "classified"), shared_path(spark, "bundle")
+    (path, files), out, place = arriving(spark, d), shared_path(spark, "classified"), shared_path(spark, "bundle")
     with scratch():
         reads = v.v_reads(spark, d).where("length(seq) > 0")
         e = models.embed(reads, key="read_id").join(reads.select(F.col("read_id").alias("sequence_id"), F.concat(F.lit("k__"), "taxon").alias("label")), "sequence_id")
         model, _ = models.train_rf(written(models.as_vector(e).select("sequence_id", "features", "label"), "training"), trees=20)
         known = reads.select(F.concat(F.lit("k__"), "taxon").alias("label"), F.upper("taxon").alias("kingdom")).distinct()
         models.save_bundle(models.Bundle(model, clean.fill_ranks(known)), place)
-        streams.classify_stream(streams.read_fasta_stream(spark, path, 3), streams.bundle_classifier(models.load_bundle(spark, place)), out, shared_path(spark, "state"), shared_path(spark, "rejects")).awaitTermination()
+        streams.classify_stream(streams.read_fasta_stream(spark, path, files), streams.bundle_classifier(models.load_bundle(spark, place)), out, shared_path(spark, "state"), shared_path(spark, "rejects")).awaitTermination()
     return spark.read.parquet(f"{out}/batch=*")
 
 
