@@ -113,3 +113,9 @@ def test_rare_pieces_keep_candidates_few(spark):
     df = spark.createDataFrame(list({q: (s, q, n) for s, q, n in rows}.values()), SCHEMA)
     got = P.near_pairs(df.where("n = 1"), df.where("n > 1"), 1)
     assert got.count() == len({q for _, q, n in rows if n == 1})
+
+
+def test_near_pairs_of_a_ratio_leave_out_weaker_parents(spark):
+    u = spark.createDataFrame([("s", "ACGTACGTACGT", 1), ("s", "ACGTACGTACGA", 7), ("s", "ACGTACGTACGC", 8)], "sample_id string, seq string, n long")
+    got = P.near_pairs(u.where("n = 1"), u, 1, 8.0).collect()
+    assert [(r.parent, r.d) for r in got] == [("ACGTACGTACGC", 1)]

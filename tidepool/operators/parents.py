@@ -50,8 +50,8 @@ def deletions(seq: str, distance: int) -> Column:
     return F.array_distinct(F.flatten(levels))
 
 
-def near_pairs(children: DataFrame, parents: DataFrame, distance: int) -> DataFrame:
-    """(sample_id, seq, n, parent, pn, d): pairs of a sample with a more abundant parent at a Levenshtein
+def near_pairs(children: DataFrame, parents: DataFrame, distance: int, ratio: float = 1.0) -> DataFrame:
+    """(sample_id, seq, n, parent, pn, d): pairs of a sample with a more abundant parent (``ratio`` times, if given) at a Levenshtein
     distance of 1 to ``distance``. Null sequences are no one's parents or children.
 
     So many edits leave all but ``distance`` of a child's disjoint pieces as they are, so among any
@@ -88,7 +88,7 @@ def near_pairs(children: DataFrame, parents: DataFrame, distance: int) -> DataFr
         lost = lambda df, c: df.where("size = -1").withColumn("left", F.explode(deletions(c, distance)))
         by_loss = lost(u, "seq").drop("size").join(lost(sized, "parent").drop("size"), ["sample_id", "left"]).select("sample_id", "seq", "n", "parent", "pn")
         by_sample = u.where("size = 0").drop("size").join(sized.where("size = 0").drop("size"), "sample_id").select("sample_id", "seq", "n", "parent", "pn")
-        pairs = by_piece.unionByName(by_loss).unionByName(by_sample).where((F.col("pn") > F.col("n")) & (F.col("seq") != F.col("parent")) & (F.abs(F.length("seq") - F.length("parent")) <= distance))
+        pairs = by_piece.unionByName(by_loss).unionByName(by_sample).where((F.col("pn") > F.col("n")) & (F.col("pn") >= F.col("n") * (ratio * (1 - 1e-9))) & (F.col("seq") != F.col("parent")) & (F.abs(F.length("seq") - F.length("parent")) <= distance))
         # candidates are verified where they meet, so that only pairs move on, and each once
         return kept(pairs.withColumn("d", F.levenshtein("seq", "parent", distance)).where(F.col("d") >= 0).distinct(), "near")
 
@@ -107,7 +107,7 @@ def denoise(uniques: DataFrame, alpha: float = 2.0, base: float = 1.0, max_dista
         least, most = u.agg(F.min("n"), F.max("n")).first()
         far = max(0, math.floor((math.log2(most / least) - base) / alpha + 1e-9)) if least else 0
         far = far if max_distance is None else min(far, max_distance)
-        found = [near_pairs(u.where(F.col("n") <= most / 2 ** (alpha * d + base)), u.where(F.col("n") >= least * 2 ** (alpha * d + base)), d).where(F.col("d") == d) for d in range(1, far + 1)]
+        found = [near_pairs(u.where(F.col("n") <= most / 2 ** (alpha * d + base)), u.where(F.col("n") >= least * 2 ** (alpha * d + base)), d, 2 ** (alpha * d + base)).where(F.col("d") == d) for d in range(1, far + 1)]
         if not found:
             return kept(u, "denoised")
         near = reduce(DataFrame.unionByName, found).where(F.col("n") / F.col("pn") <= F.pow(F.lit(2.0), -(F.col("d") * alpha + base)))
