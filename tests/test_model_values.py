@@ -61,6 +61,28 @@ def test_word_embeddings_are_means_of_word_vectors(spark):
     assert all(np.allclose(got[i], again[i]) for i in got)
 
 
+def test_word_embeddings_are_fitted_to_all_neighbours(spark):
+    """Pairs are those of a plain loop, the vectors don't depend on how rows are dealt, and words with the same neighbours are alike."""
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGTN"), n, p=[0.3, 0.2, 0.2, 0.25, 0.05])) for n in (0, 2, 3, 7, 400, 2500)] + ["AC" * 300, None]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string")
+    want = {}
+    for s in seqs:
+        w = [x for x in ((s or "")[i : i + 2] for i in range(len(s or "") - 1)) if "N" not in x]
+        for i, a in enumerate(w):
+            for d, b in enumerate(w[i + 1 : i + 6]):
+                p = sum("ACGT".index(c) * 4 ** (3 - j) for j, c in enumerate(a + b))
+                want[p] = want.get(p, 0) + 5 - d
+    assert {r.pair: r.n for r in features.word_pairs(rows.repartition(3), 2).collect()} == want
+    one, more = ({r.id: np.array(r.v) for r in features.kmer_word2vec(df, 2, 8).select("id", vector_to_array("features").alias("v")).collect()} for df in (rows.coalesce(1), rows.repartition(4, "id")))
+    assert one.keys() == more.keys() and all(np.allclose(one[i], more[i], atol=1e-6) for i in one) and not one[7].any()
+    n = np.array([[0, 0, 8, 1], [0, 0, 8, 1], [8, 8, 0, 0], [1, 1, 0, 0]])  # 0 and 1 have the same neighbours
+    x = features.skip_gram(n, 8, 1)
+    c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    assert c[0, 1] > 0.9 > c[0, 2]
+    assert not features.kmer_word2vec(rows.where("id < 1"), 2, 8).select(vector_to_array("features").alias("v")).where("exists(v, x -> x <> 0)").count()
+
+
 def test_silhouette_against_all_pairs(groups):
     x, y, rows = groups
     d = ((x[:, None] - x[None]) ** 2).sum(2)

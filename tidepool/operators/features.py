@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
 from itertools import product
 
 import numpy as np
@@ -20,6 +21,8 @@ from ..functions import sequence as S
 
 #: Different (group, word) that a task holds before it passes their counts on; numbers in a dense table of shares.
 HELD, DENSE = 1_000_000, 4_000_000
+#: Words before and behind a word that are its neighbours; steps and first rate of the fit of word vectors.
+WINDOW, STEPS, RATE = 5, 500, 0.02
 
 
 def kmer_counts(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 6), group: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
@@ -75,17 +78,20 @@ def vocabulary(k: int) -> list[str]:
     return ["".join(p) for p in product("ACGT", repeat=k)]
 
 
-def _shares(k: int):
+def _shares(k: int, vectors: np.ndarray | None = None):
+    """The relative frequencies of all words, or the mean of the words' vectors."""
+
     def shares(seq):
         raw, at = B.string_bytes(seq)
-        out = np.zeros((len(at) - 1, 4**k))
+        out = np.zeros((len(at) - 1, 4**k if vectors is None else vectors.shape[1]))
         step = max(1, DENSE // 4**k)
         for row, end, part, off in B.chunks(raw, at, B.FEW_BYTES):
             for a in range(0, end - row, step):
                 own = off[a : min(a + step, end - row) + 1]
                 code, of = B.kmer_codes(part[own[0] : own[-1]], own - own[0], k)
                 n = np.bincount(of * 4**k + code, minlength=(len(own) - 1) * 4**k).reshape(len(own) - 1, -1)
-                np.divide(n, np.maximum(n.sum(1, keepdims=True), 1), out=out[row + a : row + a + len(n)])
+                share = n / np.maximum(n.sum(1, keepdims=True), 1)
+                out[row + a : row + a + len(n)] = share if vectors is None else share @ vectors
         return B.lists(out)
 
     return F.arrow_udf(shares, "array<double>")
@@ -131,11 +137,65 @@ def composition(df: DataFrame, seq: str = "seq") -> DataFrame:
     return c.withColumns({"length": F.col("_c.length"), "gc": F.col("_c.gc")} | {f"f_{w.lower()}": F.round(F.get("_c.pairs", F.lit(i)), 6) for i, w in enumerate(vocabulary(2))}).drop("_c")
 
 
+def word_pairs(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(pair, n): the words a and b behind it, as a * 4^k + b, that are neighbours in a sequence's clean words. Those at distance
+    d count WINDOW + 1 - d times, as that many of the WINDOW windows that Word2Vec draws from hold them. A task passes on
+    each pair once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        n = np.zeros(16**k, np.int64)
+        for batch in batches:
+            for _, _, part, off in B.chunks(*B.string_bytes(batch.column(0))):
+                code, of = B.kmer_codes(part, off, k)
+                for d in range(1, WINDOW + 1):
+                    n += (WINDOW + 1 - d) * np.bincount((code[:-d] * 4**k + code[d:])[of[:-d] == of[d:]], minlength=16**k)
+        pair = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n[pair])], ["pair", "n"])
+
+    return df.select(F.coalesce(F.col(seq), F.lit("")).alias("_s")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def skip_gram(n: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """Vectors of words that are neighbours n[a, b] times: Word2Vec's model (skip-grams, a Huffman tree of binary choices), whose
+    likelihood depends on these counts only. It takes STEPS steps on all pairs at once (Adam, the rate falls to 0) from small
+    random vectors; a word without neighbours keeps its own."""
+    total = n.sum(0)
+    heap = [(int(total[w]), int(w), [int(w)]) for w in np.flatnonzero(total)]
+    heapify(heap)
+    turn = np.zeros((max(len(heap) - 1, 0), len(n)))
+    for node in range(len(turn)):
+        (a, _, left), (b, _, right) = heappop(heap), heappop(heap)
+        turn[node, left], turn[node, right] = 1, -1
+        heappush(heap, (a + b, len(n) + node, left + right))
+    share = n / max(int(total.sum()), 1)
+    yes, no = share @ (turn.T > 0), share @ (turn.T < 0)
+    own = [(np.random.default_rng(seed).random((len(n), dim)) - 0.5) / dim, np.zeros((len(turn), dim))]
+    mean, square = [np.zeros_like(x) for x in own], [np.zeros_like(x) for x in own]
+    for t in range(STEPS):
+        up = yes - (yes + no) / (1 + np.exp(-(own[0] @ own[1].T)))
+        for x, g, m, s in zip(own, (up @ own[1], up.T @ own[0]), mean, square, strict=True):
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            x += RATE * (1 - t / STEPS) * m / (1 - 0.9 ** (t + 1)) / (np.sqrt(s / (1 - 0.999 ** (t + 1))) + 1e-15)
+    return own[0]
+
+
 def kmer_word2vec(df: DataFrame, k: int = 4, dim: int = 128, seq: str = "seq", seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """Mean of the learned vectors of a sequence's words. The fit runs in ``partitions`` tasks, as many as
-    the session shuffles to if not given."""
+    """Mean of the learned vectors of a sequence's words; zeros for a sequence without a clean word (or null).
+
+    Up to k = 5 all neighbours of all words are counted in one pass and the vectors are fitted to the counts, so the fit takes
+    the same time for any number of sequences. Longer words have too many pairs for that; MLlib's Word2Vec walks over them in
+    ``partitions`` tasks, as many as the session shuffles to if not given."""
+    if k <= 5:
+        n = np.zeros(16**k, np.int64)
+        counted = word_pairs(df, k, seq).toArrow()
+        n[counted["pair"].to_numpy()] = counted["n"].to_numpy()
+        n = n.reshape(4**k, 4**k)
+        return df.withColumn("features", array_to_vector(_shares(k, skip_gram(n + n.T, dim, seed))(F.coalesce(F.col(seq), F.lit("")))))
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = df.withColumn("_w", S.kmers(F.col(seq), k))
+    words = df.withColumn("_w", S.kmers(F.coalesce(F.col(seq), F.lit("")), k))
     model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, numPartitions=partitions, maxIter=1, inputCol="_w", outputCol="features").fit(words)
     return model.transform(words).drop("_w")
 
