@@ -143,6 +143,38 @@ def test_rarefying_to_the_default_depth(spark):
     assert got == {("s", t): n for t, n in Counter(t for _, t in order).items()} | {("t", "a"): 10_000}
 
 
+def test_small_digests_are_those_of_hashlib():
+    """Texts of one block and of several, numbers of one digit and of many, bounds that take none, some and all."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from tidepool.functions import batches, digests
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("é漢Zz9|"), n)) for n in (0, 1, 7, 20, 20, 27, 30, 54, 55, 56, 63, 64, 65, 118, 119, 120, 200)] + ["a" * n for n in (*range(45, 57), 118, 119, 120)]
+    low = rng.choice([1, 1, 50_001, 99_995], len(texts))
+    high = low + rng.choice([0, 8, 9, 300], len(texts))
+    bound = rng.choice([0, 2**29, 2**31, 2**32 - 1], len(texts))
+    want = sorted((j, i) for j, t in enumerate(texts) for i in range(low[j], high[j] + 1) if int.from_bytes(hashlib.md5(t.encode() + b"%d" % i).digest()[:4], "big") <= bound[j])
+    got = sorted((j, i) for js, own in digests.small_digests(*batches.string_bytes(pa.array(texts)), low, high, bound) for j, i in zip(js.tolist(), own.tolist(), strict=True))
+    assert got == want and len(want) > 500
+
+
+@pytest.mark.parametrize("held", [2, 50_000])
+def test_rarefying_long_names_and_large_counts(spark, monkeypatch, held):
+    import hashlib
+
+    monkeypatch.setattr(diversity, "ROWS", held)
+    rows = [("s" * 70, "é" * 40, 120_000), ("s" * 70, "b", 9), ("t", "a", 60), ("t", "b" * 60, 50_001), ("u", "a", 99), (None, "a", 5000)]
+    got = {(r.sample_id, r.taxon): r.n for r in diversity.rarefy(spark.createDataFrame(rows, "sample_id string, taxon string, n long"), 100).collect()}
+    want = Counter()
+    for s in ("s" * 70, "t"):
+        order = sorted((hashlib.md5(f"42|{s}|{t}|{i}".encode()).hexdigest(), t) for x, t, n in rows if x == s for i in range(1, n + 1))
+        want.update((s, t) for _, t in order[:100])
+    assert got == want
+
+
 def test_threads_keep_their_own_scratch_tables(spark, tmp_path, monkeypatch):
     from threading import Barrier, Thread
 

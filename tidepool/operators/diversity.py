@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 from hashlib import md5
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import string_bytes
+from ..functions.digests import small_digests
 from ..storage import kept, scratch, written
 from .quantiles import quantiles
 
@@ -56,30 +60,57 @@ SPARE = 8
 STRETCH = 50_000
 
 
+#: Rows whose individuals are hashed together, and individuals that come out together.
+ROWS = 50_000
+
+
 def drawn(some: DataFrame, seed: int) -> DataFrame:
     """(sample_id, taxon, i, _h): the individuals of stretches (from number _a on) whose hash is below a share of all hashes.
-    A stretch is hashed in one batch, and only what is below comes out of it."""
+    Numpy hashes those of many rows at once and tells which may be below; only these are compared in full and come out."""
     kinds = {c: some.schema[c].dataType for c in ("sample_id", "taxon")}
     schema = T.StructType([*[T.StructField(c, k) for c, k in kinds.items()], T.StructField("i", T.LongType()), T.StructField("_h", T.StringType())])
     text = some.select("sample_id", "taxon", F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("taxon").cast("string"), F.lit("")).alias("_p"), "n", "_share", "_a")
 
+    def below(rows):
+        import pyarrow as pa
+
+        raw, at = string_bytes(rows.column("_p"))
+        low, share = rows.column("_a").to_numpy(), rows.column("_share").to_numpy()
+        high, bound = np.minimum(rows.column("n").to_numpy(), low + STRETCH - 1), (share * (1 << 48)).astype(np.int64)
+        part = np.flatnonzero(share < 1)
+        of = np.concatenate([[0], np.cumsum(np.diff(at)[part])])
+        bytes_of = np.repeat(at[part] - of[:-1], np.diff(of)) + np.arange(of[-1])
+        near = ((part[j], i) for j, i in small_digests(raw[bytes_of], of, low[part], high[part], bound[part] >> 16))
+        every = ((np.full(high[j] - low[j] + 1, j), np.arange(low[j], high[j] + 1)) for j in np.flatnonzero(share >= 1))
+        index, numbers, hashes = [], [], []
+
+        def out():
+            taken = rows.select(["sample_id", "taxon"]).take(pa.array(index, pa.int64()))
+            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers, pa.int64()), pa.array(hashes, pa.string())], schema.names)
+
+        for js, own in chain(near, every):
+            for j, i in zip(js.tolist(), own.tolist(), strict=True):
+                h = md5(raw[at[j] : at[j + 1]].tobytes() + b"%d" % i).digest()
+                if share[j] >= 1 or h[:6] < int(bound[j]).to_bytes(6, "big"):
+                    index.append(j)
+                    numbers.append(i)
+                    hashes.append(h.hex())
+            if len(index) >= ROWS:
+                yield out()
+                index, numbers, hashes = [], [], []
+        yield out()
+
     def run(batches):
         import pyarrow as pa
 
-        first = [b"%d" % i for i in range(1, STRETCH + 1)]
+        held = []
         for batch in batches:
-            at, numbers, hashes = [], [], []
-            for j, (p, n, share, a) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_p", "n", "_share", "_a")], strict=True)):
-                own = first[: min(n, STRETCH)] if a == 1 else [b"%d" % i for i in range(a, min(n, a + STRETCH - 1) + 1)]
-                p, bound = p.encode(), b"\xff" * 17 if share >= 1 else int(share * (1 << 48)).to_bytes(6, "big")
-                for i, x in enumerate(own, a):
-                    h = md5(p + x).digest()
-                    if h < bound:
-                        at.append(j)
-                        numbers.append(i)
-                        hashes.append(h.hex())
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("sample_id").take(rows), batch.column("taxon").take(rows), pa.array(numbers, pa.int64()), pa.array(hashes, pa.string())], schema.names)
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                yield from below(pa.concat_batches(held))
+                held = []
+        if held:
+            yield from below(pa.concat_batches(held))
 
     return text.mapInArrow(run, schema)
 
@@ -95,12 +126,12 @@ def rarefy(df: DataFrame, depth: int = 10_000, seed: int = 42) -> DataFrame:
     with scratch():
         df = written(df.where("n > 0").select("sample_id", "taxon", F.col("n").cast("long").alias("n")), "counts")
         share = F.greatest((depth + SPARE * math.sqrt(depth) + 64) / F.col("total"), F.lit(0.0))
-        big = df.join(sample_totals(df).where(F.col("total") >= depth).select("sample_id", F.least(share, F.lit(1.0)).alias("_share")), "sample_id")
+        big = written(sample_totals(df).where((F.col("total") >= depth) & F.col("sample_id").isNotNull()).select("sample_id", F.least(share, F.lit(1.0)).alias("_share")), "samples")
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, however few bytes there are
-        some = big.select("sample_id", "taxon", "n", "_share", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRETCH))).alias("_a")).repartition(parts, "sample_id", "taxon", "_a")
+        some = df.join(big, "sample_id").select("sample_id", "taxon", "n", "_share", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRETCH))).alias("_a")).repartition(parts, "sample_id", "taxon", "_a")
         near = written(drawn(some, seed), "near")
         enough = near.groupBy("sample_id").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select("sample_id")
-        rest = big.join(enough, "sample_id", "left_anti").select("sample_id").distinct()
+        rest = big.join(enough, "sample_id", "left_anti").select("sample_id")
         rows = near.join(enough, "sample_id", "left_semi")
         if not rest.isEmpty():
             rows = rows.unionByName(drawn(some.join(rest, "sample_id", "left_semi").withColumn("_share", F.lit(1.0)), seed))
