@@ -1,8 +1,9 @@
 """Uniques and their more abundant parents: denoising by near parents, chimeras of two parents.
 
 Both look for parents within a sample, of which one may hold a third of all uniques, and neither compares
-all pairs. Near parents are found by pieces of sequences, of which each child takes its rarest; the
-parents that share the longest beginning or end with a child are its neighbours in sorted order.
+all pairs. Near parents of short sequences are found by walks over the tree of children's beginnings, those of long
+ones by pieces of sequences, of which each child takes its rarest; the parents that share the longest beginning or end
+with a child are its neighbours in sorted order.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ import math
 from bisect import bisect_right
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import kept, scratch, written
+from .near_tree import SHORT, best_parents
 
 #: Lengths that pieces may have; below LEAST_PIECE, deletions are tried first, if a sequence has so few variants.
 PIECES, LEAST_PIECE, MOST_VARIANTS = (12, 8, 6, 4, 3, 2, 1), 6, 64
+#: Children of one tree, in more than ``TREES`` trees up to ``LARGE_TREE``; parents that one task holds.
+TREE, TREES, LARGE_TREE, HELD = 16_384, 256, 131_072, 250_000
 
 
 def variants(length: int, distance: int) -> int:
@@ -93,25 +98,68 @@ def near_pairs(children: DataFrame, parents: DataFrame, distance: int, ratio: fl
         return kept(pairs.withColumn("d", F.levenshtein("seq", "parent", distance)).where(F.col("d") >= 0).distinct(), "near")
 
 
+def best_short_parents(children: DataFrame, parents: DataFrame, most: list[float]) -> DataFrame:
+    """(sample_id, seq, into, pn, d): the most abundant parent of each child at a distance d from 1 on with n / pn <= most[d],
+    then the nearest, then the first. Sequences have up to ``SHORT`` letters; rows without a sample, sequence or n are left out.
+
+    Children are cut into ranges of a sorted order, whose tree each is walked for all parents of the sample. If
+    parents are many, they are dealt to several tasks by hash, and a child may come up once for each.
+    """
+    kind = children.schema["sample_id"].dataType.simpleString()
+    whole = "sample_id IS NOT NULL AND seq IS NOT NULL AND n IS NOT NULL"
+    with scratch():
+        rows = lambda df: df.where(whole).select("sample_id", "seq", F.col("n").cast("double").alias("n"))
+        many, deals = rows(children).count(), math.ceil(rows(parents).count() / HELD)
+        if not many or not deals:
+            return children.sparkSession.createDataFrame([], f"sample_id {kind}, seq string, into string, pn double, d int")
+        trees = max(math.ceil(many / LARGE_TREE), min(TREES, math.ceil(many / TREE)))
+        ranges = written(rows(children).repartitionByRange(trees, "sample_id", "seq").withColumn("_p", F.spark_partition_id()), "ranges")
+        places = written(ranges.groupBy("_p", "sample_id").agg(F.count("*").alias("rows")), "places").select("_p", "sample_id")
+        dealt = rows(parents).groupBy("sample_id", F.pmod(F.xxhash64("seq"), F.lit(deals)).cast("int").alias("_deal")).agg(F.collect_list(F.struct("seq", "n")).alias("all"))
+        key = ["_p", "sample_id", "_deal"]
+        tasks = 3 * deals * places.count()  # so that few groups meet in one
+        asked = ranges.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).repartition(tasks, *key)
+        given = dealt.join(places, "sample_id").select(*key, F.col("all.seq").alias("parents"), F.col("all.n").alias("pn")).repartition(tasks, *key)
+
+        def best(own: pd.DataFrame, able: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(able):
+                return pd.DataFrame(columns=["sample_id", "seq", "into", "pn", "d"])
+            p, pn = able["parents"].iloc[0], able["pn"].iloc[0]
+            child, parent, d = best_parents(own["seq"], own["n"], p, pn, np.array(most))
+            took = own.iloc[child]
+            return pd.DataFrame({"sample_id": took["sample_id"].to_numpy(), "seq": took["seq"].to_numpy(), "into": np.asarray(p, object)[parent], "pn": np.asarray(pn)[parent], "d": d})
+
+        got = asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(best, f"sample_id {kind}, seq string, into string, pn double, d int")
+        return kept(got, "short")
+
+
 def denoise(uniques: DataFrame, alpha: float = 2.0, base: float = 1.0, max_distance: int | None = None) -> DataFrame:
     """sample_id, seq, n after UNOISE2's rule in one pass: a unique joins the most abundant parent at a
     distance d whose abundance makes n / parent <= 2^-(alpha d + base), if there is one.
 
-    The largest and smallest abundances bound d. Each d is looked for by itself, among children and
-    parents that are rare and abundant enough for it, so far pairs are sought for few sequences.
-    ``max_distance`` leaves out farther parents, for callers who want that.
+    The largest and smallest abundances bound d. Pairs of short sequences are found by walks over trees. Pairs with one
+    of more than ``SHORT`` letters are looked for at each d by itself, among children that long parents can be near to and that are rare enough
+    for it, and abundant parents, so far pairs are sought for few sequences. ``max_distance`` leaves out farther parents, for
+    callers who want that.
     """
     with scratch():
         parts = int(uniques.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, however few bytes there are
         u = written(uniques.select("sample_id", "seq", "n").repartition(parts, "sample_id", "seq"), "uniques")
-        least, most = u.agg(F.min("n"), F.max("n")).first()
+        least, most, longest = u.agg(F.min("n"), F.max("n"), F.max(F.length("seq"))).first()
         far = max(0, math.floor((math.log2(most / least) - base) / alpha + 1e-9)) if least else 0
         far = far if max_distance is None else min(far, max_distance)
-        found = [near_pairs(u.where(F.col("n") <= most / 2 ** (alpha * d + base)), u.where(F.col("n") >= least * 2 ** (alpha * d + base)), d, 2 ** (alpha * d + base)).where(F.col("d") == d) for d in range(1, far + 1)]
-        if not found:
+        if not far or longest is None:
             return kept(u, "denoised")
-        near = reduce(DataFrame.unionByName, found).where(F.col("n") / F.col("pn") <= F.pow(F.lit(2.0), -(F.col("d") * alpha + base)))
-        best = near.groupBy("sample_id", "seq").agg(F.min_by("parent", F.struct(-F.col("pn"), "d", "parent")).alias("into"))
+        short = u.where(F.length("seq") <= SHORT)
+        able = lambda df, d: df.where(F.col("n") >= least * 2 ** (alpha * d + base) * (1 - 1e-9))
+        rare = lambda df, d: df.where(F.col("n") <= most / 2 ** (alpha * d + base) * (1 + 1e-9))
+        found = [best_short_parents(rare(short, 1), able(short, 1), [2.0 ** -(alpha * d + base) for d in range(far + 1)])]
+        for d in range(1, far + 1) if longest > SHORT else ():
+            pairs = near_pairs(rare(u.where(F.length("seq") + d > SHORT), d), able(u, d), d, 2 ** (alpha * d + base)).where(F.col("d") == d)
+            pairs = pairs.where(F.col("n") / F.col("pn") <= F.pow(F.lit(2.0), -(F.col("d") * alpha + base)))
+            found.append(pairs.select("sample_id", "seq", F.col("parent").alias("into"), F.col("pn").cast("double").alias("pn"), "d"))
+        near = reduce(DataFrame.unionByName, found)
+        best = near.groupBy("sample_id", "seq").agg(F.min_by("into", F.struct(-F.col("pn"), "d", "into")).alias("into"))
         joined = u.join(best, ["sample_id", "seq"], "left")
         return kept(joined.groupBy("sample_id", F.coalesce("into", "seq").alias("seq")).agg(F.sum("n").alias("n")), "denoised")
 
